@@ -174,7 +174,7 @@ class MergeReplay:
 class Codec:
     """Texts to ids and back; remembers the chunks that it has met, up to a bound."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 250_000):
         self.replay = MergeReplay(ranks)
         self.split = regex.compile(pattern).findall
         self.chunks = regex.compile(CHUNK).findall
@@ -188,8 +188,8 @@ class Codec:
         if len(self.known) > self.remember:
             self.known.clear()
         known, cut = self.known, [self.chunks(t) for t in texts]
-        new = {c: self.split(c) for c in set(chain.from_iterable(cut)) - known.keys()}
-        pieces = list(set(chain.from_iterable(new.values())) - known.keys())
+        new = {c: self.split(c) for c in set(chain.from_iterable(cut)).difference(known)}
+        pieces = list(set(chain.from_iterable(new.values())).difference(known))
         known.update(zip(pieces, self.replay.encode([p.encode() for p in pieces])))
         for c, parts in new.items():
             if len(parts) != 1:

@@ -49,7 +49,7 @@ def map_rows(df: DataFrame, fn: Callable, schema: T.StructType | str) -> DataFra
     return df.mapInArrow(run, struct)
 
 
-def blocks(ids: list, texts: list, chars: int = 4_000_000) -> Iterator[tuple[list, list]]:
+def blocks(ids: list, texts: list, chars: int = 2_000_000) -> Iterator[tuple[list, list]]:
     """Cuts a batch into blocks of about so many characters; a longer text is a block of its own."""
     start, size = 0, 0
     for i, t in enumerate(texts):

@@ -31,7 +31,7 @@ SEPARATOR = re.compile("[\x1c-\x1f]").search
 class WordTokens:
     """Ids by a tokenizer that treats what white space separates apart, remembered by such words up to a bound."""
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -44,7 +44,7 @@ class WordTokens:
         if len(self.known) > self.remember:
             self.known.clear()
         known, cut = self.known, [(self.apart(t) if SEPARATOR(t) else t.split()) for t in texts]
-        new = list(set().union(*cut) - known.keys())
+        new = list(set().union(*cut).difference(known))
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, media, packing
+from . import bpe, chat, jaccard_join, media, neighbours, packing, pii, quality, secrets, tokencount
 from .common import read_table
 
 #: Folder of the public tokenizers' vocabulary files; None: that of the installed package.
@@ -20,10 +20,28 @@ def tokenizer_file(name: str) -> str:
     return os.path.join(TOKENIZERS, name) if TOKENIZERS else public_tokenizers.path(name)
 
 
+def op1_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    return tokencount.edited_counts(tokencount.sample_edits(read_table(spark, sf_dir, "documents")), tokenizer_file("byte_bpe_50k.tiktoken"), PATTERN)
+
+
+def op2_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_personal_data(read_table(spark, sf_dir, "documents")))
+
+
 def op3_media_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(media.store_texts(read_table(spark, sf_dir, "documents")))
 
 
+def op4_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(read_table(spark, sf_dir, "documents"), secrets.default_forest(spark)))
+
+
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(read_table(spark, sf_dir, "documents"), words=4, numerator=85, denominator=100)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -35,13 +53,36 @@ def op7_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.prefix_examples(turns.unionByName(own)))
 
 
+def op8_kmeans_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
+def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.selected(docs, quality.train_classifier(docs, quality.graded(read_table(spark, sf_dir, "labels"))))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import PATTERN
 
     return bpe.encoding_digest(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op3_media_packets, op6_best_fit_packing, op7_prefix_target_chat, op10_byte_bpe)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_edit_token_counts,
+        op2_semi_markov_pii,
+        op3_media_packets,
+        op4_forest_secrets,
+        op5_ngram_jaccard,
+        op6_best_fit_packing,
+        op7_prefix_target_chat,
+        op8_kmeans_tree_neighbours,
+        op9_ordinal_quality,
+        op10_byte_bpe,
+    )
+}
 
 ORACLES = {
     "op7_prefix_target_chat": r"""
