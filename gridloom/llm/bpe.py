@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, map_rows, whole_texts
+from .common import blocks, kept, map_rows, whole_texts
 
 NONE = np.int32(2**31 - 1)
 #: White space as the rank files' pattern understands it; Python's own \s also takes \x1c-\x1f.
@@ -200,14 +200,9 @@ class Codec:
         return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-_CODECS: dict = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
     """One per worker process, so that the vocabulary is read once and chunks are remembered across tasks."""
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(load_ranks(path), pattern)
-    return _CODECS[path, pattern]
+    return kept(("codec", path, pattern), lambda: Codec(load_ranks(path), pattern))
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -76,3 +76,14 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 SPILLABLE = StorageLevel.MEMORY_AND_DISK
+
+
+_KEPT: dict = {}
+
+
+def kept(key: tuple, make: Callable):
+    """What a worker process keeps across tasks: one thing at a time, so that memories do not add up over operators."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]

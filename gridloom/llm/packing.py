@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import SPACE
-from .common import blocks, map_rows, settle, whole_texts
+from .common import blocks, kept, map_rows, settle, whole_texts
 
 # ---------------------------------------------------------------- tokens
 
@@ -30,6 +30,16 @@ SENTENCE_END = re.compile(r"(?<=[^\W_])([.,])(?=[ \n])").sub
 SEPARATOR = re.compile("[\x1c-\x1f]").search
 
 
+def byte_letters() -> dict[int, int]:
+    """Byte-level tokenizers' letters for bytes: printable ones stand for themselves, the others follow from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in own)
+    return {b: 256 + k for k, b in enumerate(others)}
+
+
+BYTE_LETTERS = byte_letters()
+
+
 def simpler(text: str) -> str:
     """A text with the same ids and fewer different words: lower case, and ends of sentences apart from words.
 
@@ -45,12 +55,13 @@ def simpler(text: str) -> str:
 class WordTokens:
     """Ids by a tokenizer that lower-cases and treats what white space separates apart, remembered by words up to a bound."""
 
-    def __init__(self, path: str, remember: int = 900_000):
+    def __init__(self, path: str, remember: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.remember, self.known = remember, {}
+        self.model = self.tokenizer.model
         self.apart = re.compile(f"[^{SPACE}]+").findall
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
@@ -59,23 +70,25 @@ class WordTokens:
             self.known.clear()
         known, cut = self.known, [(self.apart(t) if SEPARATOR(t) else t.split()) for t in map(simpler, texts)]
         new = list(set().union(*cut).difference(known))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
+        odd = []
+        for w in new:
+            if w.isalpha() and w == w.lower() and unicodedata.is_normalized("NFC", w):
+                # nothing to normalize and nothing to cut: such a word goes straight to the merges
+                known[w] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_LETTERS))])
+            else:
+                odd.append(w)
+        for i in range(0, len(odd), 20_000):
+            part = odd[i : i + 20_000]
             for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 known[word] = b"".join([x.to_bytes(4, "little") for x in e.ids])
         return [b"".join([known[w] for w in words]) + end for words in cut]
 
 
-_TOKENS: dict = {}
-
-
 def word_tokens(path: str) -> WordTokens:
-    if path not in _TOKENS:
-        import os
+    import os
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _TOKENS[path] = WordTokens(path)
-    return _TOKENS[path]
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return kept(("word tokens", path), lambda: WordTokens(path))
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import load_ranks
-from .common import map_rows
+from .common import kept, map_rows
 
 
 class Counter:
@@ -142,13 +142,8 @@ class CountTree:
                 tree[nodes] = tree[2 * nodes] + tree[2 * nodes + 1]
 
 
-_COUNTERS: dict = {}
-
-
 def counter(path: str, pattern: str) -> Counter:
-    if (path, pattern) not in _COUNTERS:
-        _COUNTERS[path, pattern] = Counter(path, pattern)
-    return _COUNTERS[path, pattern]
+    return kept(("counter", path, pattern), lambda: Counter(path, pattern))
 
 
 COUNTS = "doc_id long, n_chars long, n_pretokens long, n_tokens long, n_edits int, n_chars_edited long, n_tokens_edited long, chars_recounted long"
