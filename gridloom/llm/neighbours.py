@@ -174,43 +174,67 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     asked = usable.where(F.col("vec_id") % every == 0).select("vec_id", "v")
     ask_unique = asked.select("v").distinct()
 
+    counts = {r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()}  # at most most_leaves rows
+    group, parts, room = {}, {}, 0
+    for leaf in range(tree.value.leaves):  # small leaves share a block, crowded ones are cut into several
+        size = counts.get(leaf, 0)
+        if not parts or size > room:
+            parts[len(parts)] = max(1, -(-size // block))
+            room = block if size <= block else size
+        group[leaf] = len(parts) - 1
+        room -= size
+    held = spark.sparkContext.broadcast((matrix, tree.value.assign(matrix) if len(matrix) else np.zeros(0, int)))  # bounded by sample
+
     def walk(batches):
+        known, known_leaf = held.value
         for b in batches:
-            keys, leaves, raw = [], [], []
+            out = {"raw": [], "group": [], "leaves": [], "floor": []}
             for v in b["v"]:
                 q = np.array(v, dtype=float)
-                for leaf in tree.value.best_bins(q, visits):
-                    leaves.append(leaf)
-                    raw.append(q.tobytes())
-            yield {"raw": raw, "leaf": leaves}
-
-    walked = map_rows(ask_unique, walk, "raw binary, leaf int")
-    crowd = {r["leaf"]: max(1, -(-r["count"] // block)) for r in indexed.groupBy("leaf").count().collect()}  # at most most_leaves rows
-    q_total = ask_unique.count()
-    q_parts = max(1, -(-q_total // block))
-    parts = F.broadcast(spark.createDataFrame([(int(a), int(c)) for a, c in crowd.items()], "leaf int, parts int"))
-    by_block = indexed.join(parts, "leaf").select("key", "ids", "raw", "leaf", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))).alias("ask"))
-    by_query = walked.join(parts, "leaf").select("raw", "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("raw"), F.lit(q_parts)).cast("int").alias("ask"))
+                bins = tree.value.best_bins(q, visits)
+                # sample vectors in the visited leaves give a floor below which nothing can be found
+                near = (known @ q)[np.isin(known_leaf, bins)]
+                floor = float(np.partition(near, len(near) - k - 1)[len(near) - k - 1]) if len(near) > k else -math.inf
+                by_group: dict = {}
+                for leaf in bins:
+                    by_group.setdefault(group[leaf], []).append(leaf)
+                for g, leaves in by_group.items():
+                    out["raw"].append(q.tobytes())
+                    out["group"].append(g)
+                    out["leaves"].append(leaves)
+                    out["floor"].append(floor)
+            yield out
+
+    walked = map_rows(ask_unique, walk, "raw binary, group int, leaves array<int>, floor double")
+    q_parts = max(1, -(-ask_unique.count() // block))
+    place = F.broadcast(spark.createDataFrame([(leaf, g, parts[g]) for leaf, g in group.items()], "leaf int, group int, parts int"))
+    cuts = F.broadcast(spark.createDataFrame(list(parts.items()), "group int, parts int"))
+    by_block = indexed.join(place, "leaf").select("key", "raw", "leaf", "group", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))).alias("ask"))
+    by_query = walked.join(cuts, "group").select("raw", "group", "leaves", "floor", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("raw"), F.lit(q_parts)).cast("int").alias("ask"))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query": [], "key": [], "score": []}).astype({"query": object, "key": "int64", "score": float})
         x = np.frombuffer(b"".join(left["raw"]), dtype=float).reshape(-1, width)
         keys = left["key"].to_numpy()
+        names, at = np.unique(left["leaf"].to_numpy(), return_inverse=True)
         q = np.frombuffer(b"".join(right["raw"]), dtype=float).reshape(-1, width)
+        floor = right["floor"].to_numpy()
         out_q, out_k, out_s = [], [], []
         keep = min(k + 1, len(x))
-        for i in range(0, len(q), 512):
-            s = q[i : i + 512] @ x.T
-            edge = np.partition(s, len(x) - keep, axis=1)[:, len(x) - keep] if keep < len(x) else s.min(axis=1)
-            rows, cols = np.nonzero(s >= edge[:, None] - 1e-9 * (1 + np.abs(edge[:, None])))
+        for i in range(0, len(q), 256):
+            visited = np.array([np.isin(names, leaves) for leaves in right["leaves"].iloc[i : i + 256]])
+            s = np.where(visited[:, at], q[i : i + 256] @ x.T, -np.inf)
+            edge = np.maximum(np.partition(s, len(x) - keep, axis=1)[:, len(x) - keep], floor[i : i + 256])
+            slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(edge), edge, 0)))
+            rows, cols = np.nonzero((s >= (edge - slack)[:, None]) & np.isfinite(s))
             for a, c in zip(rows.tolist(), cols.tolist()):
                 out_q.append(right["raw"].iat[i + a])
                 out_k.append(keys[c])
                 out_s.append(exact_score(q[i + a], x[c]))
         return pd.DataFrame({"query": out_q, "key": out_k, "score": out_s})
 
-    close = by_block.groupBy("leaf", "part", "ask").cogroup(by_query.groupBy("leaf", "part", "ask")).applyInPandas(compare, "query binary, key long, score double")
+    close = by_block.groupBy("group", "part", "ask").cogroup(by_query.groupBy("group", "part", "ask")).applyInPandas(compare, "query binary, key long, score double")
     top = Window.partitionBy("query").orderBy(F.desc("score"), "key")
     best = close.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k + 1).select("query", "key", "score")
     # a class of equal vectors stands for its smallest ids; k + 1 of them suffice, as only the query itself may go
