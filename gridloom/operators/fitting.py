@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,8 +51,8 @@ def quantile_map(pairs: DataFrame, keys: list[str], f: str, o: str, nodes: int,
     return fitted.where(F.col("n") >= least).withColumn("p", grid)
 
 
-def map_value(x: Column, fq: Column, oq: Column) -> Column:
-    """x moved from the forecast's to the observation's distribution: linear between nodes, tail by a clipped ratio, at least 0."""
+def map_value(x: Column, fq: Column, oq: Column, most: float = 1.5) -> Column:
+    """x moved from the forecast's to the observation's distribution: linear between nodes, tail by a clipped ratio, at most ``most`` times x, at least 0."""
     below = F.size(F.filter(fq, lambda q: q < x))
     n = F.size(fq)
     i = F.least(F.greatest(below, F.lit(1)), n - 1)
@@ -61,37 +60,6 @@ def map_value(x: Column, fq: Column, oq: Column) -> Column:
     share = F.coalesce(F.try_divide(x - a, b - a), F.lit(0.0))
     inside = F.get(oq, i - 1) + (F.get(oq, i) - F.get(oq, i - 1)) * F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
     top_f, top_o = F.get(fq, n - 1), F.get(oq, n - 1)
-    tail = x * F.least(F.greatest(F.coalesce(F.try_divide(top_o, top_f), F.lit(1.0)), F.lit(0.5)), F.lit(3.0))
-    return F.when(x.isNull(), None).when(fq.isNull(), x).otherwise(F.greatest(F.when(x > top_f, tail).otherwise(inside), F.lit(0.0)))
-
-
-def ridge_weights(rows: DataFrame, keys: list[str], members: list[str], target: str, ridge: float = 1.0, least: int = 30) -> DataFrame:
-    """Weights of members toward equality, not below 0, summing to 1, with the mean residual as intercept.
-
-    Only sums of products leave the rows; the small systems are solved one for each key.
-    """
-    import numpy as np
-
-    m = len(members)
-    known = rows.dropna(subset=[*members, target])
-    sums = [F.sum(F.col(a) * F.col(b)).alias(f"x{i}_{j}") for i, a in enumerate(members) for j, b in enumerate(members) if i <= j]
-    sums += [F.sum(F.col(a) * F.col(target)).alias(f"y{i}") for i, a in enumerate(members)] + [F.sum(a).alias(f"s{i}") for i, a in enumerate(members)]
-    moments = known.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(target).alias("t"), *sums).where(F.col("n") >= least)
-    fields = ", ".join([*[f"{k} {dict(rows.dtypes)[k]}" for k in keys], "n long", *[f"w_{x} double" for x in members], "intercept double"])
-
-    def solve(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.to_dict("records"):
-                x = np.array([[r[f"x{min(i, j)}_{max(i, j)}"] for j in range(m)] for i in range(m)])
-                y = np.array([r[f"y{i}"] for i in range(m)])
-                means = np.array([r[f"s{i}"] for i in range(m)]) / r["n"]
-                t = r["t"] / r["n"]
-                a, b = x / r["n"] - np.outer(means, means), y / r["n"] - means * t
-                scale = ridge * max(np.trace(a) / m, 1e-9)
-                w = np.clip(np.linalg.solve(a + scale * np.eye(m), b + scale / m), 0, None)
-                w = w / w.sum() if w.sum() > 1e-9 else np.full(m, 1 / m)
-                out.append([*[r[k] for k in keys], r["n"], *w, t - means @ w])
-            yield pd.DataFrame(out, columns=[f.split()[0] for f in fields.split(", ")])
-
-    return moments.mapInPandas(solve, fields)
+    tail = x * F.least(F.greatest(F.try_divide(top_o, top_f), F.lit(0.5)), F.lit(3.0))
+    mapped = F.least(F.when((top_f > 0) & (x > top_f), tail).otherwise(inside), x * most)
+    return F.when(x.isNull(), None).when(fq.isNull(), x).otherwise(F.greatest(mapped, F.lit(0.0)))

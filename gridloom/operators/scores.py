@@ -43,3 +43,12 @@ def best_threshold(pairs: DataFrame, grid: list[float], f: str, o: str, o_limit:
     cases = cases.select(f, o, F.col("t.k").alias("k"), F.col("t.limit").alias("threshold"))
     scored = cases.groupBy("k", "threshold").agg(F.avg(((F.col(f) >= F.col("threshold")) == (F.col(o) >= o_limit)).cast("double")).alias("share"))
     return scored.agg(F.max_by("threshold", F.struct("share", -F.col("k"))).alias("threshold"), F.max("share").alias("correct"))
+
+
+def skill_weights(pairs: DataFrame, member: str, f: Column, o: Column) -> DataFrame:
+    """Root mean squared error of each member and weights by its inverse square, summing to 1; a member without error takes none."""
+    from pyspark.sql import Window
+
+    mse = pairs.select(member, F.pow(f - o, 2).alias("_e")).groupBy(member).agg(F.avg("_e").alias("_mse"))  # one row for each member
+    inverse = F.coalesce(F.try_divide(F.lit(1.0), F.col("_mse")), F.lit(0.0))
+    return mse.select(member, F.sqrt("_mse").alias("rmse"), F.try_divide(inverse, F.sum(inverse).over(Window.partitionBy())).alias("weight"))

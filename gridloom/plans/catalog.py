@@ -377,7 +377,7 @@ def per_key_bias_fit(spark, sf_dir):
 
 @query(PAIRS + """, q AS (SELECT quantile_cont(f, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS fq, quantile_cont(o, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS oq FROM p),
  x AS (SELECT p.*, fq, oq, least(greatest(len(list_filter(fq, lambda z: z < f)), 1), 10) AS i FROM p, q)
-SELECT user_id, day, round(greatest(oq[i] + (oq[i + 1] - oq[i]) * least(greatest(coalesce((f - fq[i]) / nullif(fq[i + 1] - fq[i], 0), 0), 0), 1), 0), 4) AS mapped FROM x""", dates=True)
+SELECT user_id, day, round(greatest(least(oq[i] + (oq[i + 1] - oq[i]) * least(greatest(coalesce((f - fq[i]) / nullif(fq[i + 1] - fq[i], 0), 0), 0), 1), 1.5 * f), 0), 4) AS mapped FROM x""", dates=True)
 def quantile_map(spark, sf_dir):
     p = pairs(spark, sf_dir).withColumn("kind", F.lit("all"))
     m = p.join(F.broadcast(fitting.quantile_map(p, ["kind"], "f", "o", 11, least=1)), "kind", "left")
@@ -409,12 +409,6 @@ def ewma_bias(spark, sf_dir):
     return rounded(fitting.ewma_bias(pairs(spark, sf_dir).withColumn("e", F.col("f") - F.col("o")), ["lead"], "day", "e", 0.1))
 
 
-@query()
-def ridge_consensus(spark, sf_dir):
-    wide = member_full_outer(spark, sf_dir).withColumn("lead", (F.col("user_id") % 5 + 1).cast("int"))
-    return fitting.ridge_weights(wide, ["lead"], ["view_t", "click_t"], "purchase_t")
-
-
 # ---------------------------------------------------------------- stores and products
 
 
@@ -474,3 +468,6 @@ def stream_sliding(spark, sf_dir):
 def report_decode(spark, sf_dir):
     lines = ["54401,2024,01,01,06,00,AAXX 01064 54401 32970 50304 11035 21105 39280 40250 52010 333 20123 56000 91108=", "54401,2024,01,01,12,00,AAXX 01124 54401 12970 50502 10012 21015 69901 333 10051 60021 70002=", "junk"]
     return reports.decode_reports(spark.createDataFrame([(x,) for x in lines], "line string"))
+
+
+from gridloom.plans import calibrations, products  # noqa: E402, F401  (they register their queries)
