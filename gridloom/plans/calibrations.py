@@ -113,7 +113,7 @@ def online_bias_asof(spark, sf_dir):
     s = stations(spark, sf_dir)
     errors = s.select("lead", "day", (F.col("f1") - F.col("o")).alias("e")).dropna()
     fixed = C.online_bias(errors, [], s.where("f1 IS NOT NULL").select("user_id", "day", "lead", "f1"), 0.1)
-    return fixed.select("user_id", "day", F.round(F.col("f1") - F.col("bias") + 1e-9, 5).alias("t")  # off the decimal ties)
+    return fixed.select("user_id", "day", F.round(F.col("f1") - F.col("bias") + 1e-9, 5).alias("t"))  # off the decimal ties
 
 
 def station_bias(rows: DataFrame) -> DataFrame:

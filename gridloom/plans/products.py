@@ -1 +1,279 @@
-"""Queries of products: cells, alerts, texts and tables."""
+"""Queries of ensembles, products, alerts and texts, each beside its SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.functions import times
+from gridloom.functions import weather as W
+from gridloom.operators import alerts as A
+from gridloom.operators import ensembles as E
+from gridloom.operators import fitting
+from gridloom.operators import products as P
+from gridloom.plans.catalog import BEAUFORT_SQL, FLOOR_MOD, HALF, HALF_DATE, MEMBERS, SERIES, ladder_sql, query, rounded, series, table
+
+# ---------------------------------------------------------------- members and ensembles
+
+
+def buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """6-hour buckets of each member (event type) and point; half of a value is millimetres."""
+    e = table(spark, sf_dir, "events")
+    six = (F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) - 1704067200) / 21600) * 6).cast("long")
+    return e.groupBy(F.col("user_id").alias("point"), F.col("event_type").alias("member"), six.alias("start_h")).agg(F.round(F.sum("value") / 2, 3).alias("mm")).withColumn("end_h", F.col("start_h") + 6)
+
+
+BUCKETS = "WITH b AS (SELECT user_id AS point, event_type AS member, CAST(floor((epoch(ts) - 1704067200) / 21600) * 6 AS BIGINT) AS start_h, round(sum(value) / 2, 3) AS mm FROM events GROUP BY ALL)"
+
+
+@query(BUCKETS + """, x AS (SELECT *, CASE WHEN start_h % 60 = 0 THEN NULL ELSE mm END AS v FROM b)
+SELECT point, member, start_h, round(CASE WHEN count(*) OVER w = count(v) OVER w THEN sum(v) OVER w END, 3) AS accum FROM x WINDOW w AS (PARTITION BY point, member ORDER BY start_h)""")
+def accumulated_members(spark, sf_dir):
+    b = buckets(spark, sf_dir).withColumnRenamed("start_h", "step").withColumn("mm", F.when(F.col("step") % 60 != 0, F.col("mm")))
+    return E.accumulated(b, ["point", "member"]).select("point", "member", F.col("step").alias("start_h"), F.round("accum", 3).alias("accum"))
+
+
+@query(SERIES + """, b AS (SELECT point, step, greatest(tmax3 - first_value(tmax3) OVER w, 0) AS v FROM series WINDOW w AS (PARTITION BY point ORDER BY step))
+SELECT point, step, max(v) OVER (PARTITION BY point ORDER BY step) AS snow FROM b""")
+def monotone_snow(spark, sf_dir):
+    return E.never_falling(series(spark, sf_dir), ["point"], "tmax3").select("point", "step", F.col("tmax3").alias("snow"))
+
+
+@query(BUCKETS + """, p AS (SELECT DISTINCT point, start_h // 24 * 24 + 2 AS from_h FROM b), j AS (SELECT b.point, member, from_h, sum(mm * (least(start_h + 6, from_h + 12) - greatest(start_h, from_h)) / 6.0) AS mm, sum(least(start_h + 6, from_h + 12) - greatest(start_h, from_h)) AS hours
+  FROM b JOIN p ON b.point = p.point AND start_h < from_h + 12 AND start_h + 6 > from_h GROUP BY ALL)
+SELECT point, from_h, round(CASE WHEN min(hours) >= 12 - 1e-6 THEN 100.0 * avg((mm >= 10)::INT) END, 6) AS pop, count(*) AS members FROM j GROUP BY ALL""")
+def window_probability(spark, sf_dir):
+    b = buckets(spark, sf_dir)
+    p = b.select("point", (F.floor(F.col("start_h") / 24) * 24 + 2).cast("long").alias("from_h")).distinct().withColumn("to_h", F.col("from_h") + 12)
+    return rounded(E.window_probability(b, p, ["point"], 10.0).drop("to_h"))
+
+
+@query(BUCKETS + """, h AS (SELECT DISTINCT user_id AS point, CAST(floor((epoch(ts) - 1704067200) / 3600) + 1 AS BIGINT) AS hour FROM events)
+SELECT h.point, hour, round(100.0 * avg((mm >= 10)::INT), 6) AS pop FROM h LEFT JOIN b ON b.point = h.point AND start_h <= hour - 4 AND hour - 3 <= start_h + 6 GROUP BY ALL""")
+def hourly_probability(spark, sf_dir):
+    hours = table(spark, sf_dir, "events").select(F.col("user_id").alias("point"), (F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) - 1704067200) / 3600) + 1).cast("long").alias("hour")).distinct()
+    return rounded(E.hourly_probability(buckets(spark, sf_dir), hours, ["point"], shift=3, limit=10.0).select("point", "hour", "pop"))
+
+
+@query(BUCKETS + """, m AS (SELECT point, start_h // 12 * 12 AS p, member, max(mm) AS hi, min(mm) AS lo FROM b GROUP BY ALL) SELECT point, p, round(avg(hi), 6) AS hi, round(avg(lo), 6) AS lo, count(*) AS members FROM m GROUP BY ALL""")
+def member_extremes(spark, sf_dir):
+    b = buckets(spark, sf_dir).withColumn("p", (F.floor(F.col("start_h") / 12) * 12).cast("long"))
+    return rounded(E.two_level_extremes(b, ["point", "p"], "mm"))
+
+
+@query(BUCKETS + " SELECT point, start_h, round(CASE WHEN count(mm) >= 2 THEN avg(mm) END, 6) AS mm, count(mm) AS members FROM b GROUP BY ALL")
+def member_mean(spark, sf_dir):
+    return rounded(E.mean_members(buckets(spark, sf_dir), ["point", "start_h"], ["mm"], 2))
+
+
+@query(BUCKETS + " SELECT point, start_h, round(sum(mm * CASE member WHEN 'view' THEN 0.75 ELSE 0.25 END), 6) AS mm, round(max(mm) - min(mm), 6) AS mm_spread FROM b WHERE member IN ('view', 'click') GROUP BY ALL HAVING count(*) = 2")
+def strict_blend(spark, sf_dir):
+    return rounded(E.strict_blend(buckets(spark, sf_dir), ["point", "start_h"], ["mm"], {"view": 3.0, "click": 1.0}))
+
+
+MAPS = BUCKETS + """, t AS (SELECT point, member, CASE WHEN start_h % 24 < 12 THEN 'day' ELSE 'night' END AS kind, start_h // 12 * 12 AS p, round(sum(mm), 3) AS mm FROM b GROUP BY ALL), q AS (SELECT member, kind, quantile_cont(mm, [0, 0.25, 0.5, 0.75, 1.0]) AS fq, quantile_cont(mm / 40, [0, 0.25, 0.5, 0.75, 1.0]) AS oq FROM t GROUP BY ALL),
+ x AS (SELECT t.*, fq, oq, least(greatest(len(list_filter(fq, lambda z: z < mm)), 1), 4) AS i FROM t JOIN q USING (member, kind)), y AS (SELECT *, greatest(least(oq[i] + (oq[i + 1] - oq[i]) * least(greatest(coalesce((mm - fq[i]) / nullif(fq[i + 1] - fq[i], 0), 0), 0), 1), 1.5 * mm), 0) AS v FROM x)"""
+
+
+@query(MAPS + " SELECT point, p, kind, round(CASE WHEN count(*) >= 3 THEN 100.0 * avg((v >= 0.1)::INT) END, 6) AS pop, count(*) AS members FROM y GROUP BY ALL")
+def member_probability(spark, sf_dir):
+    t = buckets(spark, sf_dir).groupBy("point", "member", F.when(F.col("start_h") % 24 < 12, "day").otherwise("night").alias("kind"), (F.floor(F.col("start_h") / 12) * 12).cast("long").alias("p")).agg(F.round(F.sum("mm"), 3).alias("mm"))
+    fits = fitting.quantile_map(t.withColumn("o", F.col("mm") / 40), ["member", "kind"], "mm", "o", 5, least=1)
+    return rounded(E.mapped_probability(t, fits, ["point", "p", "kind"], "mm"))
+
+
+@query(SERIES + f""", t AS (SELECT point, step, precip, {HALF} AS kind, {HALF_DATE} AS d, sum(precip) OVER (PARTITION BY point, {HALF_DATE}, {HALF}) AS tot FROM series), q AS (SELECT kind, quantile_cont(tot, [0, 0.5, 1.0]) AS fq, quantile_cont(tot * 0.8, [0, 0.5, 1.0]) AS oq FROM t GROUP BY kind),
+ x AS (SELECT t.*, fq, oq, least(greatest(len(list_filter(fq, lambda z: z < tot)), 1), 2) AS i FROM t JOIN q USING (kind))
+SELECT point, step, round(precip * CASE WHEN tot > 1e-6 THEN greatest(least(oq[i] + (oq[i + 1] - oq[i]) * least(greatest(coalesce((tot - fq[i]) / nullif(fq[i + 1] - fq[i], 0), 0), 0), 1), 1.5 * tot), 0) / tot ELSE 0 END, 5) AS precip FROM x""")
+def corrected_precipitation(spark, sf_dir):
+    from pyspark.sql import Window
+
+    kind, date = times.half_of(F.col("start"))
+    s = series(spark, sf_dir).withColumn("kind", kind).withColumn("d", date)
+    tot = s.withColumn("f", F.sum("precip").over(Window.partitionBy("point", "d", "kind"))).withColumn("o", F.col("f") * 0.8)
+    fits = fitting.quantile_map(tot, ["kind"], "f", "o", 3, least=1)
+    return E.scale_windows(s, ["point", "d", "kind"], fits).select("point", "step", F.round("precip", 5).alias("precip"))
+
+
+HOURLY = "WITH h AS (SELECT user_id % 10 AS point, CAST(floor((epoch(ts) - 1704067200) / 3600) AS INT) AS hour, max(value) AS t, round(sum(value), 2) AS p, max(value) FILTER (event_type <> 'error') AS gust FROM events GROUP BY ALL)"
+
+
+@query(HOURLY + """, w AS (SELECT point, step, count(*) AS n, max(t) FILTER (hour = step) AS t2m, max(t) AS tmax3, min(t) AS tmin3, CASE WHEN count(p) FILTER (hour > step - 3) = 3 THEN round(sum(p) FILTER (hour > step - 3), 2) END AS precip, CASE WHEN count(gust) FILTER (hour > step - 3) = 3 THEN max(gust) FILTER (hour > step - 3) END AS gust
+  FROM h, LATERAL (SELECT CAST(ceil(hour / 3.0) * 3 AS INT) AS step UNION ALL SELECT hour + 3 WHERE hour % 3 = 0) GROUP BY ALL) SELECT * EXCLUDE n FROM w WHERE n = 4""")
+def member_steps(spark, sf_dir):
+    hour = F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) - 1704067200) / 3600).cast("int")
+    h = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 10).alias("point"), hour.alias("hour")).agg(F.max("value").alias("t"), F.round(F.sum("value"), 2).alias("p"), F.max(F.when(F.col("event_type") != "error", F.col("value"))).alias("gust"))
+    h = h.withColumn("cloud", F.lit(50.0)).withColumn("speed", F.lit(3.0)).withColumn("direction", F.lit(90.0))
+    return E.member_windows(h, ["point"]).select("point", "step", "t2m", "tmax3", "tmin3", F.round("precip", 2).alias("precip"), "gust")
+
+
+CYCLES = "WITH a AS (SELECT CAST(ts AS DATE) AS init, event_type AS member, CAST(max(value) AS INT) AS max_lead FROM events GROUP BY ALL)"
+
+
+def archive(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy(F.to_date("ts").cast("timestamp_ntz").alias("init"), F.col("event_type").alias("member")).agg(F.round(F.max("value")).cast("int").alias("max_lead"))
+
+
+@query(CYCLES.replace("CAST(max(value) AS INT)", "CAST(round(max(value)) AS INT)") + " SELECT CAST(init AS VARCHAR) AS init, count(DISTINCT member) AS members FROM a WHERE max_lead >= 144 GROUP BY init HAVING count(DISTINCT member) >= 2 ORDER BY init DESC LIMIT 1")
+def choose_cycle(spark, sf_dir):
+    return E.chosen_cycle(archive(spark, sf_dir), 144).select(F.date_format("init", "yyyy-MM-dd").alias("init"), "members")
+
+
+@query("""WITH a AS (SELECT DISTINCT time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2024-01-01') AS init, event_type AS member FROM events WHERE value > 200), d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events)
+SELECT init, member FROM (SELECT CAST(day AS TIMESTAMP) + to_hours(c) AS init, m AS member FROM d, (VALUES (0), (12)) c(c), (VALUES ('view'), ('click'), ('purchase')) m(m)) ANTI JOIN a USING (init, member)""")
+def backfill_missing(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    have = e.where("value > 200").select(times.floor_hours(F.col("ts"), 12).alias("init"), F.col("event_type").alias("member"))
+    return E.missing_cycles(e.select(F.to_date("ts").alias("day")).distinct(), [0, 12], list(MEMBERS), have)
+
+
+@query("SELECT vec_id FROM (SELECT vec_id, embedding[1]::DOUBLE * 100 AS lat, embedding[2]::DOUBLE * 400 AS lon FROM embeddings) WHERE lat BETWEEN -20 AND 20 AND (lon >= 30 OR lon <= -40)")
+def box_across_dateline(spark, sf_dir):
+    g = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("embedding")[0].cast("double") * 100).alias("lat"), (F.col("embedding")[1].cast("double") * 400).alias("lon"))
+    return E.bounded(g, -20.0, 20.0, 30.0, -40.0).select("vec_id")
+
+
+@query("SELECT l_orderkey, l_linenumber, coalesce(len(list_filter(range(1, CAST(l_quantity AS BIGINT) + 1), lambda x: x % 3 = 0 AND x >= l_linenumber)), 0)::INT AS steps FROM lineitem")
+def step_lists(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.size(E.step_list(F.lit(3), F.col("l_quantity"), F.col("l_linenumber"))).alias("steps"))
+
+
+# ---------------------------------------------------------------- periods, cells, curves
+
+
+@query("""WITH i AS (SELECT event_id, date_trunc('hour', ts) - to_hours(CAST(hour(ts) % 6 AS INT)) AS init, ts AS issue, floor(epoch(ts)) / 3600.0 + 8 AS h FROM events), f AS (SELECT *, CASE WHEN floor((h - 8) / 12) * 12 + 20 - h < 6 THEN floor((h - 8) / 12) * 12 + 20 ELSE floor((h - 8) / 12) * 12 + 8 END AS f FROM i),
+ p AS (SELECT *, unnest(range(CASE WHEN f % 24 = 8 THEN 10 ELSE 11 END)) AS k FROM f), s AS (SELECT *, CAST(f + 12 * k AS BIGINT) AS s, CAST(f + 12 * k - epoch(init) / 3600 - 8 AS BIGINT) AS start_lead FROM p)
+SELECT issue, count(*) AS periods, min(start_lead) AS start_lead, max(start_lead + 12) AS end_lead, min(CASE WHEN s % 24 = 8 THEN 'day' ELSE 'night' END) AS a_kind, string_agg(CASE WHEN k = 0 THEN CASE WHEN s // 24 < CAST(floor(h) AS BIGINT) // 24 THEN '今天凌晨' ELSE '今天' || CASE WHEN s % 24 = 8 THEN '白天' ELSE '夜间' END END ELSE '' END, '') AS label
+FROM s WHERE start_lead >= 0 AND start_lead + 12 <= 144 GROUP BY issue""")
+def period_plan(spark, sf_dir):
+    i = table(spark, sf_dir, "events").select(times.floor_hours(F.col("ts"), 6).alias("init"), F.col("ts").alias("issue"))
+    p = P.plan(i)
+    return p.groupBy("issue").agg(F.count("*").alias("periods"), F.min("start_lead").alias("start_lead"), F.max("end_lead").alias("end_lead"), F.min("kind").alias("a_kind"), F.coalesce(F.max(F.when(F.col("k") == 0, F.col("label"))), F.lit("")).alias("label"))
+
+
+def cell_series(spark, sf_dir) -> DataFrame:
+    """The events of ten regions as a dense 3-hourly series with all measures of a cell."""
+    kind, date = times.half_of(F.col("start"))
+    e = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 10).alias("point"), times.floor_hours(F.col("ts"), 3).alias("start")).agg(
+        F.round(F.max("value") / 4, 4).alias("tmax3"), F.round(F.min("value") / 4 - 5, 4).alias("tmin3"), F.round(F.sum("value") / 25, 3).alias("precip"), F.round(F.max("value") / 8, 5).alias("u10"), F.round(F.min("value") / 8 - 3, 5).alias("v10"), F.round(F.max("value") / 6, 3).alias("gust"),
+    )
+    return e.withColumn("snow", F.lit(0.0)).withColumn("cloud", F.lit(0.5)).withColumn("kind", kind).withColumn("date", date)
+
+
+CELLS = f"""WITH s AS (SELECT user_id % 10 AS point, date_trunc('hour', ts) - to_hours(CAST(hour(ts) % 3 AS INT)) AS start, round(max(value) / 4, 4) AS tmax3, round(min(value) / 4 - 5, 4) AS tmin3, round(sum(value) / 25, 3) AS precip, round(max(value) / 8, 5) AS u, round(min(value) / 8 - 3, 5) AS v, round(max(value) / 6, 3) AS gust FROM events GROUP BY ALL),
+ k AS (SELECT *, {HALF} AS kind, {HALF_DATE} AS date, sqrt(u * u + v * v) AS w FROM s),
+ cells AS (SELECT point, date, kind, CASE WHEN count(*) = 4 THEN max(tmax3) END AS tmax, CASE WHEN count(*) = 4 THEN min(tmin3) END AS tmin, CASE WHEN count(*) = 4 THEN sum(precip) END AS precip, CASE WHEN count(*) = 4 THEN {BEAUFORT_SQL('max(w)')} END AS force_hi, CASE WHEN count(*) = 4 THEN {BEAUFORT_SQL('min(w)')} END AS force_lo, CASE WHEN count(*) = 4 THEN {BEAUFORT_SQL('max(gust)')} END AS gust_force,
+   {FLOOR_MOD.format('270 - degrees(atan2(avg(v), avg(u)))')} AS dir, count(*) AS n FROM k GROUP BY ALL),
+ words AS (SELECT *, CASE WHEN precip IS NULL THEN '—' WHEN precip >= 0.1 THEN {ladder_sql('precip', W.RAIN_12H)} ELSE '多云' END AS weather FROM cells)"""
+WIND_WORDS = """CASE WHEN n < 4 THEN '—' ELSE list_value('北风','东北风','东风','东南风','南风','西南风','西风','西北风')[CAST(floor(dir / 45 + 0.5) AS INT) % 8 + 1]
+  || CASE WHEN force_hi <= 2 THEN '<3级' WHEN force_lo >= force_hi THEN force_hi || '级' ELSE greatest(force_lo, force_hi - 1) || '～' || force_hi || '级' END || CASE WHEN gust_force >= 6 AND gust_force >= force_hi + 2 THEN '，阵风' || gust_force || '级' ELSE '' END END"""
+
+
+@query(CELLS + f" SELECT point, date AS day, kind, weather, round(CASE kind WHEN 'day' THEN tmax ELSE tmin END, 4) AS temp, round(precip, 3) AS precip, force_lo, force_hi, gust_force, {WIND_WORDS} AS wind_text FROM words", dates=True)
+def product_cells(spark, sf_dir):
+    c = P.cells(cell_series(spark, sf_dir), ["point", "date", "kind"])
+    return c.select("point", F.col("date").alias("day"), "kind", "weather", F.round("temp", 4).alias("temp"), F.round("precip", 3).alias("precip"), "force_lo", "force_hi", "gust_force", "wind_text")
+
+
+@query(CELLS + " SELECT date AS day, kind, max(tmax) AS temp_max, min(tmin) AS temp_min, round(max(precip), 3) AS precip_max, round(avg(precip), 6) AS precip_mean, max(force_hi) AS force_max, max(gust_force) AS gust_force_max FROM cells GROUP BY ALL", dates=True)
+def county_block(spark, sf_dir):
+    c = P.county(P.cells(cell_series(spark, sf_dir), ["point", "date", "kind"])).withColumnRenamed("date", "day")
+    return c.withColumn("precip_max", F.round("precip_max", 3)).withColumn("precip_mean", F.round("precip_mean", 6))
+
+
+@query(CELLS + """, d AS (SELECT point, date, max(weather) FILTER (kind = 'day') AS a, max(weather) FILTER (kind = 'night') AS b, max(tmax) FILTER (kind = 'day') AS high, max(tmin) FILTER (kind = 'night') AS low FROM words GROUP BY ALL)
+SELECT point, date AS day, coalesce(CASE WHEN a = b THEN a ELSE a || '转' || b END, a, b) AS weather, high, low FROM d""", dates=True)
+def bulletin_days(spark, sf_dir):
+    d = P.day_and_night(P.cells(cell_series(spark, sf_dir), ["point", "date", "kind"]), ["point", "date"])
+    return d.select("point", F.col("date").alias("day"), "weather", "high", "low")
+
+
+def alert_parts(spark, sf_dir):
+    s = cell_series(spark, sf_dir)
+    county = P.county(P.cells(s, ["point", "date", "kind"]))
+    hours = F.unix_timestamp(F.col("start").cast("timestamp"))
+    return s, county, s.select("point", (hours / 3600).cast("long").alias("step"), F.to_date(F.col("start") + F.make_dt_interval(F.lit(0), F.lit(10))).alias("date"), (F.col("precip") / 2).alias("precip"))
+
+
+ALERTS = CELLS + """, county AS (SELECT date, kind, max(tmax) AS hi, min(tmin) AS lo, max(force_hi) AS f, max(gust_force) AS g FROM cells GROUP BY ALL),
+ hot AS (SELECT date, hi, sum(CASE WHEN hi >= 35 THEN 0 ELSE 1 END) OVER (ORDER BY date) AS grp FROM county WHERE kind = 'day' AND hi IS NOT NULL),
+ heat AS (SELECT date, hi, sum(CASE WHEN hi >= 35 THEN 1 ELSE 0 END) OVER (PARTITION BY grp ORDER BY date) AS run FROM hot),
+ r AS (SELECT point, CAST(epoch(start) / 3600 AS BIGINT) AS step, CAST(start + to_hours(10) AS DATE) AS date, precip / 2 AS mm FROM s),
+ sig AS (SELECT * FROM (VALUES (0, 1, 100.0, '红色', 4), (1, 1, 50.0, '橙色', 3), (2, 2, 50.0, '黄色', 2), (3, 4, 50.0, '蓝色', 1), (4, 8, 50.0, '关注', 0)) v(k, n, lim, level, rank)),
+ o AS (SELECT *, row_number() OVER (PARTITION BY point ORDER BY step) AS i FROM r),
+ wins AS (SELECT a.point, a.i, k, sum(b.mm) AS mm, arg_max(b.date, b.mm * 1000000 - b.i) AS date FROM o a JOIN sig ON a.i >= n JOIN o b ON b.point = a.point AND b.i <= a.i AND b.i > a.i - n GROUP BY ALL),
+ rain AS (SELECT w.date, arg_max(level, rank * 1000000 + w.mm) AS level, CAST(round_even(arg_max(w.mm, rank * 1000000 + w.mm), 0) AS BIGINT) AS amount FROM wins w JOIN sig USING (k) WHERE w.mm >= lim GROUP BY w.date),
+ every_alert AS (SELECT '高温' AS type, date, CASE WHEN hi >= 40 THEN '红色' WHEN hi >= 37 THEN '橙色' WHEN run >= 3 THEN '黄色' ELSE '关注' END AS level, CAST(round_even(hi, 0) AS BIGINT) AS amount, 0 AS seq FROM heat WHERE hi >= 35
+  UNION ALL SELECT '暴雨', date, level, amount, 1 FROM rain
+  UNION ALL SELECT '大风', date, CASE WHEN f >= 12 OR g >= 13 THEN '红色' WHEN f >= 10 OR g >= 11 THEN '橙色' WHEN f >= 8 OR g >= 9 THEN '黄色' ELSE '蓝色' END, f, CASE kind WHEN 'day' THEN 2 ELSE 3 END FROM county WHERE f >= 6 OR g >= 7
+  UNION ALL SELECT '霜冻', date, '关注', CAST(round_even(lo, 0) AS BIGINT), 4 FROM county WHERE kind = 'night' AND lo <= 0),
+ alert AS (SELECT * FROM every_alert QUALIFY row_number() OVER (PARTITION BY type, date ORDER BY CASE level WHEN '红色' THEN 4 WHEN '橙色' THEN 3 WHEN '黄色' THEN 2 WHEN '蓝色' THEN 1 ELSE 0 END DESC, seq) = 1)"""
+
+
+@query(ALERTS + " SELECT type, date AS day, level, amount FROM alert", dates=True)
+def alert_conclusions(spark, sf_dir):
+    _, county, s = alert_parts(spark, sf_dir)
+    return A.conclusions(county, s).withColumnRenamed("date", "day").select("type", "day", "level", "amount")
+
+
+GRADES = CELLS + """, ranked AS (SELECT date, point, max(CASE weather WHEN '小雨' THEN 1 WHEN '中雨' THEN 2 WHEN '大雨' THEN 3 WHEN '暴雨' THEN 4 WHEN '大暴雨' THEN 5 WHEN '特大暴雨' THEN 6 END) AS r FROM words GROUP BY ALL),
+ lists AS (SELECT date, list_sort(list(r) FILTER (r IS NOT NULL)) AS wet, count(*) AS n FROM ranked GROUP BY date),
+ grades AS (SELECT date, list_value('小雨','中雨','大雨','暴雨','大暴雨','特大暴雨')[CASE WHEN len(wet) * 2 >= n THEN wet[len(wet) - (n + 1) // 2 + 1] END] AS common, list_value('小雨','中雨','大雨','暴雨','大暴雨','特大暴雨')[wet[len(wet)]] AS local FROM lists)"""
+
+
+@query(GRADES + " SELECT date AS day, common, local FROM grades", dates=True)
+def rain_grade_days(spark, sf_dir):
+    return A.rain_grades(P.cells(cell_series(spark, sf_dir), ["point", "date", "kind"])).withColumnRenamed("date", "day")
+
+
+@query()
+def headline(spark, sf_dir):
+    """The summary sentence; tests hold it against one written by hand."""
+    cells, (_, county, s) = P.cells(cell_series(spark, sf_dir), ["point", "date", "kind"]), alert_parts(spark, sf_dir)
+    return A.headline("全县", A.rain_grades(cells), county, A.conclusions(county, s))
+
+
+@query(SERIES + """, sh AS (SELECT user_id AS point, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) // 3600 - 473352 AS hour, max(value) AS g FROM events GROUP BY ALL),
+ n AS (SELECT s.point, s.step, tmax3 AS v, g AS g1 FROM series s LEFT JOIN sh ON sh.point = s.point AND sh.hour = s.step), l AS (SELECT *, lag(step) OVER w AS s0, lag(v) OVER w AS v0, lag(g1) OVER w AS g0 FROM n WINDOW w AS (PARTITION BY point ORDER BY step)),
+ h AS (SELECT *, unnest(range(coalesce(s0 + 1, step), step + 1)) AS hour FROM l)
+SELECT h.point, CAST(h.hour AS INT) AS hour, round(CASE WHEN h.hour = step THEN v ELSE v0 + (v - v0) * (h.hour - s0) / (step - s0)::DOUBLE + coalesce(g - (g0 + (g1 - g0) * (h.hour - s0) / (step - s0)::DOUBLE), 0) END, 6) AS v FROM h LEFT JOIN sh ON sh.point = h.point AND sh.hour = h.hour""")
+def hourly_curve(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    hour = (F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600) - 473352).cast("int")
+    shape = e.groupBy(F.col("user_id").alias("point"), hour.alias("hour")).agg(F.max("value").alias("shape"))
+    return rounded(P.hourly_curve(series(spark, sf_dir).select("point", "step", F.col("tmax3").alias("v")), shape, ["point"]))
+
+
+@query("SELECT user_id, CAST(k AS INT) AS k, v[k + 1] AS value, e[k + 1] AS event_type FROM (SELECT user_id, list(value ORDER BY event_id) AS v, list(event_type ORDER BY event_id) AS e, unnest(range(count(*))) AS k FROM events GROUP BY user_id)")
+def columns_to_rows(spark, sf_dir):
+    packed = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value", "event_type"))).alias("s"))
+    docs = packed.select("user_id", F.col("s.value").alias("value"), F.col("s.event_type").alias("event_type"))
+    return P.columns_to_rows(docs, "user_id", ["value", "event_type"], "value")
+
+
+# ---------------------------------------------------------------- texts
+
+
+@query("""SELECT c_custkey, regexp_replace(c_name, '[^\\p{L}\\p{N}]', '_', 'g') AS slug, CAST(length(c_name) AS INT) AS width, CASE WHEN c_custkey % 3 = 0 THEN '—' ELSE CAST(CAST(round_even((c_custkey % 101) / 10.0, 0) * 10 AS INT) AS VARCHAR) || '%' END AS pop FROM customer""")
+def text_columns(spark, sf_dir):
+    p = F.when(F.col("c_custkey") % 3 != 0, (F.col("c_custkey") % 101).cast("double"))
+    return table(spark, sf_dir, "customer").select("c_custkey", P.slug(F.col("c_name")).alias("slug"), P.display_width(F.col("c_name")).alias("width"), W.probability_text(p).alias("pop"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN CAST(a AS DATE) = CAST(b AS DATE) THEN x WHEN month(a) = month(b) THEN x || '—' || day(b) || '日' ELSE x || '—' || month(b) || '月' || day(b) || '日' END AS span FROM (SELECT o_orderkey, o_orderdate AS a, o_orderdate + to_days(CAST(o_orderkey % 4 AS INT)) AS b, month(o_orderdate) || '月' || day(o_orderdate) || '日' AS x FROM orders)""")
+def date_spans(spark, sf_dir):
+    a = F.to_date("o_orderdate")
+    return table(spark, sf_dir, "orders").select("o_orderkey", A.date_span(a, F.date_add(a, (F.col("o_orderkey") % 4).cast("int"))).alias("span"))
+
+
+@query("""WITH v AS (SELECT vec_id, abs(embedding[1]::DOUBLE) * 40 AS s, abs(embedding[2]::DOUBLE) * 900 AS d FROM embeddings) SELECT vec_id, round(-s * sin(radians(d)), 6) AS u, round(-s * cos(radians(d)), 6) AS v FROM v""")
+def wind_components(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", (F.abs(F.col("embedding")[0].cast("double")) * 40).alias("s"), (F.abs(F.col("embedding")[1].cast("double")) * 900).alias("d"))
+    u, v = W.wind_components(F.col("s"), F.col("d"))
+    return e.select("vec_id", F.round(u, 6).alias("u"), F.round(v, 6).alias("v"))
+
+
+@query("SELECT p_brand, count(*) AS n, min(p_retailprice) AS low, max(p_retailprice) AS high, round(quantile_cont(p_retailprice, 0.9) - quantile_cont(p_retailprice, 0.1), 4) AS spread FROM part GROUP BY p_brand")
+def elevation_spread(spark, sf_dir):
+    x = F.col("p_retailprice")
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.min(x).alias("low"), F.max(x).alias("high"), F.round(F.percentile(x, 0.9) - F.percentile(x, 0.1), 4).alias("spread"))
