@@ -23,14 +23,14 @@ def rain_code(code: Column) -> Column:
     return F.when(n == 990, 0.05).when(n > 990, (n - 990) / 10.0).otherwise(n.cast("double"))
 
 
-def decode_reports(lines: DataFrame) -> DataFrame:
+def decode_reports(lines: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """``line``: wmo,YYYY,MM,DD,hh,mm,report. One row for each readable line: wmo, time and the measures, all nullable.
 
     Built-in functions only: groups are filtered by section and first digit, so nothing runs row by row in
-    Python.  Of repeated groups the first counts.
+    Python.  Of repeated groups the first counts.  Columns named in ``also`` are passed on.
     """
     p = F.split("line", ",", 7)
-    ok = lines.where(F.col("line").rlike(r"^\d{5},\d{4},\d\d,\d\d,\d\d,\d\d,")).select(p[0].alias("wmo"), F.concat_ws("-", p[1], p[2], p[3]).alias("d"), F.concat_ws(":", p[4], p[5]).alias("h"), F.split(F.trim(F.regexp_replace(F.regexp_replace(p[6], "=.*", ""), r"\s+", " ")), " ").alias("all"))
+    ok = lines.where(F.col("line").rlike(r"^\d{5},\d{4},\d\d,\d\d,\d\d,\d\d,")).select(*also, p[0].alias("wmo"), F.concat_ws("-", p[1], p[2], p[3]).alias("d"), F.concat_ws(":", p[4], p[5]).alias("h"), F.split(F.trim(F.regexp_replace(F.regexp_replace(p[6], "=.*", ""), r"\s+", " ")), " ").alias("all"))
     five = ok.withColumn("head", F.coalesce(F.array_position("all", F.col("wmo")).cast("int"), F.lit(0))).withColumn("g", F.expr("slice(all, head + 1, size(all))"))
     three = F.array_position("g", "333").cast("int")
     stop = F.array_position("g", "555").cast("int")
@@ -47,7 +47,7 @@ def decode_reports(lines: DataFrame) -> DataFrame:
     day = F.substring(first("sec3", "7"), 2, 4)
     gust = F.try_to_number(F.substring(first("sec3", "911"), 4, 2), F.lit("99")).cast("double") * unit
     return parts.select(
-        "wmo", F.try_to_timestamp(F.concat_ws(" ", "d", "h"), F.lit("yyyy-MM-dd HH:mm")).cast("timestamp_ntz").alias("time"),
+        *also, "wmo", F.try_to_timestamp(F.concat_ws(" ", "d", "h"), F.lit("yyyy-MM-dd HH:mm")).cast("timestamp_ntz").alias("time"),
         signed_tenths(first("sec1", "1")).alias("t"), signed_tenths(F.when(F.substring(first("sec1", "2"), 2, 1).isin("0", "1"), first("sec1", "2"))).alias("td"),
         F.when(dd <= 360, dd).alias("wind_dir"), ff.alias("wind_speed"), gust.alias("gust"),
         F.coalesce(rain("sec1", 6), rain("sec3", 6), F.when(none, 0.0)).alias("p6"), F.coalesce(rain("sec1", 12), rain("sec3", 12)).alias("p12"),
@@ -98,3 +98,28 @@ def hourly_json(docs: DataFrame, members: list[str], variables: list[str]) -> Da
     per = F.array(*[F.struct(F.lit(m).alias("member"), *[F.col(f"d.hourly.{v}_{m}").alias(v) for v in variables]) for m in members])
     each = parsed.select("point", F.col("d.hourly.time").alias("time"), F.explode(per).alias("m")).where(f"exists(m.{variables[0]}, x -> x IS NOT NULL)")
     return each.select("point", "m.member", F.posexplode("time").alias("k", "time"), "m").select("point", "member", "time", *[F.get(F.col(f"m.{v}"), F.col("k")).alias(v) for v in variables])
+
+
+def parse_isd(lines: DataFrame) -> DataFrame:
+    """``line``: fixed-width hourly records. One row for each dated record: wmo, time and the measures, all nullable.
+
+    An embedded report gives all of them; a record relayed from a binary message only its coded temperature and
+    wind. The coded wind counts wherever its quality flag passes; the coded temperature where the report has none.
+    """
+    at = lambda a, b: F.substring("line", a + 1, b - a)
+    stamp = F.try_to_timestamp(at(15, 27), F.lit("yyyyMMddHHmm")).cast("timestamp_ntz")
+    good = lambda flag: flag.isin("0", "1", "4", "5", "9")
+    number = lambda text, digits: F.try_to_number(F.regexp_replace(text, r"^\+", ""), F.lit("S" + "9" * digits)).cast("double")
+    place = F.instr("line", "REMSYN")
+    head, size = F.expr("substring(line, instr(line, 'REMSYN'), 16)"), F.expr("substring(line, instr(line, 'REMSYN') + 6, 3)")
+    body = F.expr("substring(line, instr(line, 'REMSYN') + 9, coalesce(try_cast(substring(line, instr(line, 'REMSYN') + 6, 3) AS INT), 0))")
+    text = F.when((place > 0) & ~head.contains("BUFR") & size.rlike(r"^\d{3}$"), F.concat(F.lit("AAXX "), F.date_format(stamp, "ddHH"), F.lit("1 "), body)).otherwise("")
+    speed = F.when((at(65, 69) != "9999") & good(at(69, 70)), number(at(65, 69), 4) / 10)
+    record = lines.where((F.length("line") >= 105) & at(4, 10).rlike(r"^\d{6}$") & stamp.isNotNull()).select(
+        F.when((~at(87, 92).isin("+9999", "-9999")) & good(at(92, 93)), number(at(87, 92), 4) / 10).alias("_t"), speed.alias("_w"),
+        F.when(speed.isNotNull() & (speed != 0) & (at(60, 63) != "999"), number(at(60, 63), 3)).alias("_d"),
+        F.concat_ws(",", at(4, 9), F.date_format(stamp, "yyyy,MM,dd,HH,mm"), text).alias("line"),
+    )
+    d = decode_reports(record, ("_t", "_w", "_d"))
+    coded = F.col("_w").isNotNull()
+    return d.withColumn("t", F.coalesce("t", "_t")).withColumn("wind_dir", F.when(coded, F.col("_d")).otherwise(F.col("wind_dir"))).withColumn("wind_speed", F.coalesce("_w", "wind_speed")).drop("_t", "_w", "_d")
