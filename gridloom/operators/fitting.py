@@ -33,22 +33,40 @@ def ewma_states(errors: DataFrame, keys: list[str], time: str, error: str, alpha
     return daily.select(*keys, F.explode(fold).alias("x")).select(*keys, F.col("x.t").alias(time), F.col("x.b").alias("bias"))
 
 
-def weighted_quantiles(rows: DataFrame, keys: list[str], value: str, weight: str, probs: list[float]) -> DataFrame:
-    """Linear quantiles at positions (cumulated weight - first) / (total - first)."""
-    w = Window.partitionBy(*keys).orderBy(value, weight)
-    cum = rows.where(F.col(value).isNotNull()).withColumn("_c", F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_f", F.first(weight).over(w)).withColumn("_t", F.sum(weight).over(Window.partitionBy(*keys)))
-    at = cum.withColumn("_p", F.coalesce(F.try_divide(F.col("_c") - F.col("_f"), F.col("_t") - F.col("_f")), F.lit(0.0))).withColumn("_np", F.lead("_p").over(w)).withColumn("_nv", F.lead(value).over(w))
-    asked = at.withColumn("prob", F.explode(F.array(*map(F.lit, probs)))).where((F.col("prob") >= F.col("_p")) & (F.col("prob") < F.coalesce("_np", F.lit(2.0))))
-    value_at = F.col(value) + F.coalesce((F.col("_nv") - F.col(value)) * F.try_divide(F.col("prob") - F.col("_p"), F.col("_np") - F.col("_p")), F.lit(0.0))
-    return asked.groupBy(*keys, "prob").agg(F.max(value_at).alias("q"))
-
-
-def quantile_map(pairs: DataFrame, keys: list[str], f: str, o: str, nodes: int, least: int = 60) -> DataFrame:
-    """Exact quantiles of forecasts and observations on a common grid; keys with fewer pairs have none."""
-    grid = F.transform(F.sequence(F.lit(0), F.lit(nodes - 1)), lambda k: k / (nodes - 1))
+def weighted_quantiles(rows: DataFrame, keys: list[str], value: str, weight: str, probs: list[float], parts: int = 64) -> DataFrame:
+    """Exact linear quantiles at positions (cumulated weight - first) / (total - first), rows in order of value, then weight.
+
+    No key is sorted in one task: equal values are summed first (only their least weight and their sum
+    matter), the different values are cut into ranges by a sketch, and running sums are taken within
+    ranges and offset by the sums of the ranges before.  Rows with a null value or weight take no part.
+    """
+    d = rows.select(*keys, F.col(value).alias("_v"), F.col(weight).alias("_w")).dropna(subset=["_v", "_w"]).groupBy(*keys, "_v").agg(F.sum("_w").alias("_sum"), F.min("_w").alias("_min"))
+    bounds = d.groupBy(*keys).agg(F.percentile_approx("_v", [k / parts for k in range(1, parts)], 2000).alias("_b"))
+    d = d.join(bounds, keys).withColumn("_part", F.size(F.filter("_b", lambda b: b < F.col("_v")))).drop("_b")
+    key, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_part")  # at most ``parts`` rows for each key
+    ranges = d.groupBy(*keys, "_part").agg(F.sum("_sum").alias("_s"), F.min_by(F.struct("_v", "_min"), "_v").alias("_first"))
+    ranges = ranges.select(*keys, "_part", (F.sum("_s").over(order) - F.col("_s")).alias("_off"), F.sum("_s").over(key).alias("_t"), F.first("_first._min").over(order).alias("_f"), F.lead("_first").over(order).alias("_after"))
+    w = Window.partitionBy(*keys, "_part").orderBy("_v")
+    d = d.join(ranges, [*keys, "_part"]).withColumn("_c", F.col("_off") + F.sum("_sum").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_next", F.coalesce(F.lead(F.struct("_v", "_min")).over(w), "_after"))
+    place = lambda c: F.try_divide(c - F.col("_f"), F.col("_t") - F.col("_f"))
+    d = d.select(*keys, "_v", F.coalesce(place(F.col("_c") - F.col("_sum") + F.col("_min")), F.lit(0.0)).alias("_a"), F.coalesce(place(F.col("_c")), F.lit(1.0)).alias("_z"), place(F.col("_c") + F.col("_next._min")).alias("_na"), F.col("_next._v").alias("_nv"))
+    first = F.col("_a") <= 1e-12
+    asked = d.withColumn("prob", F.explode(F.filter(F.array(*[F.lit(float(q)) for q in probs]), lambda q: ((q >= F.col("_a")) | first) & (q < F.coalesce("_na", F.lit(2.0))))))
+    between = F.col("_v") + (F.col("_nv") - F.col("_v")) * F.try_divide(F.col("prob") - F.col("_z"), F.col("_na") - F.col("_z"))
+    return asked.groupBy(*keys, "prob").agg(F.max(F.when(F.col("prob") <= F.col("_z"), F.col("_v")).otherwise(F.coalesce(between, "_v"))).alias("q"))
+
+
+def quantile_map(pairs: DataFrame, keys: list[str], f: str, o: str, nodes: int, least: int = 60, weight: str | None = None) -> DataFrame:
+    """Quantiles of forecasts and observations, weighted or not, on a common grid; keys with fewer pairs have none."""
     probs = [k / (nodes - 1) for k in range(nodes)]
-    fitted = pairs.dropna(subset=[f, o]).groupBy(*keys).agg(F.count("*").alias("n"), F.percentile(f, probs).alias("fq"), F.percentile(o, probs).alias("oq"))
-    return fitted.where(F.col("n") >= least).withColumn("p", grid)
+    known = pairs.withColumn("_one", F.col(weight) if weight else F.lit(1.0)).dropna(subset=[f, o, "_one"])
+    n = known.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+    def of(column: str, name: str) -> DataFrame:
+        q = weighted_quantiles(known, keys, column, "_one", probs)
+        return q.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("prob", "q"))), lambda x: x["q"]).alias(name))
+
+    return n.join(of(f, "fq"), keys).join(of(o, "oq"), keys).withColumn("p", F.array(*map(F.lit, probs)))
 
 
 def map_value(x: Column, fq: Column, oq: Column, most: float = 1.5) -> Column:

@@ -244,11 +244,11 @@ def hourly_curve(spark, sf_dir):
     return rounded(P.hourly_curve(series(spark, sf_dir).select("point", "step", F.col("tmax3").alias("v")), shape, ["point"]))
 
 
-@query("SELECT user_id, CAST(k AS INT) AS k, v[k + 1] AS value, e[k + 1] AS event_type FROM (SELECT user_id, list(value ORDER BY event_id) AS v, list(event_type ORDER BY event_id) AS e, unnest(range(count(*))) AS k FROM events GROUP BY user_id)")
+@query(SERIES + " SELECT point, CAST(row_number() OVER (PARTITION BY point ORDER BY step) - 1 AS INT) AS k, tmax3, u10 FROM series WHERE step <= 72")
 def columns_to_rows(spark, sf_dir):
-    packed = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value", "event_type"))).alias("s"))
-    docs = packed.select("user_id", F.col("s.value").alias("value"), F.col("s.event_type").alias("event_type"))
-    return P.columns_to_rows(docs, "user_id", ["value", "event_type"], "value")
+    packed = series(spark, sf_dir).where("step <= 72").groupBy("point").agg(F.array_sort(F.collect_list(F.struct("step", "tmax3", "u10"))).alias("s"))  # at most 24 windows
+    docs = packed.select("point", F.col("s.tmax3").alias("tmax3"), F.col("s.u10").alias("u10"))
+    return P.columns_to_rows(docs, "point", ["tmax3", "u10"], "tmax3")
 
 
 # ---------------------------------------------------------------- texts

@@ -116,3 +116,17 @@ def test_empty_tables(spark):
     assert ensembles.two_level_extremes(b, ["point"], "mm").count() == 0
     assert calibration.logistic_fit(b, ["point"], ["mm"], "mm") == []
     assert len(catalog.QUERIES) > 90
+
+
+def test_weighted_quantiles_equal_dense_ones(spark):
+    from gridloom.operators import fitting
+
+    g = np.random.default_rng(3)
+    v, w, probs = np.round(g.exponential(2, 500), 1) * (g.uniform(size=500) > 0.4), g.uniform(0.1, 3, 500), np.linspace(0, 1, 41)
+    rows = [("k", float(a), float(b)) for a, b in zip(v, w)] + [("one", 5.0, 2.0), ("none", None, 1.0), ("same", 1.0, 1.0), ("same", 1.0, 2.0)]
+    got = {(r.k, round(r.prob, 6)): r.q for r in fitting.weighted_quantiles(spark.createDataFrame(rows, "k string, v double, w double"), ["k"], "v", "w", list(probs)).collect()}
+    order = np.lexsort((w, v))
+    cum = np.cumsum(w[order])
+    want = np.interp(probs, (cum - w[order][0]) / (cum[-1] - w[order][0]), v[order])
+    assert np.allclose([got["k", round(float(p), 6)] for p in probs], want)
+    assert {got["one", round(float(p), 6)] for p in probs} == {5.0} and {got["same", round(float(p), 6)] for p in probs} == {1.0} and len(got) == 123
