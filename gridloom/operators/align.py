@@ -39,14 +39,24 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], cell: int) -> Data
     return left.join(right, [*keys, "_cell"]).where((begin < end) & (F.floor(begin / cell) == F.col("_cell"))).withColumn("overlap", end - begin).drop("_cell")
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str]) -> DataFrame:
-    """Each left row with the values of the latest right row at or before it, by one sort instead of a range join."""
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str], cell_hours: int = 24) -> DataFrame:
+    """Each left row with the values of the latest right row at or before it, by sorts instead of a range join.
+
+    Rows are sorted within a key's cells of ``cell_hours``, so a hot key is spread over its cells; what a cell
+    inherits is the last right row of the cells before, a table of one row for each key and cell.  Left rows
+    with null keys or times are kept and find nothing; of right rows at the same time one is taken.
+    """
     hold = [F.col(right_time).alias("_held"), *[F.col(v) for v in values]]
-    r = right.select(*keys, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.struct(*hold).alias("_right"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("_left"))
+    r = right.dropna(subset=[*keys, right_time]).select(*keys, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.struct(*hold).alias("_right"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("_left"))
     l = left.select(*keys, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(r.schema["_right"].dataType).alias("_right"), F.struct("*").alias("_left"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = r.unionByName(l).withColumn("_last", F.last("_right", ignorenulls=True).over(w))
-    return both.where("_side = 1").select("_left.*", *[F.col(f"_last.{v}").alias(v) for v in values], F.col("_last._held").alias("as_of"))
+    both = r.unionByName(l).withColumn("_cell", F.floor(F.unix_timestamp(F.col("_t").cast("timestamp")) / (3600 * cell_hours)))
+    cells = both.groupBy(*keys, "_cell").agg(F.max_by("_right", F.when(F.col("_right").isNotNull(), F.col("_t"))).alias("_end"))
+    before = F.last("_end", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    carried = cells.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_cell").alias("_c"), before.alias("_carried"))
+    same = reduce(lambda x, y: x & y, [F.col("_cell").eqNullSafe(F.col("_c")), *[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]])
+    w = Window.partitionBy(*keys, "_cell").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    last = both.withColumn("_last", F.last("_right", ignorenulls=True).over(w)).where("_side = 1").join(carried, same, "left").withColumn("_last", F.coalesce("_last", "_carried"))
+    return last.select("_left.*", *[F.col(f"_last.{v}").alias(v) for v in values], F.col("_last._held").alias("as_of"))
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_time: Column, right_time: Column, most: float, value: str) -> DataFrame:

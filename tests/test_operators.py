@@ -100,3 +100,11 @@ def test_stream_equals_batch(spark, tmp_path):
     got = live.drain(spark, live.tumbling(stream).withColumn("start", F.col("start").cast("string")), "tumbled", "complete", str(tmp_path / "c"))
     want = live.tumbling(e).withColumn("start", F.col("start").cast("string"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_as_of_reaches_over_empty_cells(spark):
+    l = spark.createDataFrame([("a", "2024-01-05 10:00:00"), ("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 05:00:00"), ("b", "2024-01-05 00:00:00"), (None, "2024-01-05 00:00:00"), ("a", None)], "k string, t string").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    r = spark.createDataFrame([("a", "2024-01-01 05:00:00", 1), ("a", "2024-01-02 00:00:00", 2), (None, "2024-01-01 00:00:00", 3), ("b", "2024-01-05 00:00:01", 4)], "k string, u string, v int").withColumn("u", F.col("u").cast("timestamp_ntz"))
+    got = {(x.k, x.t and x.t.strftime("%d %H")): x.v for x in align.as_of(l, r, ["k"], "t", "u", ["v"]).collect()}
+    assert got == {("a", "05 10"): 2, ("a", "01 00"): None, ("a", "01 05"): 1, ("b", "05 00"): None, (None, "05 00"): None, ("a", None): None}
+    assert align.as_of(l, r.limit(0), ["k"], "t", "u", ["v"]).count() == 6
