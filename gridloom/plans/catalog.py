@@ -189,7 +189,7 @@ def blend_min_members(spark, sf_dir):
 
 OVERLAP = SERIES + """, b AS (SELECT point, step // 6 * 6 AS start_h, step // 6 * 6 + 6 AS end_h, round(sum(precip), 3) AS mm FROM series GROUP BY ALL),
  d AS (SELECT DISTINCT point, (step + 8) // 24 * 24 - 8 AS from_h FROM series)
-SELECT point, from_h, round(sum(mm * (least(end_h, from_h + 24) - greatest(start_h, from_h)) / 6.0), 6) AS mm, CAST(sum(least(end_h, from_h + 24) - greatest(start_h, from_h)) AS BIGINT) AS hours
+SELECT point, CAST(from_h AS BIGINT) AS from_h, round(sum(mm * (least(end_h, from_h + 24) - greatest(start_h, from_h)) / 6.0), 6) AS mm, CAST(sum(least(end_h, from_h + 24) - greatest(start_h, from_h)) AS BIGINT) AS hours
 FROM b JOIN d USING (point) WHERE start_h < from_h + 24 AND end_h > from_h GROUP BY ALL"""
 
 

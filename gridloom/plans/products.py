@@ -143,7 +143,7 @@ def step_lists(spark, sf_dir):
 
 @query("""WITH i AS (SELECT event_id, date_trunc('hour', ts) - to_hours(CAST(hour(ts) % 6 AS INT)) AS init, ts AS issue, floor(epoch(ts)) / 3600.0 + 8 AS h FROM events), f AS (SELECT *, CASE WHEN floor((h - 8) / 12) * 12 + 20 - h < 6 THEN floor((h - 8) / 12) * 12 + 20 ELSE floor((h - 8) / 12) * 12 + 8 END AS f FROM i),
  p AS (SELECT *, unnest(range(CASE WHEN f % 24 = 8 THEN 10 ELSE 11 END)) AS k FROM f), s AS (SELECT *, CAST(f + 12 * k AS BIGINT) AS s, CAST(f + 12 * k - epoch(init) / 3600 - 8 AS BIGINT) AS start_lead FROM p)
-SELECT issue, count(*) AS periods, min(start_lead) AS start_lead, max(start_lead + 12) AS end_lead, min(CASE WHEN s % 24 = 8 THEN 'day' ELSE 'night' END) AS a_kind, string_agg(CASE WHEN k = 0 THEN CASE WHEN s // 24 < CAST(floor(h) AS BIGINT) // 24 THEN '今天凌晨' ELSE '今天' || CASE WHEN s % 24 = 8 THEN '白天' ELSE '夜间' END END ELSE '' END, '') AS label
+SELECT issue, count(*) AS periods, min(start_lead)::INT AS start_lead, max(start_lead + 12)::INT AS end_lead, min(CASE WHEN s % 24 = 8 THEN 'day' ELSE 'night' END) AS a_kind, string_agg(CASE WHEN k = 0 THEN CASE WHEN s // 24 < CAST(floor(h) AS BIGINT) // 24 THEN '今天凌晨' ELSE '今天' || CASE WHEN s % 24 = 8 THEN '白天' ELSE '夜间' END END ELSE '' END, '') AS label
 FROM s WHERE start_lead >= 0 AND start_lead + 12 <= 144 GROUP BY issue""")
 def period_plan(spark, sf_dir):
     i = table(spark, sf_dir, "events").select(times.floor_hours(F.col("ts"), 6).alias("init"), F.col("ts").alias("issue"))
