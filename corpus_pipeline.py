@@ -16,7 +16,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies (five-word shingles, similarity 0.8)."""
-    return jaccard_join.keep_one(docs, jaccard_join.similar_documents(docs, words=5, numerator=80, denominator=100))
+    return jaccard_join.keep_one(docs, jaccard_join.similar_groups(docs, words=5, numerator=80, denominator=100))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

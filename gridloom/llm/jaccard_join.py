@@ -13,6 +13,9 @@ another hash; if only one of two sets does, the other one's prefix was long enou
 Candidates are verified exactly.  A bucket of sets is first joined as a star around its smallest id; buckets
 that the links so found leave in several components are compared pair by pair in blocks of bounded size,
 with a parity sketch that only discards pairs which differ too much, and survivors are verified as well.
+
+That finds the components.  Every link lies in one of them, so links are counted (or listed) by comparing all
+pairs of a component's different sets exactly, in pairs of blocks of bounded size, each pair once.
 """
 
 from __future__ import annotations
@@ -273,16 +276,19 @@ def _crossing(rows: DataFrame, scheme: Scheme, block: int) -> DataFrame:
     return map_rows(rows, run, "a long, b long")
 
 
-def similar_documents(docs: DataFrame, words: int = 5, numerator: int = 80, denominator: int = 100, block: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id, n_links) of every row.
+@dataclass(frozen=True)
+class _Groups:
+    """What the join knows before links are counted."""
 
-    Documents link when denominator * |intersection| >= numerator * |union| of their sets of ``words``-word
-    shingles; with fewer words the whole sequence is one shingle.  ``component_id`` is the smallest id
-    reachable by links.  Equal sets form a class, named by its smallest id; ``n_links`` counts the verified
-    links between classes at the class's document, a spanning part of all links.  Empty and null texts have
-    no shingles and link with nothing; repeated rows of one id are one document, with the least of their texts,
-    and have one row each; rows without an id get a null component; an empty table gives no rows; other columns are not read.
-    """
+    scheme: Scheme
+    words: int
+    texts: DataFrame  # doc_id, text
+    heads: DataFrame  # doc_id, n: one document of each set
+    placed: DataFrame  # doc_id, component_id of the documents that link
+    rows: DataFrame  # doc_id, n_shingles, component_id, class_id of every row
+
+
+def _groups(docs: DataFrame, words: int, numerator: int, denominator: int, block: int, id_col: str, text_col: str) -> _Groups:
     texts = whole_texts(docs, id_col, text_col)
     scheme = Scheme(numerator, denominator, documents=docs.count())
     again = texts.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").cast("int").alias("rows")).where("rows > 1")
@@ -338,13 +344,113 @@ def similar_documents(docs: DataFrame, words: int = 5, numerator: int = 80, deno
     bridges = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_component", "a").alias("a"), F.coalesce("b_component", "b").alias("b"))
     merged = components(bridges).select(F.col("id").alias("component"), F.col("component").alias("final"))
     final = joined.select(F.col("id").alias("doc_id"), "component").unionByName(bridges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(joined.select(F.col("id").alias("doc_id")), "doc_id", "left_anti").withColumn("component", F.col("doc_id")))
-    final = final.join(merged, "component", "left").select("doc_id", F.coalesce("final", "component").alias("component_id"))
-    degree = links.union(more).select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n_links"))
+    final = settle(final.join(merged, "component", "left").select("doc_id", F.coalesce("final", "component").alias("component_id")))
     named = full.select("doc_id", F.col("n").alias("n_shingles"), "class_id").unionByName(told.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("class_id")))
-    rows = named.join(final, "doc_id", "left").join(degree, "doc_id", "left")
+    rows = named.join(final, "doc_id", "left")
     if repeated:
         rows = rows.join(again, "doc_id", "left").withColumn("_", F.explode(F.sequence(F.lit(1), F.coalesce("rows", F.lit(1)))))
-    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    rows = rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    return _Groups(scheme, words, texts.where("doc_id IS NOT NULL"), heads.select("doc_id", "n"), final, rows)
+
+
+def _links_of(sets: list, side: list | None, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of all pairs of linked sets; unless ``side`` is None, of pairs of different sides only."""
+    n = np.array([len(s) for s in sets], dtype=np.int64)
+    order = np.argsort(n, kind="stable")
+    n, side = n[order], None if side is None else np.array(side)[order]
+    _, flat, often = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(n)), n)
+    met = often[flat] > 1  # an element of one set alone is in no intersection
+    flat, owner = flat[met], owner[met]
+    ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(n)))))
+    mark = np.zeros(len(often), dtype=bool)
+    left, right = [], []
+    for i in range(len(n) - 1):
+        stop = int(np.searchsorted(n, scheme.most(int(n[i])), side="right"))
+        if stop <= i + 1:
+            continue
+        own = flat[ends[i] : ends[i + 1]]
+        mark[own] = True
+        sums = np.concatenate(([0], np.cumsum(mark[flat[ends[i + 1] : ends[stop]]])))
+        mark[own] = False
+        at = ends[i + 1 : stop + 1] - ends[i + 1]
+        common = sums[at[1:]] - sums[at[:-1]]
+        ok = scheme.denominator * common >= scheme.numerator * (n[i] + n[i + 1 : stop] - common)
+        if side is not None:
+            ok &= side[i + 1 : stop] != side[i]
+        found = np.flatnonzero(ok) + i + 1
+        left.append(np.full(len(found), i))
+        right.append(found)
+    none = np.zeros(0, dtype=np.int64)
+    return order[np.concatenate([none, *left])], order[np.concatenate([none, *right])]
+
+
+def _all_links(groups: _Groups, block: int, listed: bool) -> DataFrame:
+    """(a, b) of all linked pairs of different sets, or (doc_id, n_links) of the documents that have any."""
+    scheme, words = groups.scheme, groups.words
+    placed = groups.placed.join(groups.heads, "doc_id")
+    sized = settle(placed.groupBy("component_id").agg(F.count("*").alias("members"), F.sum("n").alias("elements"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("members > 1"))
+    two = sized.where("members = 2")  # they link, being one component
+    parts = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("elements") / (block * 1000))).cast("int")
+    dealt = placed.join(sized.where("members > 2").select("component_id", parts.alias("parts")), "component_id").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    dealt = settle(dealt.select("doc_id", "component_id", "part", "parts"))
+    whole = _only(groups.texts, dealt.select("doc_id")).join(dealt, "doc_id")
+    whole = whole.select("component_id", "doc_id", "text", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    whole = whole.select("component_id", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"), "doc_id", "text", "part")
+    whole = whole.repartition("component_id", "part_a", "part_b").sortWithinPartitions("component_id", "part_a", "part_b")
+
+    def run(batches):
+        def answer(key, ids, sets, side):
+            i, j = _links_of(sets, None if key[1] == key[2] else side, scheme)
+            ids = np.array(ids, dtype=np.int64)
+            if listed:
+                return {"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])}
+            count = np.bincount(np.concatenate((i, j)), minlength=len(ids))
+            some = np.flatnonzero(count)
+            return {"doc_id": ids[some], "n_links": count[some]}
+
+        now, ids, sets, side = None, [], [], []
+        for batch in batches:
+            for c, p, q, doc, text, part in zip(*(batch[k] for k in ("component_id", "part_a", "part_b", "doc_id", "text", "part"))):
+                if (c, p, q) != now:
+                    if ids:
+                        yield answer(now, ids, sets, side)
+                    now, ids, sets, side = (c, p, q), [], [], []
+                ids.append(doc)
+                sets.append(shingles(words)(text))
+                side.append(part)
+        if ids:
+            yield answer(now, ids, sets, side)
+
+    found = map_rows(whole, run, "a long, b long" if listed else "doc_id long, n_links long")
+    if listed:
+        return found.unionByName(two.select("a", "b"))
+    return found.unionByName(two.select(F.explode(F.array("a", "b")).alias("doc_id"), F.lit(1).cast("long").alias("n_links"))).groupBy("doc_id").agg(F.sum("n_links").alias("n_links"))
+
+
+def similar_groups(docs: DataFrame, words: int = 5, numerator: int = 80, denominator: int = 100, block: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, class_id) of every row, as ``similar_documents``, without counting links."""
+    return _groups(docs, words, numerator, denominator, block, id_col, text_col).rows
+
+
+def linked_pairs(docs: DataFrame, words: int = 5, numerator: int = 80, denominator: int = 100, block: int = 1500, id_col: str = "doc_id", text_col: str = "text", link_block: int = 500) -> DataFrame:
+    """(a, b), a < b, of all links between different sets, each once; a set is named by its class."""
+    return _all_links(_groups(docs, words, numerator, denominator, block, id_col, text_col), link_block, True)
+
+
+def similar_documents(docs: DataFrame, words: int = 5, numerator: int = 80, denominator: int = 100, block: int = 1500, id_col: str = "doc_id", text_col: str = "text", link_block: int = 500) -> DataFrame:
+    """(doc_id, n_shingles, component_id, class_id, n_links) of every row.
+
+    Documents link when denominator * |intersection| >= numerator * |union| of their sets of ``words``-word
+    shingles; with fewer words the whole sequence is one shingle.  ``component_id`` is the smallest id
+    reachable by links.  Equal sets form a class, named by its smallest id; ``n_links`` is the number of other
+    classes that the document's class links with, the same for every copy.  Empty and null texts have
+    no shingles and link with nothing; repeated rows of one id are one document, with the least of their texts,
+    and have one row each; rows without an id get a null component; an empty table gives no rows; other columns are not read.
+    """
+    groups = _groups(docs, words, numerator, denominator, block, id_col, text_col)
+    degree = _all_links(groups, link_block, False).withColumnRenamed("doc_id", "class_id")
+    return groups.rows.join(degree, "class_id", "left").select("doc_id", "n_shingles", "component_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, similar: DataFrame) -> DataFrame:

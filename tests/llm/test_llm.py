@@ -179,6 +179,33 @@ def test_jaccard_join(docs, empty, k, num):
     assert jaccard_join.similar_documents(empty, k, num, 100).count() == 0
 
 
+def test_all_links_are_counted(spark, docs, link_block=4):
+    """Also those within a group whose documents are in one component already, and those of equal copies."""
+    base = [f"w{i}" for i in range(60)]
+    near = [" ".join([*base[i % 4 :], f"x{i}"]) for i in range(30)]
+    rows = [*texts_of(docs), *((1000 + i, t) for i, t in enumerate([*near, *near[:5]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets, links = {}, defaultdict(set)
+    for d, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        if d is not None and w:
+            sets[d] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+    heads = {}
+    for d in sorted(sets):
+        heads.setdefault(sets[d], d)
+    own = sorted(heads.items(), key=lambda p: p[1])
+    for k, (s, a) in enumerate(own):
+        for t, b in own[k + 1 :]:
+            if 100 * len(s & t) >= 80 * len(s | t):
+                links[a].add(b)
+                links[b].add(a)
+    got = jaccard_join.similar_documents(df, 5, 80, 100, link_block=link_block).where("doc_id IS NOT NULL").collect()
+    assert {r.doc_id: r.n_links for r in got} == {d: len(links[heads[sets[d]]]) if d in sets else 0 for d, _ in rows if d is not None}
+    assert sum(len(v) for k, v in links.items() if k >= 1000) == 30 * 29
+    pairs = sorted((r.a, r.b) for r in jaccard_join.linked_pairs(df, 5, 80, 100, link_block=link_block).collect())
+    assert pairs == sorted((a, b) for a, v in links.items() for b in v if a < b)
+
+
 def test_signatures_meet(spark):
     """Two sets within the threshold always share a signature, whatever the allowances."""
     rng = np.random.default_rng(1)
