@@ -13,7 +13,7 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
 
     Null ends and loops are left out; an empty table has no components.  Each round joins links with every
     id's smallest neighbour; the number of rounds grows with the logarithm of the largest component, and only
-    two numbers of a round come to the driver.
+    two numbers of a round come to the driver.  If the edges still change in the last round, it raises.
     """
     edges = settle(links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     before = None
@@ -31,5 +31,7 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
+    else:
+        raise RuntimeError(f"components still change after {most_rounds} rounds")
     leaves = edges.select(F.col("b").alias("id"), F.col("a").alias("component"))
     return leaves.union(edges.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())

@@ -255,6 +255,12 @@ def test_components(spark):
     assert graph.components(links.where("false")).count() == 0
 
 
+def test_components_raise_when_the_rounds_run_out(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, 30)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        graph.components(links, most_rounds=2)
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
