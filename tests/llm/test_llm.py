@@ -261,42 +261,109 @@ def test_components_raise_when_the_rounds_run_out(spark):
         graph.components(links, most_rounds=2)
 
 
-def test_packing(docs, empty):
+def test_packing(spark, docs, empty):
     from tokenizers import Tokenizer
 
     path = P.path("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    rows = packing.pack_documents(docs, path, shard_items=20).collect()
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame([(900, "a<|endoftext|>b <|STARTOFTEXT|> c"), (901, "<|startoftext|>"), (902, "<|endoftext|> <|endoftext|>x <|end")], "doc_id long, text string"))
+    told: list = []
+    packed = packing.pack_documents(rows, path, base=2, told=told).collect()
     want = defaultdict(int)
-    for d, t in texts_of(docs):
+    for d, t in texts_of(rows):
         ids = [*plain.encode(t, add_special_tokens=False).ids, 0]
         for k in range(0, len(ids), 2048):
             want[d, k // 2048, k, len(ids[k : k + 2048]), zlib.crc32(np.array(ids[k : k + 2048], "<u4").tobytes())] += 1
     got, bins = defaultdict(int), defaultdict(list)
-    for r in rows:
+    for r in packed:
         got[r.doc_id, r.piece, r.start, r.length, r.ids_crc32] += 1
         bins[r.sequence_id].append((r.offset, r.length))
-    assert got == want
+    assert got == want and 49407 in plain.encode("a<|endoftext|>b", add_special_tokens=False).ids
     for parts in bins.values():
         at = 0
         for offset, length in sorted(parts):
             assert offset == at
             at += length
         assert at <= 2048
+    assert len(bins) <= -(-sum(r.length for r in packed) // 2048) + 1 and len(told) > 1
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_packing_of_odd_pieces(spark):
+    rows = [(7, None, "a"), (8, 0, "b"), (9, 11, "c"), (1, 10, "d"), (2, 10, "d"), *((k, 1, "hot") for k in range(100, 200)), *((k, 6, "six") for k in range(300, 310))]
+    got = packing.pack(spark.createDataFrame(rows, "_size long, length int, sequence_id string").withColumnRenamed("sequence_id", "_row"), 10, base=3).collect()
+    assert sorted(r._size for r in got if r.sequence_id is None) == [7, 8, 9]
+    assert sorted(r._size for r in got) == sorted(r[0] for r in rows)
+    held = defaultdict(list)
+    for r in got:
+        if r.sequence_id is not None:
+            held[r.sequence_id].append((r.offset, r.length))
+    assert all(sum(n for _, n in x) <= 10 and [o for o, _ in sorted(x)] == np.cumsum([0, *(n for _, n in sorted(x))][:-1]).tolist() for x in held.values())
+    assert len(held) == 18  # two full ones, ten with a six and four ones, six of ones
+
+
+def fewest_bins(size, capacity):
+    """The optimum by trying every way."""
+    best = [len(size)]
+
+    def put(k, loads):
+        if len(loads) >= best[0]:
+            return
+        if k == len(size):
+            best[0] = len(loads)
+            return
+        for i, x in enumerate(loads):
+            if x + size[k] <= capacity and x not in loads[:i]:
+                put(k + 1, [*loads[:i], x + size[k], *loads[i + 1 :]])
+        put(k + 1, [*loads, size[k]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_genetic_algorithm_against_the_optimum():
+    rng = random.Random(5)
+    for seed in range(12):
+        size = sorted((rng.randint(8, 60) for _ in range(9)), reverse=True)
+        assert len(packing.evolve(size, 100, [], 8, 200, seed, 200).best.bins) == fewest_bins(size, 100)
+
+
+def test_crossover_gains_where_best_fit_fails():
+    """Triplets that fill their bins exactly: longest-first best fit misses many of them."""
+    rng, over_plain, over_first = random.Random(9), 0, 0
+    for seed in range(4):
+        size = []
+        for _ in range(40):
+            a, b = rng.randint(26, 48), rng.randint(26, 48)
+            size += [a, b, 120 - a - b]
+        plain = len(packing.best_fit([], [], packing.longest_first(range(120), size), size, 120).bins)
+        e = packing.evolve(size, 120, [], 10, 200, seed, 200)
+        assert len(e.best.bins) <= plain and e.crossovers > 0 and e.gains > 0
+        over_plain += plain - len(e.best.bins)
+        over_first += e.began - len(e.best.bins)
+    assert over_plain > 0 and over_first > 0
+
+
 def test_packing_is_close_to_the_bound():
     rng = random.Random(6)
     for low, high in ((20, 900), (1, 2000)):
         size = [rng.randint(low, high) for _ in range(600)]
-        best = packing.evolve(size, 2048, [], 4, 6, 1)
+        best = packing.evolve(size, 2048, [], 4, 20, 1).best
         assert sorted(j for b in best.bins for j in b) == list(range(600)) and max(best.loads) <= 2048
         assert best.loads == [sum(size[j] for j in b) for b in best.bins]
-        assert len(best.bins) <= len(packing.best_fit([], [], list(range(600)), size, 2048).bins)
-        least = max(-(-sum(size) // 2048), sum(x > 1024 for x in size))
-        assert len(best.bins) <= 1.02 * least + 1
+        assert len(best.bins) <= len(packing.best_fit([], [], packing.longest_first(range(600), size), size, 2048).bins)
+        # levels: the same counts at any base, and about the same number of sequences
+        solve = lambda s, k: (packing.evolve(s, 2048, [], 4, 20, k).best, {})
+        counts = {s: size.count(s) * 300 for s in set(size)}
+        levels, _ = packing.pack_counts(counts, 2048, solve, 4, 100)
+        held = defaultdict(int)
+        for level in levels:
+            for b in level.bins:
+                assert sum(b) <= 2048
+                for s in b:
+                    held[s] += level.copies
+        assert held == counts
+        assert sum(len(x.bins) * x.copies for x in levels) <= 1.01 * packing.least_bins([s for s, n in counts.items() for _ in range(n)], 2048) + 1
 
 
 def test_chat(spark):
