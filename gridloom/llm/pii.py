@@ -4,6 +4,9 @@ The patterns' matches stand.  Around every character that can belong to personal
 cut into tokens; candidate segments of bounded length are scored by features of the whole span, and dynamic
 programming chooses boundaries and types jointly.  Segments without such a character are no candidates, so
 text outside of windows holds none by definition and whole texts are covered at the speed of one scan.
+
+The field sees a window of ``reach`` characters on both sides of such a character, widened to white space, and
+segments of at most ``longest`` tokens: longer ones are not found by it (the patterns have no such bound).
 """
 
 from __future__ import annotations
@@ -12,6 +15,8 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -124,61 +129,68 @@ def span_features(text: str, tokens: list[tuple[int, int]], i: int, j: int, befo
     return f
 
 
-def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, list[str]]]:
-    """Segments of at most LONGEST tokens that hold a digit or an at sign and begin and end sensibly."""
+def candidates(text: str, tokens: list[tuple[int, int]], longest: int = LONGEST) -> Iterator[tuple[int, int, list[str]]]:
+    """Segments of at most ``longest`` tokens that hold a digit or an at sign and begin and end sensibly, in order of their start, then end."""
     cue = [bool(re.search(r"[0-9@]", text[a:z])) or text[a:z].lower() in ("at", "dot") for a, z in tokens]
-    word = [text[a:z].lower() for a, z in tokens]
     before = ""
-    out = []
     for i, (a, z) in enumerate(tokens):
         if text[a].isalnum() or text[a] in "+(":
             near = False
-            for j in range(i + 1, min(len(tokens), i + LONGEST) + 1):
+            for j in range(i + 1, min(len(tokens), i + longest) + 1):
                 near = near or cue[j - 1]
                 if tokens[j - 1][0] > z and tokens[j - 1][0] - tokens[j - 2][1] > 2:
                     break
                 if near and text[tokens[j - 1][1] - 1].isalnum():
-                    out.append((i, j, span_features(text, tokens, i, j, before)))
-        if word[i][0].isalpha():
-            before = word[i]
-    return out
+                    yield i, j, span_features(text, tokens, i, j, before)
+        word = text[a:z].lower()
+        if word[0].isalpha():
+            before = word
 
 
 class SemiMarkovField:
     """Weights of (type, feature); tokens outside of entities score 0."""
 
     def __init__(self, weights: dict[str, np.ndarray]):
-        self.weights = weights
+        self.weights = {f: tuple(map(float, w)) for f, w in weights.items()}
 
-    def scores(self, segments) -> np.ndarray:
-        zero = np.zeros(len(KINDS))
-        return np.array([sum((self.weights.get(f, zero) for f in fs), zero) for _, _, fs in segments]).reshape(-1, len(KINDS))
+    def score(self, features: list[str]) -> list[float]:
+        """Of a segment as each kind."""
+        out = [0.0] * len(KINDS)
+        for f in features:
+            if w := self.weights.get(f):
+                out = [x + y for x, y in zip(out, w)]
+        return out
 
-    def spans(self, text: str) -> list[tuple[int, int, int]]:
-        """The best joint choice of non-overlapping (kind, start, end)."""
+    def spans(self, text: str, longest: int = LONGEST) -> list[tuple[int, int, int]]:
+        """The best joint choice of non-overlapping (kind, start, end).
+
+        Candidates are scored as they come and only the best way to each token is kept, so memory grows with the tokens.
+        """
         tokens = [m.span() for m in TOKEN.finditer(text)]
-        segments = candidates(text, tokens)
-        if not segments:
-            return []
-        score = self.scores(segments)
-        kind, value = score.argmax(axis=1), score.max(axis=1)
-        ending: dict[int, list[int]] = {}
-        for k, (_, j, _) in enumerate(segments):
-            if value[k] > 0:
-                ending.setdefault(j, []).append(k)
-        best, back = [0.0] * (len(tokens) + 1), [-1] * (len(tokens) + 1)
-        for t in range(1, len(tokens) + 1):
-            best[t] = best[t - 1]
-            for k in ending.get(t, ()):
-                if (v := best[segments[k][0]] + value[k]) > best[t]:
-                    best[t], back[t] = v, k
+        best, back, done = [0.0] + [-math.inf] * len(tokens), [-1] * (len(tokens) + 1), 0
+
+        def pass_over(upto: int) -> None:
+            """Tokens before ``upto`` may also be no part of a segment, which counts among equals."""
+            nonlocal done
+            while done < upto:
+                if best[done] >= best[done + 1]:
+                    best[done + 1], back[done + 1] = best[done], -1
+                done += 1
+
+        for i, j, features in candidates(text, tokens, longest):
+            pass_over(i)
+            score = self.score(features)
+            value = max(score)
+            if value > 0 and best[i] + value > best[j]:
+                best[j], back[j] = best[i] + value, len(KINDS) * i + score.index(value)
+        pass_over(len(tokens))
         out, t = [], len(tokens)
         while t:
             if back[t] < 0:
                 t -= 1
             else:
-                i, j, _ = segments[back[t]]
-                out.append((int(kind[back[t]]), tokens[i][0], tokens[j - 1][1]))
+                i, kind = divmod(back[t], len(KINDS))
+                out.append((kind, tokens[i][0], tokens[t - 1][1]))
                 t = i
         return out[::-1]
 
@@ -189,7 +201,7 @@ def train(examples: list[tuple[str, list[tuple[int, int, int]]]], epochs: int =
     data = []
     for text, gold in examples:
         tokens = [m.span() for m in TOKEN.finditer(text)]
-        segments = candidates(text, tokens)
+        segments = list(candidates(text, tokens))
         if not segments:
             continue
         want = {(a, z): k for k, a, z in gold}
@@ -300,46 +312,55 @@ def default_field() -> SemiMarkovField:
 # ---------------------------------------------------------------- operator
 
 
-def windows(text: str):
+def windows(text: str, reach: int = REACH) -> Iterator[tuple[int, int]]:
     """Stretches around the characters that personal data can hold, widened to white space, without overlap."""
-    start = end = -1
+    start, end, done = -1, -1, 0
     for m in CUE.finditer(text):
         a, z = m.span()
-        if start >= 0 and a - REACH <= end:
-            end = max(end, z + REACH)
+        if start >= 0 and a - reach <= end:
+            end = max(end, z + reach)
             continue
         if start >= 0:
-            yield _widened(text, start, end)
-        start, end = max(a - REACH, end if end > 0 else 0, 0), z + REACH
+            yield (found := _widened(text, max(start, done), end, done))
+            done = found[1]
+        start, end = max(a - reach, 0), z + reach
     if start >= 0:
-        yield _widened(text, start, end)
+        yield _widened(text, max(start, done), end, done)
 
 
-def _widened(text: str, a: int, z: int) -> tuple[int, int]:
-    while 0 < a and not text[a - 1].isspace():
+def _widened(text: str, a: int, z: int, done: int) -> tuple[int, int]:
+    while done < a and not text[a - 1].isspace():
         a -= 1
     while z < len(text) and not text[z].isspace():
         z += 1
     return a, min(z, len(text))
 
 
-def all_spans(text: str, field: SemiMarkovField) -> tuple[list, list]:
+class Taken:
+    """Where spans lie, for tests of overlap by bisection."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, z in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], z)
+            else:
+                self.starts.append(a)
+                self.ends.append(z)
+
+    def meets(self, a: int, z: int) -> bool:
+        k = bisect_left(self.starts, z) - 1  # the last stretch that begins before z
+        return k >= 0 and self.ends[k] > a
+
+
+def all_spans(text: str, field: SemiMarkovField, reach: int = REACH, longest: int = LONGEST) -> tuple[list, list]:
     """(base spans, base and added spans), each ordered by kind and start; an added span overlaps no other."""
     base = base_spans(text)
-    taken = sorted((a, z) for _, a, z in base)
-    added, done = [], -1
-    k = 0
-    for a, z in windows(text):
-        a = max(a, done)
-        done = z
-        if a >= z:
-            continue
-        for kind, s, e in field.spans(text[a:z]):
-            s, e = s + a, e + a
-            while k < len(taken) and taken[k][1] <= s - 200:
-                k += 1
-            if not any(x < e and s < y for x, y in taken[k : k + 64]):
-                added.append((kind, s, e))
+    taken = Taken([(a, z) for _, a, z in base])
+    added = []
+    for a, z in windows(text, reach):
+        added += [(kind, s + a, e + a) for kind, s, e in field.spans(text[a:z], longest) if not taken.meets(s + a, e + a)]
     return base, sorted(base + added)
 
 
@@ -347,18 +368,19 @@ SPANS = "doc_id long, base array<struct<kind:string,start:long,end:long>>, spans
 _named = lambda spans: [{"kind": KINDS[k], "start": a, "end": z} for k, a, z in spans]
 
 
-def find_personal_data(docs: DataFrame, field: SemiMarkovField | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_personal_data(docs: DataFrame, field: SemiMarkovField | None = None, reach: int = REACH, longest: int = LONGEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base and all spans of every whole text, as code point offsets with exclusive ends.
 
     Null and empty texts have none; repeated rows give repeated rows; an empty table none.  The field is
-    trained on made-up sentences where none is given.
+    trained on made-up sentences where none is given; ``reach`` and ``longest`` bound what it sees.  Time grows with the
+    text, at most ``longest`` candidates a token.
     """
     model = field or default_field()
 
     def find(batches):
         for b in batches:
             for ids, texts in blocks(b["doc_id"], b["text"]):
-                both = [all_spans(t, model) for t in texts]
+                both = [all_spans(t, model, reach, longest) for t in texts]
                 yield {"doc_id": ids, "base": [_named(x) for x, _ in both], "spans": [_named(x) for _, x in both]}
 
     return map_rows(whole_texts(docs, id_col, text_col), find, SPANS)

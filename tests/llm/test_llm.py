@@ -106,6 +106,61 @@ def test_personal_data(spark, docs, empty):
     assert pii.find_personal_data(docs).count() == docs.count() and pii.find_personal_data(empty).count() == 0
 
 
+def test_field_decodes_as_every_segmentation_would():
+    """The dynamic programme's choice scores as much as the best of all segmentations, tried one by one."""
+    field, rng = pii.default_field(), random.Random(12)
+    parts = ["bo", "@", "x.org", "4524", "1326", "+1", "(988)", "555", "-", "10.0.0.7", " ", " ", "call", "at", "."]
+    for _ in range(150):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 9)))
+        tokens = [m.span() for m in pii.TOKEN.finditer(text)]
+        segments = [(i, j, kind, v) for i, j, f in pii.candidates(text, tokens) for kind, v in enumerate(field.score(f))]
+
+        def every(t, segments=segments, tokens=tokens):
+            if t == len(tokens):
+                return [(0.0, ())]
+            ways = every(t + 1)
+            for i, j, kind, v in segments:
+                if i == t and v > -1:  # lower ones cannot be part of a best way
+                    ways = ways + [(v + s, ((kind, tokens[i][0], tokens[j - 1][1]), *rest)) for s, rest in every(j)]
+            return sorted(ways, reverse=True)[:50]
+
+        best = every(0)[0][0]
+        value = {(kind, tokens[i][0], tokens[j - 1][1]): v for i, j, kind, v in segments}
+        assert sum(value[s] for s in field.spans(text)) == pytest.approx(best, abs=1e-9)
+
+
+def test_added_spans_keep_off_all_base_spans():
+    rng = random.Random(3)
+    for _ in range(300):
+        spans = [(a, a + rng.randint(1, 9)) for a in (rng.randint(0, 200) for _ in range(rng.randint(0, 30)))]
+        taken, a = pii.Taken(spans), rng.randint(0, 210)
+        z = a + rng.randint(1, 60)
+        assert taken.meets(a, z) == any(x < z and a < y for x, y in spans)
+    taken = pii.Taken([(0, 5000), *((10 * k, 10 * k + 3) for k in range(300))])  # a long one under hundreds of others
+    assert taken.meets(4990, 4995) and not taken.meets(5000, 5001)
+    field = pii.default_field()
+    text = " ".join(["1.2.3.4"] * 500) + " call (988) 555-2485 " + "5.6.7.8 " * 500
+    base, spans = pii.all_spans(text, field)
+    assert len(base) == 1000 and (3, text.index("(988)"), text.index("(988)") + 14) in spans
+
+
+def test_windows_and_what_the_field_sees():
+    rng = random.Random(6)
+    for _ in range(300):
+        t = "".join(rng.choice("ab 1@") if rng.random() < 0.2 else rng.choice("abc  ") for _ in range(200))
+        w = list(pii.windows(t, 10))
+        assert all(a < z for a, z in w) and all(x[1] <= y[0] for x, y in zip(w, w[1:]))
+        assert all(any(a <= m.start() < z for a, z in w) for m in re.finditer("[0-9@]", t))
+    field = pii.default_field()
+    spaced = "call + 3 1 5 5 5 0 1 9 9 2 2 now"  # one token a digit
+    assert len(field.spans(spaced, longest=4)) == 0 or all(len(spaced[a:z].split()) <= 4 for _, a, z in field.spans(spaced, longest=4))
+    long = ("word " * 30 + "(988) 555-2485 ") * 400  # very long: spans as in each part
+    one = pii.all_spans("word " * 30 + "(988) 555-2485 ", field)[1]
+    assert len(pii.all_spans(long, field)[1]) == 400 * len(one) == 400
+    digits = "".join(rng.choice("0123456789 ") for _ in range(60_000))
+    assert set(pii.all_spans(digits, field)[0]) <= set(pii.all_spans(digits, field)[1])
+
+
 def test_media_round_trip(spark, docs, empty):
     for r in media.media_digest(media.store_texts(docs)).collect():
         assert r.payload_bytes % 192 == 0 and r.payload_bytes >= 192
