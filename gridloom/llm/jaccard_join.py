@@ -191,14 +191,19 @@ _FILTER_BUCKETS, _BUCKET_BITS = 512, 32768
 
 def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """The texts whose id is in ``ids``, and perhaps a few others: by a bitmap of fixed size, so texts aren't shuffled."""
-    spot, maps, hit = _bitmap(ids)
-    near = texts.withColumn("spot", spot).withColumn("bucket", (F.col("spot") / _BUCKET_BITS).cast("int"))
-    return near.join(F.broadcast(maps), "bucket").where(hit).select("doc_id", "text")
+    return _maybe(texts, ids, "doc_id").select("doc_id", "text")
+
+
+def _maybe(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows whose ``column`` is in ``ids``, and perhaps others."""
+    spot, maps, hit = _bitmap(ids, column)
+    near = rows.withColumn("spot", spot).withColumn("bucket", (F.col("spot") / _BUCKET_BITS).cast("int"))
+    return near.join(F.broadcast(maps), "bucket").where(hit).select(*rows.columns)
 
 
-def _bitmap(ids: DataFrame):
+def _bitmap(ids: DataFrame, column: str = "doc_id"):
     """The place of an id, the bitmaps by bucket, and the test of columns ``spot`` and ``bits``."""
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(_FILTER_BUCKETS * _BUCKET_BITS))
+    spot = F.pmod(F.xxhash64(column), F.lit(_FILTER_BUCKETS * _BUCKET_BITS))
     maps = ids.groupBy((spot / _BUCKET_BITS).cast("int").alias("bucket")).agg(F.bitmap_construct_agg(F.pmod(spot, F.lit(_BUCKET_BITS))).alias("bits"))
     byte = F.expr(f"conv(hex(substr(bits, CAST(spot % {_BUCKET_BITS} / 8 AS int) + 1, 1)), 16, 10)").cast("int")
     return spot, maps, byte.bitwiseAND(F.expr("shiftleft(1, CAST(spot % 8 AS int))")) > 0
@@ -210,7 +215,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     link = scheme.denominator * common >= scheme.numerator * (F.size("x") + F.size("y") - common)
-    return pairs.join(left, "a").join(right, "b").where(link).select("a", "b")
+    # b first: a hub is a smallest id, so its set is met by its pairs and not carried on with each of them
+    return pairs.join(right, "b").join(left, "a").where(link).select("a", "b")
 
 
 def _likely(pairs: DataFrame, sketches: DataFrame, scheme: Scheme) -> DataFrame:
@@ -228,7 +234,7 @@ def _likely(pairs: DataFrame, sketches: DataFrame, scheme: Scheme) -> DataFrame:
     left = sketches.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
     right = sketches.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
     near = F.least("na", "nb") * scheme.denominator >= F.greatest("na", "nb") * scheme.numerator
-    return map_rows(pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "na", "nb", "x", "y"), run, "a long, b long")
+    return map_rows(pairs.join(right, "b").join(left, "a").where(near).select("a", "b", "na", "nb", "x", "y"), run, "a long, b long")
 
 
 def _crossing(rows: DataFrame, scheme: Scheme, block: int) -> DataFrame:
@@ -300,19 +306,18 @@ def _groups(docs: DataFrame, words: int, numerator: int, denominator: int, block
     classes = full.groupBy("print").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")).where("copies > 1")
     # the largest classes are told to all tasks, so their copies need not meet in one; the list is bounded, and
     # only where there are more classes do the documents that are in none of these meet by their sets' prints
-    large = F.broadcast(settle(classes.orderBy(F.desc("copies"), "class_id").limit(LARGE_CLASSES)))
-    full = full.join(large, "print", "left")
+    large = settle(classes.orderBy(F.desc("copies"), "class_id").limit(LARGE_CLASSES)).select("print", "class_id")
+    full = full.join(F.broadcast(large), "print", "left").withColumn("large", F.col("class_id").isNotNull())
     if classes.limit(LARGE_CLASSES + 1).count() > LARGE_CLASSES:
-        small = classes.join(large, "print", "left_anti").select("print", F.col("class_id").alias("small_class"))
-        left_over = full.where("class_id IS NULL").drop("class_id", "copies").join(small, "print", "left").withColumnRenamed("small_class", "class_id")
-        full = full.where("class_id IS NOT NULL").drop("copies").unionByName(left_over)
+        small = classes.join(F.broadcast(large), "print", "left_anti").select("print", F.col("class_id").alias("small_class"))
+        left_over = full.where("NOT large").drop("class_id").join(small, "print", "left").withColumnRenamed("small_class", "class_id")
+        full = full.where("large").unionByName(left_over)
     heads = full.where("class_id IS NULL OR class_id = doc_id")
-    bucket = Window.partitionBy("key").orderBy("doc_id")
-    met = heads.select(F.explode("keys").alias("key"), "doc_id").repartition("key").select(
-        "key", "doc_id", F.min("doc_id").over(bucket.rowsBetween(Window.unboundedPreceding, 0)).alias("first"),
-        F.lag("doc_id").over(bucket).alias("before"), F.lead("doc_id").over(bucket).alias("after"),
-    )
-    shared = settle(met.where("before IS NOT NULL OR after IS NOT NULL").select("key", "doc_id", "first"))
+    # a key's smallest document by an aggregate that combines on the map side; only keys of several documents,
+    # which a bitmap of fixed size tells apart from most others, are looked up again, by a join whose hot keys can be split
+    by_key = heads.select(F.explode("keys").alias("key"), "doc_id")
+    several = settle(by_key.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"))
+    shared = settle(_maybe(by_key, several, "key").join(several, "key").select("key", "doc_id", "first"))
     sketches = full.select("doc_id", "n", "sketch")
     star = shared.where("first <> doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
 
@@ -328,14 +333,19 @@ def _groups(docs: DataFrame, words: int, numerator: int, denominator: int, block
         return settle(_verified(likely, settle(map_rows(wanted, with_sets, "doc_id long, shingles array<long>")), scheme))
 
     links = linked(star)
-    copies = full.where("doc_id <> class_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
-    joined = settle(components(links.union(copies)))
+    joined = settle(components(links))  # of one document of each class; copies are attached in the end
 
-    # buckets in several components: all pairs across them, in blocks
+    # buckets in several components: all pairs across them, in blocks; those of the largest component are not
+    # compared among themselves
     placed = shared.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("rows")).where("c <> d").select("key", F.ceil(F.col("rows") / block).cast("int").alias("parts"))
-    rest = placed.join(open_keys, "key").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    dealt = rest.select("key", "doc_id", "component", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    sized = placed.groupBy("key", "component").agg(F.count("*").alias("rows"))
+    open_keys = sized.groupBy("key").agg(F.max(F.struct("rows", "component")).alias("most"), F.sum("rows").alias("rows"), F.count("*").alias("c")).where("c > 1")
+    open_keys = open_keys.select("key", F.col("most.component").alias("main"), F.ceil(F.col("most.rows") / block).cast("int").alias("mains"), F.ceil((F.col("rows") - F.col("most.rows")) / block).cast("int").alias("others"))
+    own = F.xxhash64("doc_id")
+    is_main = F.col("component") == F.col("main")
+    part = F.when(is_main, F.pmod(own, F.col("mains"))).otherwise(F.col("mains") + F.pmod(own, F.col("others"))).cast("int")
+    rest = placed.join(open_keys, "key").withColumn("part", part)
+    dealt = rest.select("key", "doc_id", "component", "part", F.explode(F.sequence(F.when(is_main, F.col("mains")).otherwise(0), F.col("mains") + F.col("others") - 1)).alias("other"))
     dealt = dealt.select("key", "doc_id", "component", "part", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"))
     dealt = dealt.join(sketches, "doc_id")
     dealt = dealt.repartition("key", "part_a", "part_b").sortWithinPartitions("key", "part_a", "part_b")
@@ -345,11 +355,16 @@ def _groups(docs: DataFrame, words: int, numerator: int, denominator: int, block
     merged = components(bridges).select(F.col("id").alias("component"), F.col("component").alias("final"))
     final = joined.select(F.col("id").alias("doc_id"), "component").unionByName(bridges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(joined.select(F.col("id").alias("doc_id")), "doc_id", "left_anti").withColumn("component", F.col("doc_id")))
     final = settle(final.join(merged, "component", "left").select("doc_id", F.coalesce("final", "component").alias("component_id")))
-    named = full.select("doc_id", F.col("n").alias("n_shingles"), "class_id").unionByName(told.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("class_id")))
-    rows = named.join(final, "doc_id", "left")
+    head = full.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), "large")
+    of = final.select(F.col("doc_id").alias("class_id"), "component_id")
+    # copies of a large class get its component from a table as bounded as that of the classes
+    many = head.where("large").join(F.broadcast(of.join(F.broadcast(large.select("class_id")), "class_id", "left_semi")), "class_id", "left")
+    few = head.where("NOT large").join(of, "class_id", "left")
+    none = told.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    rows = many.unionByName(few).withColumn("component_id", F.coalesce("component_id", "class_id")).drop("large").unionByName(none)
     if repeated:
         rows = rows.join(again, "doc_id", "left").withColumn("_", F.explode(F.sequence(F.lit(1), F.coalesce("rows", F.lit(1)))))
-    rows = rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    rows = rows.select("doc_id", "n_shingles", "component_id", "class_id")
     return _Groups(scheme, words, texts.where("doc_id IS NOT NULL"), heads.select("doc_id", "n"), final, rows)
 
 

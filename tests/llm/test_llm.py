@@ -247,13 +247,17 @@ def plain_groups(rows, k, num, den):
     return {d: (len(sets[d]), top(d)) for d in sets}
 
 
-@pytest.mark.parametrize("k,num", [(4, 85), (5, 80)])
-def test_jaccard_join(docs, empty, k, num):
-    got = jaccard_join.similar_documents(docs, k, num, 100)
+@pytest.mark.parametrize("k,num,large,block", [(4, 85, None, 1500), (5, 80, None, 1500), (5, 80, 3, 2)])
+def test_jaccard_join(docs, empty, monkeypatch, k, num, large, block):
+    """``large``: so many classes of copies are told to all tasks, the others are joined; ``block``: buckets are cut into blocks."""
+    if large:
+        monkeypatch.setattr(jaccard_join, "LARGE_CLASSES", large)
+    got = jaccard_join.similar_documents(docs, k, num, 100, block=block)
     rows = got.collect()
     want = plain_groups([(d, t) for d, t in texts_of(docs) if d is not None], k, num, 100)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows if r.doc_id is not None} == want
     assert len(rows) == docs.count() and all(r.component_id is None for r in rows if r.doc_id is None)
+    assert sum(r.class_id != r.doc_id for r in rows if r.doc_id is not None) >= 25
     one = jaccard_join.keep_one(docs, got)
     assert sorted(r.doc_id for r in one.collect() if r.doc_id is not None) == sorted(d for d, (_, c) in want.items() if c == d)
     assert jaccard_join.similar_documents(empty, k, num, 100).count() == 0
