@@ -15,6 +15,7 @@ RAIN_12H = ((0.1, "无降水"), (5.0, "小雨"), (15.0, "中雨"), (30.0, "大
 SNOW_24H = ((0.1, ""), (2.5, "小雪"), (5.0, "中雪"), (10.0, "大雪"), (20.0, "暴雪"), (30.0, "大暴雪"), (math.inf, "特大暴雪"))
 SNOW_12H = ((0.1, ""), (1.0, "小雪"), (3.0, "中雪"), (6.0, "大雪"), (10.0, "暴雪"), (15.0, "大暴雪"), (math.inf, "特大暴雪"))
 RATES = ((0.1, ""), (2.6, "小雨"), (7.7, "中雨"), (20.0, "大雨"), (math.inf, "强降水"))
+# The order of grades, the eight winds, and the force from which gusts are told.
 RAIN_RANK = {"小雨": 1, "中雨": 2, "大雨": 3, "暴雨": 4, "大暴雨": 5, "特大暴雨": 6}
 COMPASS = ("北风", "东北风", "东风", "东南风", "南风", "西南风", "西风", "西北风")
 GUST_FORCE = 6
@@ -37,6 +38,13 @@ def wind_components(speed: Column, direction: Column) -> tuple[Column, Column]:
     return -speed * F.sin(F.radians(direction)), -speed * F.cos(F.radians(direction))
 
 
+def rescaled_wind(u: Column, v: Column, speed: Column) -> tuple[Column, Column]:
+    """The mean vector's direction with another speed, such as the mean of the members' speeds; a vector of no length stays at 0."""
+    length = F.hypot(u, v)
+    share = F.when(length > 1e-6, speed / length).otherwise(0.0)
+    return u * share, v * share
+
+
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = 6371.0088) -> Column:
     h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return 2 * radius * F.asin(F.sqrt(h))
@@ -50,9 +58,17 @@ def wrap_longitude(lon: Column) -> Column:
     return F.pmod(lon + 180, F.lit(360.0)) - 180
 
 
-def canonical(value: Column, unit: Column) -> Column:
-    """Kelvin to Celsius, percent to a fraction, metres and kg/m2 of water to millimetres, geopotential to metres; others stay."""
-    return F.when(unit == "K", value - 273.15).when(unit == "%", value / 100).when(unit == "m of water equivalent", value * 1000).when(unit == "m**2 s**-2", value / 9.80665).otherwise(value)
+def canonical(value: Column, unit: Column, field: Column) -> Column:
+    """By the message's own unit: Kelvin to Celsius for any field; rain and snow in metres to millimetres, cloud in percent to a fraction, terrain as geopotential to metres; others stay."""
+    u = F.trim(F.coalesce(unit, F.lit("")))
+    geopotential = u.startswith("m**2") | (u == "m2 s-2")
+    return (
+        F.when(u == "K", value - 273.15)
+        .when(field.isin("tp", "snow") & (u == "m"), value * 1000)
+        .when((field == "tcc") & (u == "%"), value / 100)
+        .when((field == "orog") & geopotential, value / 9.80665)
+        .otherwise(value)
+    )
 
 
 def lead_day(hours: Column) -> Column:

@@ -6,12 +6,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def bias_fit(pairs: DataFrame, keys: list[str], f: str, o: str, least: int, most_factor: float = 3.0) -> DataFrame:
-    """Mean bias and clipped ratio of means, null with fewer than ``least`` pairs."""
-    both = F.col(f).isNotNull() & F.col(o).isNotNull()
-    n = F.count_if(both)
-    ratio = F.try_divide(F.sum(F.when(both, F.col(o))), F.sum(F.when(both, F.col(f))))
-    return pairs.groupBy(*keys).agg(n.alias("n"), F.when(n >= least, F.avg(F.when(both, F.col(f) - F.col(o)))).alias("bias"), F.when(n >= least, F.least(F.greatest(ratio, F.lit(1 / 3)), F.lit(most_factor))).alias("factor"))
+def point_fit(pairs: DataFrame, keys: list[str], least: int = 20, most: float = 3.0) -> DataFrame:
+    """Corrections of each point from matched rows (t2m, wind_speed, precip, each with its ``_obs``).
+
+    ``bias`` is what observations exceed the forecast by; the factors are observed over modelled, clipped, and
+    need a mean wind above 0.1 and a total of rain above 1. Each needs ``least`` pairs of its own.
+    """
+
+    def both(c: str) -> tuple[Column, Column, Column]:
+        known = F.col(c).isNotNull() & F.col(f"{c}_obs").isNotNull()
+        return F.count_if(known) >= least, F.when(known, F.col(c)), F.when(known, F.col(f"{c}_obs"))
+
+    def factor(c: str, agg, floor: float) -> Column:
+        enough, f, o = both(c)
+        return F.when(enough & (agg(f) > floor), F.least(F.greatest(F.try_divide(agg(o), agg(f)), F.lit(1 / 3)), F.lit(most)))
+
+    enough, f, o = both("t2m")
+    return pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.when(enough, F.avg(o - f)).alias("bias"), factor("wind_speed", F.avg, 0.1).alias("wind_factor"), factor("precip", F.sum, 1.0).alias("precip_factor"))
+
+
+def apply_point_fit(series: DataFrame, fit: DataFrame, keys: list[str]) -> DataFrame:
+    """Corrected measures of a point series, the uncorrected ones beside them as ``*_raw``; points without a fit stay."""
+    add, blow, wet = F.coalesce("_b", F.lit(0.0)), F.coalesce("_w", F.lit(1.0)), F.coalesce("_p", F.lit(1.0))
+    change = {**{c: F.col(c) + add for c in ("t2m", "tmax3", "tmin3")}, **{c: F.col(c) * blow for c in ("wind_speed", "u10", "v10", "gust")}, **{c: F.col(c) * wet for c in ("precip", "precip_accum")}}
+    kept = [F.col(c).alias(f"{c}_raw") for c in ("t2m", "tmax3", "tmin3", "wind_speed", "precip", "precip_accum") if c in series.columns]
+    j = series.join(fit.select(*keys, F.col("bias").alias("_b"), F.col("wind_factor").alias("_w"), F.col("precip_factor").alias("_p")), keys, "left")
+    return j.select(*[change.get(c, F.col(c)).alias(c) for c in series.columns], *kept)
 
 
 def recency_weight(end: Column, newest: Column, half_life_days: float) -> Column:
@@ -26,11 +46,24 @@ def ewma_bias(errors: DataFrame, keys: list[str], time: str, error: str, alpha:
     return daily.groupBy(*keys).agg(seq.alias("s")).select(*keys, state.alias("bias"), F.size("s").alias("times"))
 
 
-def ewma_states(errors: DataFrame, keys: list[str], time: str, error: str, alpha: float) -> DataFrame:
-    """The same average after every time: one row for each."""
-    daily = errors.groupBy(*keys, time).agg(F.avg(error).alias("e")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col("e")))).alias("s"))
-    fold = F.aggregate("s", F.array().cast("array<struct<t:timestamp_ntz,b:double>>"), lambda a, x: F.array_append(a, F.struct(x["t"].cast("timestamp_ntz").alias("t"), F.when(F.size(a) == 0, x["e"]).otherwise(F.try_element_at(a, F.lit(-1))["b"] * (1 - alpha) + alpha * x["e"]).alias("b"))))
-    return daily.select(*keys, F.explode(fold).alias("x")).select(*keys, F.col("x.t").alias(time), F.col("x.b").alias("bias"))
+def ewma_states(errors: DataFrame, keys: list[str], time: str, error: str, alpha: float, block_days: int = 32) -> DataFrame:
+    """The same average after every time: one row for each.
+
+    Times are folded within blocks of days, as the average of the block alone and the weight that its past still
+    has after each time; a key's blocks, one row each, then hand their last states on.
+    """
+    daily = errors.groupBy(*keys, time).agg(F.avg(error).alias("e")).withColumn("_block", F.floor(F.unix_timestamp(F.col(time).cast("timestamp")) / (86400 * block_days)))
+    listed = daily.groupBy(*keys, "_block").agg(F.array_sort(F.collect_list(F.struct(F.col(time).cast("timestamp_ntz").alias("t"), F.col("e")))).alias("s"))
+    state = "array<struct<t:timestamp_ntz,own:double,past:double>>"
+    before = lambda a, f, none: F.coalesce(F.try_element_at(a, F.lit(-1))[f], F.lit(none))
+    folded = F.aggregate("s", F.array().cast(state), lambda a, x: F.array_append(a, F.struct(x["t"].alias("t"), (before(a, "own", 0.0) * (1 - alpha) + alpha * x["e"]).alias("own"), (before(a, "past", 1.0) * (1 - alpha)).alias("past"))))
+    blocks = listed.select(*keys, "_block", F.col("s")[0]["e"].alias("_first"), folded.alias("s"))
+    order = F.array_sort(F.collect_list(F.struct("_block", F.element_at("s", -1)["own"].alias("own"), F.element_at("s", -1)["past"].alias("past"), F.col("_first").alias("first"))))
+    # a key's very first error stands in for what was before it, so the first state is that error
+    carried = F.aggregate("b", F.array().cast("array<struct<block:bigint,before:double,after:double>>"), lambda a, x: F.array_append(a, F.struct(x["_block"].alias("block"), F.coalesce(F.try_element_at(a, F.lit(-1))["after"], x["first"]).alias("before"), (x["own"] + x["past"] * F.coalesce(F.try_element_at(a, F.lit(-1))["after"], x["first"])).alias("after"))))
+    handed = blocks.groupBy(*keys).agg(order.alias("b")).select(*keys, F.explode(carried).alias("c")).select(*keys, F.col("c.block").alias("_block"), F.col("c.before").alias("_before"))
+    each = blocks.join(handed, [*keys, "_block"]).select(*keys, "_before", F.explode("s").alias("x"))
+    return each.select(*keys, F.col("x.t").alias(time), (F.col("x.own") + F.col("x.past") * F.col("_before")).alias("bias"))
 
 
 def weighted_quantiles(rows: DataFrame, keys: list[str], value: str, weight: str, probs: list[float], parts: int = 64) -> DataFrame:

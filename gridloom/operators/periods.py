@@ -21,16 +21,59 @@ def three_hourly(events: DataFrame) -> DataFrame:
     return s.withColumn("valid", F.col("start") + F.make_dt_interval(F.lit(0), F.lit(3))).withColumn("step", (hours + 3).cast("int"))
 
 
-def to_daily(series: DataFrame, tz: int = 8) -> DataFrame:
-    """Per point and local day of the window's end: extremes, total, mean wind, hours covered; the maximum is never below the minimum."""
-    day = times.day_of(F.col("valid"), tz)
-    d = series.groupBy("point", day.alias("day")).agg(F.max("tmax3").alias("high"), F.min("tmin3").alias("tmin"), F.round(F.coalesce(F.sum("precip"), F.lit(0.0)), 3).alias("precip"), (F.count("*") * 3).alias("hours"), W.wind_direction(F.avg("u10"), F.avg("v10")).alias("direction"))
-    return d.select("point", "day", F.greatest("high", "tmin").alias("tmax"), "tmin", "precip", "hours", "direction")
+def given(df: DataFrame, name: str, otherwise: Column) -> Column:
+    """A column that a series may lack."""
+    return F.col(name) if name in df.columns else otherwise
+
+
+def direction_of_mean(u: str, v: str) -> Column:
+    """Direction of the mean vector; unknown if any of the winds is."""
+    whole = (F.count(u) == F.count(F.lit(1))) & (F.count(v) == F.count(F.lit(1)))
+    return F.when(whole, W.wind_direction(F.avg(u), F.avg(v)))
+
+
+def to_daily(series: DataFrame, tz: int = 8, gap: int = 3) -> DataFrame:
+    """Per point and local day of the window's end the measures that are known, skipping nulls, and the hours covered.
+
+    ``series``: point, valid, t2m, u10, v10, precip and perhaps tmax3, tmin3, snow, cloud, gust; extremes fall back to
+    t2m, gusts to the sampled wind, totals of nothing are 0, and the maximum is never below the minimum.
+    """
+    none = F.lit(0.0)
+    s = series.withColumn("_speed", W.wind_speed(F.col("u10"), F.col("v10"))).withColumn("_hi", given(series, "tmax3", given(series, "t2m", F.lit(None).cast("double")))).withColumn("_lo", given(series, "tmin3", given(series, "t2m", F.lit(None).cast("double"))))
+    s = s.withColumn("_snow", given(series, "snow", none)).withColumn("_cloud", given(series, "cloud", none)).withColumn("_gust", given(series, "gust", F.col("_speed")))
+    d = s.groupBy("point", times.day_of(F.col("valid"), tz).alias("day")).agg(
+        F.max("_hi").alias("_max"), F.min("_lo").alias("tmin"), F.avg("t2m").alias("tavg"), F.coalesce(F.sum("precip"), none).alias("precip"), F.coalesce(F.sum("_snow"), none).alias("snow"), F.avg("_cloud").alias("cloud"),
+        F.avg("_speed").alias("wind_speed"), F.min("_speed").alias("wind_speed_min"), F.max("_speed").alias("wind_speed_max"), F.max("_gust").alias("wind_gust"), direction_of_mean("u10", "v10").alias("wind_dir"), (F.count("*") * gap).alias("hours"),
+    )
+    return d.withColumn("tmax", F.when(F.col("_max").isNotNull() & F.col("tmin").isNotNull(), F.greatest("_max", "tmin"))).drop("_max")
 
 
 def half_days(series: DataFrame, tz: int = 8) -> DataFrame:
+    """Rain, snow and cloud of the day and the night of each local day that ``to_daily`` has; a half without windows is unknown.
+
+    ``series``: point, start, valid, precip, snow, cloud. A window counts by its start; hours before 08 belong to the night before.
+    """
     kind, date = times.half_of(F.col("start"), tz)
-    return series.groupBy("point", date.alias("day")).agg(F.round(F.sum(F.when(kind == "day", F.col("precip")).otherwise(0.0)), 3).alias("day_mm"), F.round(F.sum(F.when(kind == "night", F.col("precip")).otherwise(0.0)), 3).alias("night_mm"))
+    at = lambda half, c: F.when(F.col("_kind") == half, F.col(c))
+    amounts = [F.when(F.count(at(half, "start")) > 0, F.coalesce(F.sum(at(half, c)), F.lit(0.0))).alias(f"{half}_{c}") for half in ("day", "night") for c in ("precip", "snow")]
+    halves = series.withColumn("_kind", kind).groupBy("point", date.alias("day")).agg(*amounts, *[F.avg(at(half, "cloud")).alias(f"{half}_cloud") for half in ("day", "night")])
+    days = series.select("point", times.day_of(F.col("valid"), tz).alias("day")).distinct()
+    return days.join(halves, ["point", "day"], "left")
+
+
+def period_measures(series: DataFrame, by: list[str], windows: int = 4) -> DataFrame:
+    """The twelve measures of a period from its 3-hour windows; unknown unless all windows are there and have the measure."""
+    s = series.withColumn("_speed", W.wind_speed(F.col("u10"), F.col("v10"))).withColumn("_hi", given(series, "tmax3", given(series, "t2m", F.lit(None).cast("double")))).withColumn("_lo", given(series, "tmin3", given(series, "t2m", F.lit(None).cast("double"))))
+    s = s.withColumn("_snow", given(series, "snow", F.lit(0.0))).withColumn("_cloud", given(series, "cloud", F.lit(0.0))).withColumn("_gust", given(series, "gust", F.col("_speed")))
+    s = s.withColumn("_t", given(series, "t2m", F.lit(None).cast("double")))
+    full = F.count(F.lit(1)) == windows
+    whole = lambda c, agg, name: F.when(full & (F.count(c) == windows), agg(c)).alias(name)
+    g = s.groupBy(*by).agg(
+        whole("_hi", F.max, "_max"), whole("_lo", F.min, "tmin"), whole("_t", F.avg, "tmean"), whole("precip", F.sum, "precip"), whole("precip", F.max, "precip_3h_max"), whole("_snow", F.sum, "snow"), whole("_cloud", F.avg, "cloud"),
+        whole("_speed", F.min, "wind_speed_min"), whole("_speed", F.max, "wind_speed_max"), whole("_speed", F.avg, "wind_speed"), whole("_gust", F.max, "gust"), F.when(full, direction_of_mean("u10", "v10")).alias("wind_dir"),
+        F.sort_array(F.collect_list(F.when(F.col("precip") >= 0.1, F.col("start")))).alias("wet"),
+    )
+    return g.withColumn("tmax", F.when(F.col("_max").isNotNull() & F.col("tmin").isNotNull(), F.greatest("_max", "tmin"))).drop("_max")
 
 
 def by_period(series: DataFrame, windows: int = 4, tz: int = 8) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import times
 from gridloom.functions import weather as W
+from gridloom.operators import periods
 
 
 def plan(issues: DataFrame, tz: int = 8, days: int = 5, max_lead: int = 144, least_left: int = 6) -> DataFrame:
@@ -33,46 +34,50 @@ def period_label(date: Column, kind: Column, today: Column) -> Column:
     return F.when((rel == "昨天") & (kind == "night"), "今天凌晨").otherwise(F.concat(rel, F.when(kind == "day", "白天").otherwise("夜间")))
 
 
-def cells(series: DataFrame, by: list[str], windows: int = 4) -> DataFrame:
+def cells(series: DataFrame, by: list[str], windows: int = 4, chances: DataFrame | None = None) -> DataFrame:
     """Per point and period (``by`` ends in kind) the measures and words of a product's cell; a measure is unknown unless all windows have it.
 
-    ``series``: by, start, tmax3, tmin3, precip, snow, cloud, u10, v10, gust.
+    ``series``: by, start, t2m, tmax3, tmin3, precip, snow, cloud, u10, v10, gust; ``chances``: by, pop, pop_moderate, pop_heavy in percent.
     """
-    whole = lambda c, agg: F.when(F.count(c) == windows, agg(c))
-    speed = series.withColumn("_w", W.wind_speed(F.col("u10"), F.col("v10")))
-    a = speed.groupBy(*by).agg(
-        whole("tmax3", F.max).alias("tmax"), whole("tmin3", F.min).alias("tmin"), whole("precip", F.sum).alias("precip"), whole("precip", F.max).alias("precip_3h_max"), whole("snow", F.sum).alias("snow"), whole("cloud", F.avg).alias("cloud"),
-        whole("_w", F.min).alias("wind_lo"), whole("_w", F.max).alias("wind_hi"), whole("gust", F.max).alias("gust"), W.wind_direction(whole("u10", F.avg), whole("v10", F.avg)).alias("wind_dir"),
-        F.sort_array(F.collect_list(F.when(F.col("precip") >= 0.1, F.col("start")))).alias("wet"),
-    )
-    force = lambda c: F.when(F.col("wind_dir").isNotNull(), W.beaufort(F.col(c)))
+    a = periods.period_measures(series, by, windows)
+    a = a.join(chances, by, "left") if chances is not None else a.select("*", *[F.lit(None).cast("double").alias(c) for c in ("pop", "pop_moderate", "pop_heavy")])
+    known = F.col("wind_dir").isNotNull()
+    force = lambda c: F.when(known, W.beaufort(F.col(c)))
+    lo, hi = W.beaufort(F.col("wind_speed_min")), W.beaufort(F.col("wind_speed_max"))
     weather = F.when(F.col("precip").isNotNull(), W.half_day_text(F.col("precip"), F.coalesce("snow", F.lit(0.0)), F.col("cloud"))).otherwise("—")
     return a.select(
-        *by, weather.alias("weather"), F.when(F.col("kind") == "day", F.col("tmax")).otherwise(F.col("tmin")).alias("temp"), "tmax", "tmin", "precip", "precip_3h_max",
-        force("wind_lo").alias("force_lo"), force("wind_hi").alias("force_hi"), F.when(F.col("wind_dir").isNotNull(), W.wind_text(F.col("wind_dir"), F.col("wind_lo"), F.col("wind_hi"), F.col("gust"))).otherwise("—").alias("wind_text"),
-        F.when(F.col("gust").isNotNull(), W.beaufort(F.col("gust"))).alias("gust_force"), span_text(F.col("wet")).alias("windows_text"),
+        *by, weather.alias("weather"), F.when(F.col("kind") == "day", F.col("tmax")).otherwise(F.col("tmin")).alias("temp"), "tmax", "tmin", "tmean", "precip", "precip_3h_max", "snow", "cloud",
+        F.when(known, W.wind_text(F.col("wind_dir"), F.col("wind_speed_min"), F.col("wind_speed_max"), F.col("gust"))).otherwise("—").alias("wind_text"),
+        F.when(known, W.wind_name(F.col("wind_dir"))).alias("wind_name"), F.bround("wind_dir").alias("wind_dir"), force("wind_speed_min").alias("force_lo"), force("wind_speed_max").alias("force_hi"), F.when(known, W.force_text(lo, hi)).alias("force_text"),
+        "wind_speed", "wind_speed_max", "gust", F.when(F.col("gust").isNotNull(), W.beaufort(F.col("gust"))).alias("gust_force"), spans(F.col("wet")).alias("windows"), span_text(F.col("wet")).alias("windows_text"),
+        *[F.bround(c).cast("int").alias(c) for c in ("pop", "pop_moderate", "pop_heavy")],
     )
 
 
-def span_text(starts: Column, gap: int = 3, tz: int = 8) -> Column:
-    """Sorted window starts (UTC) merged where they touch, as local clock hours; midnight as an end is 24."""
+def spans(starts: Column, gap: int = 3, tz: int = 8) -> Column:
+    """Sorted window starts (UTC) merged where they touch, as (a, b) in local hours since the epoch."""
     hour = lambda ts: (F.unix_timestamp(ts.cast("timestamp")) / 3600).cast("long") + tz
     none = F.array().cast("array<struct<a:bigint,b:bigint>>")
     one = lambda a, b: F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
 
-    def add(spans: Column, start: Column) -> Column:
-        h, last = hour(start), F.try_element_at(spans, F.lit(-1))
-        grown = F.concat(F.slice(spans, 1, F.greatest(F.size(spans) - 1, F.lit(0))), F.array(one(last["a"], h + gap)))
-        return F.when(last["b"] == h, grown).otherwise(F.array_append(spans, one(h, h + gap)))
+    def add(found: Column, start: Column) -> Column:
+        h, last = hour(start), F.try_element_at(found, F.lit(-1))
+        grown = F.concat(F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))), F.array(one(last["a"], h + gap)))
+        return F.when(last["b"] == h, grown).otherwise(F.array_append(found, one(h, h + gap)))
+
+    return F.aggregate(starts, none, add)
 
+
+def span_text(starts: Column, gap: int = 3, tz: int = 8) -> Column:
+    """The merged windows as clock hours; midnight as an end is 24."""
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
-    text = F.array_join(F.transform(F.aggregate(starts, none, add), lambda s: F.concat(two(s["a"] % 24), F.lit("—"), two(F.when(s["b"] % 24 == 0, 24).otherwise(s["b"] % 24)), F.lit("时"))), "、")
+    text = F.array_join(F.transform(spans(starts, gap, tz), lambda s: F.concat(two(s["a"] % 24), F.lit("—"), two(F.when(s["b"] % 24 == 0, 24).otherwise(s["b"] % 24)), F.lit("时"))), "、")
     return F.when(text == "", "无").otherwise(text)
 
 
 def county(cells_: DataFrame) -> DataFrame:
     """Extremes over the points of each date and kind."""
-    return cells_.groupBy("date", "kind").agg(F.max("tmax").alias("temp_max"), F.min("tmin").alias("temp_min"), F.max("precip").alias("precip_max"), F.avg("precip").alias("precip_mean"), F.max("force_hi").alias("force_max"), F.max("gust_force").alias("gust_force_max"))
+    return cells_.groupBy("date", "kind").agg(F.max("tmax").alias("temp_max"), F.min("tmin").alias("temp_min"), F.max("precip").alias("precip_max"), F.avg("precip").alias("precip_mean"), F.max("force_hi").alias("force_max"), F.max("gust_force").alias("gust_force_max"), *[F.max(c).alias(f"{c}_max") for c in ("pop", "pop_moderate", "pop_heavy")])
 
 
 def day_and_night(cells_: DataFrame, keys: list[str]) -> DataFrame:

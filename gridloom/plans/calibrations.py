@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions import weather as W
 from gridloom.operators import calibration as C
 from gridloom.operators import fitting, scores
 from gridloom.plans.catalog import MEMBER_SQL, members, query, rounded, table
@@ -116,16 +117,35 @@ def online_bias_asof(spark, sf_dir):
     return fixed.select("user_id", "day", F.round(F.col("f1") - F.col("bias") + 1e-9, 5).alias("t"))  # off the decimal ties
 
 
-def station_bias(rows: DataFrame) -> DataFrame:
-    return fitting.bias_fit(rows, ["user_id"], "f1", "o", 3)
+def matched_series(spark, sf_dir) -> DataFrame:
+    """Forecast and observed measures of each user and day, some of them missing."""
+    s = stations(spark, sf_dir)
+    return s.select("user_id", "day", F.col("f1").alias("t2m"), F.col("o").alias("t2m_obs"), (F.col("f2") / 9).alias("wind_speed"), (F.col("o") / 10).alias("wind_speed_obs"), (F.col("f1") / 100).alias("precip"), (F.col("f2") / 30).alias("precip_obs"))
+
+
+POINT_FIT = ROWS + """, pm AS (SELECT user_id, day, f1 AS t, o AS t_o, f2 / 9 AS w, o / 10 AS w_o, f1 / 100 AS p, f2 / 30 AS p_o FROM t), pf AS (SELECT user_id, count(*) AS n, CASE WHEN count(t + t_o) >= 3 THEN avg(t_o - t) END AS bias,
+  CASE WHEN count(w + w_o) >= 3 AND avg(w) FILTER (w_o IS NOT NULL) > 0.1 THEN least(greatest(avg(w_o) FILTER (w IS NOT NULL) / avg(w) FILTER (w_o IS NOT NULL), 1.0 / 3), 3.0) END AS wind_factor,
+  CASE WHEN count(p + p_o) >= 3 AND sum(p) FILTER (p_o IS NOT NULL) > 1 THEN least(greatest(sum(p_o) FILTER (p IS NOT NULL) / sum(p) FILTER (p_o IS NOT NULL), 1.0 / 3), 3.0) END AS precip_factor FROM pm GROUP BY user_id)"""
+
 
+@query(POINT_FIT + " SELECT user_id, n, round(bias, 6) AS bias, round(wind_factor, 6) AS wind_factor, round(precip_factor, 6) AS precip_factor FROM pf")
+def point_fit(spark, sf_dir):
+    return rounded(fitting.point_fit(matched_series(spark, sf_dir), ["user_id"], 3))
 
-@query(ROWS + """, b AS (SELECT user_id, CASE WHEN count(f1 + o) >= 3 THEN avg(f1 - o) END AS bias, CASE WHEN count(f1 + o) >= 3 THEN least(greatest(sum(o) FILTER (f1 IS NOT NULL) / nullif(sum(f1) FILTER (o IS NOT NULL), 0), 1.0 / 3), 3.0) END AS factor FROM t GROUP BY user_id)
-SELECT user_id, day, f1 AS t_raw, round(f1 - coalesce(bias, 0), 5) AS t, round(f1 * coalesce(factor, 1), 5) AS scaled FROM t JOIN b USING (user_id)""", dates=True)
+
+@query(POINT_FIT + """ SELECT user_id, day, round(t + coalesce(bias, 0), 5) AS t2m, t AS t2m_raw, round(w * coalesce(wind_factor, 1), 5) AS wind_speed, round(w, 5) AS wind_speed_raw, round(p * coalesce(precip_factor, 1), 5) AS precip FROM pm JOIN pf USING (user_id)""", dates=True)
 def apply_calibration(spark, sf_dir):
-    s = stations(spark, sf_dir)
-    j = s.join(station_bias(s).select("user_id", "bias", "factor"), "user_id", "left")
-    return j.select("user_id", "day", F.col("f1").alias("t_raw"), F.round(F.col("f1") - F.coalesce("bias", F.lit(0.0)), 5).alias("t"), F.round(F.col("f1") * F.coalesce("factor", F.lit(1.0)), 5).alias("scaled"))
+    m = matched_series(spark, sf_dir)
+    done = fitting.apply_point_fit(m.select("user_id", "day", "t2m", "wind_speed", "precip"), fitting.point_fit(m, ["user_id"], 3), ["user_id"])
+    return done.select("user_id", "day", F.round("t2m", 5).alias("t2m"), "t2m_raw", *[F.round(c, 5).alias(c) for c in ("wind_speed", "wind_speed_raw", "precip")])
+
+
+@query("""SELECT p_partkey, round(CASE WHEN u = 'K' THEN v - 273.15 WHEN f IN ('tp', 'snow') AND u = 'm' THEN v * 1000 WHEN f = 'tcc' AND u = '%' THEN v / 100 WHEN f = 'orog' AND (u LIKE 'm**2%' OR u = 'm2 s-2') THEN v / 9.80665 ELSE v END, 6) AS value FROM (
+  SELECT p_partkey, p_retailprice AS v, list_value('tp', 'snow', 'tcc', 'orog', 't2m')[CAST(p_partkey % 5 AS INT) + 1] AS f, trim(list_value('K', ' m ', 'kg m-2', '%', 'm2 s-2', 'm**2 s**-2', 'gpm')[CAST(p_partkey % 7 AS INT) + 1]) AS u FROM part)""")
+def unit_conversion(spark, sf_dir):
+    pick = lambda words: F.element_at(F.array(*map(F.lit, words)), (F.col("p_partkey") % len(words) + 1).cast("int"))
+    field, unit = pick(("tp", "snow", "tcc", "orog", "t2m")), pick(("K", " m ", "kg m-2", "%", "m2 s-2", "m**2 s**-2", "gpm"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(W.canonical(F.col("p_retailprice"), unit, field), 6).alias("value"))
 
 
 @query(ROWS + """ SELECT lead, coalesce(hour, -1) AS hour, n, mae, bias FROM (SELECT lead, hour, count(*) AS n, round(avg(abs(f1 - o)), 6) AS mae, round(avg(f1 - o), 6) AS bias FROM (SELECT *, CAST(user_id % 8 AS INT) AS hour FROM t) WHERE f1 + o IS NOT NULL GROUP BY GROUPING SETS ((lead), (lead, hour)))""")

@@ -111,17 +111,6 @@ def scalar_functions(spark, sf_dir):
 # ---------------------------------------------------------------- aggregation
 
 
-@query(SERIES + """, d AS (SELECT point, CAST(valid + to_hours(8) AS DATE) AS day, max(tmax3) AS tmax, min(tmin3) AS tmin, round(coalesce(sum(precip), 0), 3) AS precip, count(*) * 3 AS hours FROM series GROUP BY ALL)
-SELECT * FROM d""", dates=True)
-def daily_extremes(spark, sf_dir):
-    return periods.to_daily(series(spark, sf_dir)).drop("direction")
-
-
-@query(SERIES + f" SELECT point, {HALF_DATE} AS day, round(coalesce(sum(precip) FILTER ({HALF} = 'day'), 0), 3) AS day_mm, round(coalesce(sum(precip) FILTER ({HALF} = 'night'), 0), 3) AS night_mm FROM series GROUP BY ALL", dates=True)
-def half_day_split(spark, sf_dir):
-    return periods.half_days(series(spark, sf_dir))
-
-
 @query(SERIES + f""", p AS (SELECT point, {HALF_DATE} AS day, {HALF} AS kind, CASE WHEN count(tmax3) = 4 THEN max(tmax3) END AS tmax, CASE WHEN count(tmin3) = 4 THEN min(tmin3) END AS tmin, round(CASE WHEN count(precip) = 4 THEN sum(precip) END, 3) AS precip, count(*) AS windows FROM series GROUP BY ALL)
 SELECT *, CASE WHEN precip IS NOT NULL THEN {ladder_sql('precip', W.RAIN_12H)} END AS grade FROM p""", dates=True)
 def period_aggregate(spark, sf_dir):
@@ -370,11 +359,6 @@ def best_threshold(spark, sf_dir):
 # ---------------------------------------------------------------- fitting
 
 
-@query(PAIRS + " SELECT user_id, count(*) AS n, round(CASE WHEN count(*) >= 5 THEN avg(f - o) END, 6) AS bias, round(CASE WHEN count(*) >= 5 THEN least(greatest(sum(o) / nullif(sum(f), 0), 1.0 / 3), 3.0) END, 6) AS factor FROM p GROUP BY user_id")
-def per_key_bias_fit(spark, sf_dir):
-    return rounded(fitting.bias_fit(pairs(spark, sf_dir), ["user_id"], "f", "o", 5))
-
-
 @query(PAIRS + """, q AS (SELECT quantile_cont(f, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS fq, quantile_cont(o, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS oq FROM p),
  x AS (SELECT p.*, fq, oq, least(greatest(len(list_filter(fq, lambda z: z < f)), 1), 10) AS i FROM p, q)
 SELECT user_id, day, round(greatest(least(oq[i] + (oq[i + 1] - oq[i]) * least(greatest(coalesce((f - fq[i]) / nullif(fq[i + 1] - fq[i], 0), 0), 0), 1), 1.5 * f), 0), 4) AS mapped FROM x""", dates=True)
@@ -470,4 +454,4 @@ def report_decode(spark, sf_dir):
     return reports.decode_reports(spark.createDataFrame([(x,) for x in lines], "line string"))
 
 
-from gridloom.plans import calibrations, observed, products  # noqa: E402, F401  (they register their queries)
+from gridloom.plans import calibrations, observed, products, runs  # noqa: E402, F401  (they register their queries)

@@ -177,7 +177,7 @@ def product_cells(spark, sf_dir):
 
 @query(CELLS + " SELECT date AS day, kind, max(tmax) AS temp_max, min(tmin) AS temp_min, round(max(precip), 3) AS precip_max, round(avg(precip), 6) AS precip_mean, max(force_hi) AS force_max, max(gust_force) AS gust_force_max FROM cells GROUP BY ALL", dates=True)
 def county_block(spark, sf_dir):
-    c = P.county(P.cells(cell_series(spark, sf_dir), ["point", "date", "kind"])).withColumnRenamed("date", "day")
+    c = P.county(P.cells(cell_series(spark, sf_dir), ["point", "date", "kind"])).withColumnRenamed("date", "day").drop("pop_max", "pop_moderate_max", "pop_heavy_max")
     return c.withColumn("precip_max", F.round("precip_max", 3)).withColumn("precip_mean", F.round("precip_mean", 6))
 
 
