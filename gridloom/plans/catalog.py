@@ -454,4 +454,4 @@ def report_decode(spark, sf_dir):
     return reports.decode_reports(spark.createDataFrame([(x,) for x in lines], "line string"))
 
 
-from gridloom.plans import calibrations, observed, products, runs  # noqa: E402, F401  (they register their queries)
+from gridloom.plans import calibrations, consensus, observed, products, runs  # noqa: E402, F401  (they register their queries)
