@@ -84,7 +84,7 @@ GIVEN_T = f"""CASE WHEN kind = 'night' AND lead = 1 AND c_t IS NOT NULL THEN c_t
   + CASE WHEN kind = 'day' AND lead = 1 THEN 0.7 WHEN kind = 'night' AND lead = 1 THEN -0.4 WHEN kind = 'day' AND lead = 2 THEN 0.1 ELSE 0 END + CASE WHEN kind = 'night' THEN coalesce(0.6 * (ln(least(greatest({MEAN('w')}, 0.3), 8)) - 0.9), 0) ELSE 0 END"""
 PREDICTED = TABLE + f""", mp AS (SELECT *, {GIVEN_SQL.format('a_p')} AS qa, {GIVEN_SQL.format('b_p')} AS qb, c_p AS qc, {MEAN('p')} AS pm, {MEAN('w')} AS wm, {GIVEN_T} AS t FROM mt),
  ft AS (SELECT *, list_avg(list_filter([qa, qb, qc], lambda v: v IS NOT NULL)) AS mean, list_avg(list_transform(list_filter([qa, qb, qc], lambda v: v IS NOT NULL), lambda v: (v >= 0.1)::INT)) AS wet, list_avg(list_transform(list_filter([qa, qb, qc], lambda v: v IS NOT NULL), lambda v: (v >= 5)::INT)) AS moderate FROM mp),
- pr AS (SELECT *, CASE kind WHEN 'day' THEN 1 / (1 + exp(-least(greatest(-1 + 1.5 * wet + 0.8 * ln(1 + mean), -30), 30))) ELSE wet END AS pop, 1 / (1 + exp(-least(greatest(-2 + 1.1 * ln(1 + least(mean, 10)) + 0.4 * wet + 0.9 * moderate + 0.2 * (kind = 'night')::INT - 0.5, -30), 30))) AS h5 FROM ft),
+ pr AS (SELECT *, CASE WHEN mean IS NULL THEN NULL WHEN kind = 'day' THEN 1 / (1 + exp(-least(greatest(-1 + 1.5 * wet + 0.8 * ln(1 + mean), -30), 30))) ELSE wet END AS pop, CASE WHEN mean IS NOT NULL THEN 1 / (1 + exp(-least(greatest(-2 + 1.1 * ln(1 + least(mean, 10)) + 0.4 * wet + 0.9 * moderate + 0.2 * (kind = 'night')::INT - 0.5, -30), 30))) END AS h5 FROM ft),
  pv AS (SELECT *, CASE kind WHEN 'day' THEN {GIVEN_SQL.format('pm')} ELSE pm END AS p, least(h5, pop) AS p5, CAST(NULL AS DOUBLE) AS p15, wm * CASE kind WHEN 'night' THEN 1.2 ELSE 1 END AS w FROM pr)"""
 
 
