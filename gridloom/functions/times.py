@@ -49,3 +49,43 @@ def from_stamp(stamp: Column) -> Column:
     """The cycle of a stamp; null unless it is one of the four hours of a valid date."""
     t = F.try_to_timestamp(stamp, F.lit("yyyyMMddHH")).cast("timestamp_ntz")
     return F.when(F.hour(t) % 6 == 0, t)
+
+
+def age_hours(then: Column, now: Column) -> Column:
+    return F.timestamp_diff("SECOND", then, now) / 3600.0
+
+
+def month_day(date: Column) -> Column:
+    return F.date_format(date, "MM-dd")
+
+
+def tile_name(lat: Column, lon: Column, prefix: str = "", suffix: str = "") -> Column:
+    """Key of the one-degree tile that holds a place, such as N28_00_E117_00."""
+    a, b = F.floor(lat), F.floor(lon)
+    side = lambda v, plus, minus, width: F.concat(F.when(v >= 0, plus).otherwise(minus), F.lpad(F.abs(v).cast("string"), width, "0"), F.lit("_00"))
+    return F.concat(F.lit(prefix), side(a, "N", "S", 2), F.lit("_"), side(b, "E", "W", 3), F.lit(suffix))
+
+
+def day_bounds(init: Column, date: Column, tz: int = 8) -> tuple[Column, Column]:
+    """The hours after ``init`` at which a local day begins and ends."""
+    start = (F.timestamp_diff("HOUR", F.date_trunc("hour", init), date.cast("timestamp_ntz")) - tz).cast("int")
+    return start, start + 24
+
+
+def cycle_periods(init: Column, days: int = 5, delay_minutes: int = 690) -> Column:
+    """Array of (date, kind, start, end): the UTC half days that a cycle's issue covers, a night under the date of its end.
+
+    The first is the one that the issue, ``delay_minutes`` after the cycle, falls in, or the next if less than six hours of it are left.
+    """
+    issue = init + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(delay_minutes))
+    half = floor_hours(issue, 12)
+    left = F.timestamp_diff("SECOND", issue, half + F.make_dt_interval(F.lit(0), F.lit(12)))
+    start = F.when(left < 6 * 3600, half + F.make_dt_interval(F.lit(0), F.lit(12))).otherwise(half)
+    n = F.when(F.hour(start) == 12, 2 * days + 1).otherwise(2 * days)
+
+    def period(k: Column) -> Column:
+        a = start + F.make_dt_interval(F.lit(0), (12 * k).cast("int"))
+        b = a + F.make_dt_interval(F.lit(0), F.lit(12))
+        return F.struct(F.to_date(b).alias("date"), F.when(F.hour(a) == 0, "day").otherwise("night").alias("kind"), a.alias("start"), b.alias("end"))
+
+    return F.transform(F.sequence(F.lit(0), n - 1), period)

@@ -25,7 +25,9 @@ def heat(days: DataFrame) -> DataFrame:
     w = windows.run_lengths(days.where("temp_max IS NOT NULL"), [], "date", F.col("temp_max") >= 35)
     t = F.col("temp_max")
     level = F.when(t >= 40, "红色").when(t >= 37, "橙色").when((t >= 35) & (F.col("run") >= 3), "黄色").when(t >= 35, "关注")
-    return w.select(F.lit("高温").alias("type"), "date", level.alias("level"), F.bround(t).cast("long").alias("amount"), F.lit(0).alias("seq")).where("level IS NOT NULL")
+    criterion = F.when(t >= 40, "日最高气温≥40℃").when(t >= 37, "日最高气温≥37℃").when(F.col("run") >= 3, "连续三天日最高气温≥35℃").otherwise("日最高气温≥35℃")
+    amount = F.bround(t).cast("long")
+    return w.select(F.lit("高温").alias("type"), "date", level.alias("level"), amount.alias("amount"), F.lit(0).alias("seq"), criterion.alias("criterion"), F.concat(F.lit("局地最高气温"), amount.cast("string"), F.lit("℃")).alias("detail")).where("level IS NOT NULL")
 
 
 def rain(series: DataFrame, gap: int = 3) -> DataFrame:
@@ -44,24 +46,37 @@ def rain(series: DataFrame, gap: int = 3) -> DataFrame:
         hits.append(F.when(F.col(f"_s{k}") >= limit, F.struct(F.col(f"_d{k}").alias("date"), F.lit(LEVELS[level]).alias("rank"), F.col(f"_s{k}").alias("mm"), F.lit(-k).alias("k"), F.lit(level).alias("level"))))
     each = s.select(F.explode(F.array_compact(F.array(*hits))).alias("h")).select("h.*")
     best = each.groupBy("date").agg(F.max(F.struct("rank", "mm", "k", "level")).alias("b"))
-    return best.select(F.lit("暴雨").alias("type"), "date", F.col("b.level").alias("level"), F.bround("b.mm").cast("long").alias("amount"), F.lit(1).alias("seq"))
+    pick = lambda words: F.element_at(F.array(*map(F.lit, words)), 1 - F.col("b.k"))
+    amount = F.bround("b.mm").cast("long")
+    criterion, hours = pick([f"{h}小时降水量≥{mm:.0f}毫米" for h, mm, _ in RAIN_SIGNALS]), pick([f"局地{h}小时降水量约" for h, _, _ in RAIN_SIGNALS])
+    return best.select(F.lit("暴雨").alias("type"), "date", F.col("b.level").alias("level"), amount.alias("amount"), F.lit(1).alias("seq"), criterion.alias("criterion"), F.concat(hours, amount.cast("string"), F.lit("毫米")).alias("detail"))
 
 
 def wind(periods: DataFrame) -> DataFrame:
-    """``periods``: date, kind, force_max, gust_force_max; unknown forces count as 0."""
+    """``periods``: date, kind, force_max, gust_force_max and perhaps label; unknown forces count as 0."""
     f, g = F.coalesce("force_max", F.lit(0)), F.coalesce("gust_force_max", F.lit(0))
     level = F.coalesce(*[F.when((f >= mean) | (g >= gust), name) for mean, gust, name in WIND_SIGNALS])
-    return periods.select(F.lit("大风").alias("type"), "date", level.alias("level"), f.cast("long").alias("amount"), F.when(F.col("kind") == "day", 2).otherwise(3).alias("seq")).where("level IS NOT NULL")
+    criterion = F.coalesce(*[F.when((f >= mean) | (g >= gust), f"平均风力≥{mean}级或阵风≥{gust}级") for mean, gust, name in WIND_SIGNALS])
+    detail = F.concat(_label(periods), F.lit("平均风力"), f.cast("string"), F.lit("级，阵风"), g.cast("string"), F.lit("级"))
+    return periods.select(F.lit("大风").alias("type"), "date", level.alias("level"), f.cast("long").alias("amount"), F.when(F.col("kind") == "day", 2).otherwise(3).alias("seq"), criterion.alias("criterion"), detail.alias("detail")).where("level IS NOT NULL")
+
+
+def _label(periods: DataFrame) -> Column:
+    return F.coalesce("label", F.lit("")) if "label" in periods.columns else F.lit("")
 
 
 def frost(periods: DataFrame) -> DataFrame:
-    return periods.where("kind = 'night' AND temp_min <= 0").select(F.lit("霜冻").alias("type"), "date", F.lit("关注").alias("level"), F.bround("temp_min").cast("long").alias("amount"), F.lit(4).alias("seq"))
+    return periods.where("kind = 'night' AND temp_min <= 0").select(F.lit("霜冻").alias("type"), "date", F.lit("关注").alias("level"), F.bround("temp_min").cast("long").alias("amount"), F.lit(4).alias("seq"), F.lit("夜间最低气温≤0℃").alias("criterion"), F.concat(_label(periods), F.lit("局地最低气温"), F.bround("temp_min").cast("long").cast("string"), F.lit("℃")).alias("detail"))
 
 
-def conclusions(periods: DataFrame, series: DataFrame) -> DataFrame:
-    """One alert for each type and date, the highest level, of equals the earlier period."""
+def conclusions(periods: DataFrame, series: DataFrame, first_lead: int | None = None, gap: int = 3) -> DataFrame:
+    """One alert for each type and date with its criterion and detail: the highest level, of equals the earlier period.
+
+    Rain counts from windows that begin at ``first_lead`` or later.
+    """
+    series = series if first_lead is None else series.where(F.col("step") - gap >= first_lead)
     every = reduce(DataFrame.unionByName, [heat(periods.where("kind = 'day'").select("date", "temp_max")), rain(series), wind(periods), frost(periods)])
-    best = F.max_by(F.struct("level", "amount"), F.struct(level_rank(F.col("level")), -F.col("seq")))
+    best = F.max_by(F.struct("level", "amount", "criterion", "detail"), F.struct(level_rank(F.col("level")), -F.col("seq")))
     return every.groupBy("type", "date").agg(best.alias("b")).select("type", "date", "b.*")
 
 

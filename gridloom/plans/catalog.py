@@ -412,11 +412,6 @@ def index_newest(spark, sf_dir):
     return stores.newest(table(spark, sf_dir, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.col("o_orderkey")], 3).select("o_custkey", "o_orderkey", "place")
 
 
-@query("SELECT event_type, " + ", ".join(f"round(max(value) FILTER (day(ts) = {d}), 4) AS d{d}" for d in (1, 2, 3)) + " FROM events GROUP BY event_type")
-def pivot_table(spark, sf_dir):
-    return table(spark, sf_dir, "events").withColumn("d", F.concat(F.lit("d"), F.dayofmonth("ts"))).groupBy("event_type").pivot("d", ["d1", "d2", "d3"]).agg(F.round(F.max("value"), 4))
-
-
 @query(SERIES + " SELECT point, string_agg(step::VARCHAR, ',' ORDER BY step) AS steps, string_agg(tmax3::VARCHAR, ',' ORDER BY step) AS highs FROM series WHERE step <= 72 GROUP BY point")
 def columnar_series(spark, sf_dir):
     s = series(spark, sf_dir).where("step <= 72")
@@ -454,4 +449,4 @@ def report_decode(spark, sf_dir):
     return reports.decode_reports(spark.createDataFrame([(x,) for x in lines], "line string"))
 
 
-from gridloom.plans import calibrations, consensus, observed, products, runs  # noqa: E402, F401  (they register their queries)
+from gridloom.plans import calibrations, consensus, documents, observed, products, runs  # noqa: E402, F401  (they register their queries)

@@ -1,8 +1,11 @@
-"""Stores: upserts, retention, logs and indexes as DataFrame operations."""
+"""Stores: upserts, retention, logs, indexes and what is written, as DataFrame operations.
+
+Paths are any that Spark's writers reach; what must be all or nothing goes to a folder of its own first.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -42,3 +45,104 @@ def load_log(log: DataFrame, since: str | None, keys: list[str], seq: str) -> Da
     """Rows since an issue, months pruned, the last of each key."""
     rows = log.where((F.col("month") >= since[:7]) & (F.col("issue") >= since)) if since else log
     return last_wins(rows, keys, [F.col(seq)])
+
+
+# ---------------------------------------------------------------- writing and reading
+
+FRAME = ("source", "run_init", "init_time", "point", "step", "valid_time", "t2m", "wind_speed", "wind_dir", "precip", "precip_accum")
+
+
+def to_frame(series: DataFrame, source: str) -> DataFrame:
+    """Long rows of one source in the store's columns, those that the series has, ordered by point and step."""
+    named = series.withColumn("source", F.lit(source)).withColumnRenamed("init", "init_time").withColumn("run_init", F.date_format("init_time", "yyyyMMddHH")).withColumn("valid_time", F.col("init_time") + F.make_dt_interval(F.lit(0), F.col("step")))
+    return named.select(*[c for c in FRAME if c in named.columns]).orderBy("point", "step")
+
+
+def stacked(members: dict[str, DataFrame]) -> DataFrame:
+    """Members one above the other with their name; a column that a member lacks is null."""
+    from functools import reduce
+
+    tables = [df.withColumn("member", F.lit(m)) for m, df in members.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
+def write_store(frames: list[DataFrame], path: str, replace: bool = True) -> None:
+    """Frames as one table by source and run, sorted by point for look-ups; replaces the table or adds to it."""
+    if not frames:
+        raise ValueError("no frames to write")
+    from functools import reduce
+
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    both.sortWithinPartitions("point", "valid_time").write.mode("overwrite" if replace else "append").partitionBy("source", "run_init").parquet(path)
+
+
+def read_store(spark: SparkSession, path: str, schema: str, corrupt_is_none: bool = True) -> DataFrame:
+    """A store's rows; files that cannot be read are left out."""
+    return spark.read.schema(schema).option("ignoreCorruptFiles", corrupt_is_none).parquet(path)
+
+
+def save_points(points: DataFrame, path: str) -> None:
+    """The point table as one sorted file with a heading; it is small."""
+    points.orderBy("id").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """A stored document, or nothing where there is none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(schema).json(path)
+    except AnalysisException:
+        return None
+
+
+# ---------------------------------------------------------------- keeping up to date
+
+
+def latest(rows: DataFrame, time: str, by: list[str] | None = None) -> DataFrame:
+    return rows.groupBy(*(by or [])).agg(F.max(time).alias("latest"))
+
+
+def due(keys: DataFrame, stored: DataFrame, key: str, time: str, overlap_hours: int, since: Column) -> DataFrame:
+    """From when each key has to be fetched again: ``overlap_hours`` before its newest row, or ``since`` where it has none."""
+    have = stored.groupBy(key).agg(F.max(time).alias("_t"))
+    return keys.join(have, key, "left").select(key, F.greatest(F.coalesce(F.col("_t") - F.make_dt_interval(F.lit(0), F.lit(overlap_hours)), since), since).alias("fetch_from"))
+
+
+def updated(stored: DataFrame, new: DataFrame, keys: list[str], seq: str, time: str, oldest: Column) -> DataFrame:
+    """An archive with new rows merged by key, the later ones counting, and rows before ``oldest`` dropped."""
+    return upsert(stored, new, keys, seq).where(F.col(time) >= oldest)
+
+
+def merged_maps(left: Column, right: Column) -> Column:
+    """Two maps as one; the right one counts where both have a key."""
+    old = F.map_filter(F.coalesce(left, F.create_map().cast("map<string,double>")), lambda k, v: ~F.coalesce(F.map_contains_key(right, k), F.lit(False)))
+    return F.map_concat(old, F.coalesce(right, F.create_map().cast("map<string,double>")))
+
+
+def index_of(documents: DataFrame, hourly: DataFrame, keep: int) -> DataFrame:
+    """The newest ``keep`` documents (file, county, run, generated), newest first, and whether an hourly file stands beside each; ``latest`` marks the first."""
+    w = Window.partitionBy("county").orderBy(F.desc("generated"), F.desc("run"))  # the runs of one county
+    d = documents.withColumn("place", F.row_number().over(w)).where(F.col("place") <= keep)
+    return d.join(hourly.select("file").distinct().withColumn("_h", F.lit(True)), "file", "left").withColumn("hourly", F.coalesce("_h", F.lit(False))).withColumn("latest", F.col("place") == 1).drop("_h")
+
+
+def current(wanted: DataFrame, stored: DataFrame, schema_version: int, need_hourly: bool = True) -> DataFrame:
+    """Wanted documents (county, run, first) with ``is_current``: one of the same run, first period and format is stored, and its hourly file where that is needed."""
+    have = stored.where((F.col("schema") == schema_version) & (F.col("hourly") | F.lit(not need_hourly))).select("county", "run", "first").distinct().withColumn("_c", F.lit(True))
+    return wanted.join(have, ["county", "run", "first"], "left").withColumn("is_current", F.coalesce("_c", F.lit(False))).drop("_c")
+
+
+def publish_once(spark: SparkSession, make, path: str, run: str, first: str, schema_version: int = 2, force: bool = False) -> bool:
+    """Writes ``make()`` as the documents of a run unless they stand there with the same first period and format; whether it wrote.
+
+    The folder is named by all three, and Spark's commit leaves a ``_SUCCESS`` only in a whole one, so a run that broke off
+    is made again and one that is done is not.
+    """
+    folder = f"{path.rstrip('/')}/run={run}/first={first}/schema={schema_version}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    done = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    if done and not force:
+        return False
+    make().write.mode("overwrite").json(folder)
+    return True
