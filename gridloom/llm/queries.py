@@ -84,7 +84,29 @@ QUERIES = {
     )
 }
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES = {
+    # all pairs by their common shingles; components as what is reachable
+    "op5_ngram_jaccard": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s FROM w),
+ c AS (SELECT doc_id, s, len(s) AS n, CASE WHEN len(s) > 0 THEN min(doc_id) OVER (PARTITION BY sha256(array_to_string(list_sort(s), chr(10))), len(s) > 0) ELSE doc_id END AS class_id FROM s),
+ e AS (SELECT doc_id, n, unnest(s) AS x FROM c WHERE doc_id = class_id),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n - count(*) AS u, count(*) AS i FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n),
+ l AS (SELECT a, b FROM p WHERE 100 * i >= 85 * u), ab AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+ r AS (SELECT DISTINCT a AS id, a AS to_id FROM ab UNION SELECT r.id, ab.b FROM r JOIN ab ON ab.a = r.to_id),
+ g AS (SELECT id, min(to_id) AS component FROM r GROUP BY id), k AS (SELECT a, count(*) AS n FROM ab GROUP BY a)
+SELECT c.doc_id, c.n AS n_shingles, coalesce(g.component, c.class_id) AS component_id, c.class_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links FROM c LEFT JOIN g ON g.id = c.class_id LEFT JOIN k ON k.a = c.class_id
+""",
+    # brute force; the index is exact too where the table fits into one leaf.  Products of two floats are exact doubles and are summed as whole numbers
+    "op8_kmeans_tree_neighbours": """
+WITH v AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ e AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM v),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id, sum(CAST(q.x * c.x * pow(2, 88) AS HUGEINT))::DOUBLE / pow(2, 88) AS score FROM e q JOIN e c ON q.k = c.k AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 GROUP BY q.vec_id, c.vec_id),
+ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""",
     "op7_prefix_target_chat": r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
