@@ -36,22 +36,58 @@ def deduplicated(events: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def decayed_bias(errors: DataFrame, alpha: float):
-    """Stateful decaying average of (key, ts, e): emits key, times and bias after each micro-batch."""
+    """Stateful decaying average of (key, ts, e), its rows in order of time within a batch: emits key, times and bias after each micro-batch.
+
+    A batch of n errors moves the state in one step: their weights are powers of 1 - alpha, so nothing is looped over.
+    """
+    import numpy as np
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def update(key, frames, state):
         n, bias = state.get if state.exists else (0, 0.0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "e"])
-        for e in rows["e"]:
-            bias = e if n == 0 else bias + alpha * (e - bias)
-            n += 1
+        e = pd.concat(list(frames)).sort_values(["ts", "e"])["e"].to_numpy(dtype=float)
+        e = e[~np.isnan(e)]
+        if len(e):
+            if not n:
+                bias = float(e[0])  # the first error begins the average
+            kept = (1 - alpha) ** np.arange(len(e) - 1, -1, -1)
+            bias = float(bias * (1 - alpha) ** len(e) + alpha * (kept * e).sum()) if n else float(bias * (1 - alpha) ** (len(e) - 1) + alpha * (kept[1:] * e[1:]).sum())
+            n += len(e)
         state.update((n, bias))
         yield pd.DataFrame({"key": [key[0]], "times": [n], "bias": [bias]})
 
     return errors.groupBy("key").applyInPandasWithState(update, "key string, times long, bias double", "n long, bias double", "update", GroupStateTimeout.NoTimeout)
 
 
+def upsert_stream(events: DataFrame, path: str, keys: list[str], seq: str, checkpoint: str):
+    """Keeps the last report of each key in a store, a version a batch; a batch that is run again writes the same version.
+
+    Late reports replace earlier ones, which deduplication by watermark, keeping the first, cannot do. The store is the
+    version of the highest batch that is whole; give the stream to ``awaitTermination``.
+    """
+    from gridloom.sources import stores
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = version(spark, path, number)
+        old = spark.read.schema(batch.schema).parquet(before) if before else batch.limit(0)
+        stores.upsert(old, batch, keys, seq).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/version={number:010d}")
+
+    return events.writeStream.foreachBatch(merge).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def version(spark, path: str, below: int | None = None) -> str | None:
+    """The newest whole version of a store, or the newest before batch ``below``; None where there is none."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return None
+    found = sorted(x.getPath().getName() for x in fs.listStatus(folder))
+    names = [n for n in found if n.startswith("version=") and (below is None or int(n[8:]) < below) and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return f"{path}/{names[-1]}" if names else None
+
+
 def drain(spark, df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     """Runs a stream to the end of what is there and gives its result table."""
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
