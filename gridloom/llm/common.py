@@ -28,11 +28,25 @@ def whole_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+#: Spark's limit of an Arrow batch in bytes, and what is set where the session leaves it open.
+BATCH_BYTES, BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds by bytes the batches that Python gets: ten thousand rows of long texts would not fit into a worker.
+
+    A session that sets a limit keeps it; a single row may exceed any limit.
+    """
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, BATCH_LIMIT)
+
+
 def map_rows(df: DataFrame, fn: Callable, schema: T.StructType | str) -> DataFrame:
     """mapInArrow with a function from (iterator of column dicts) to column dicts.
 
     ``fn(batches)`` gets an iterator of ``{column: list}`` and yields ``{column: list or array}``.
     """
+    bounded_batches(df.sparkSession)
     struct = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
     from pyspark.sql.pandas.types import to_arrow_schema
 

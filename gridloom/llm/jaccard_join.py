@@ -50,7 +50,7 @@ class Shingles:
     ASCII letters are lower-cased and words are what ASCII white space separates, on the UTF-8 bytes.
     """
 
-    def __init__(self, words: int, remember: int = 500_000):
+    def __init__(self, words: int, remember: int = 100_000):
         self.words, self.remember, self.known = words, remember, {}
 
     def __call__(self, text: str) -> np.ndarray:

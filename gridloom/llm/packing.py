@@ -65,7 +65,7 @@ def simpler(text: str) -> str:
 class WordTokens:
     """Ids by a tokenizer that lower-cases and treats what white space separates apart, remembered by words up to a bound."""
 
-    def __init__(self, path: str, remember: int = 600_000):
+    def __init__(self, path: str, remember: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -428,5 +428,5 @@ def pack(pieces: DataFrame, capacity: int = 2048, islands: int = 4, epochs: int
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, **options) -> DataFrame:
-    """token_pieces, packed."""
-    return pack(token_pieces(docs, tokenizer_path, capacity, end_id), capacity, **options)
+    """token_pieces, packed; the pieces are settled first, so that a task needs one Python worker at a time and not two."""
+    return pack(settle(token_pieces(docs, tokenizer_path, capacity, end_id)), capacity, **options)
