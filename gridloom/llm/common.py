@@ -75,20 +75,26 @@ def blocks(ids: list, texts: list, chars: int = 2_000_000) -> Iterator[tuple[lis
         yield ids[start:], texts[start:]
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset and the master is local
-    (tests, one machine) is a local one chosen.  A cluster without the setting is an error, since its
-    executors could not read each other's files.
+    Only where that is unset and the master is local (tests, one machine) is a local one chosen.  A cluster without
+    the setting is an error, since its executors could not read each other's files.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-checkpoint-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

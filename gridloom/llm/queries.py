@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard_join, media, neighbours, packing, pii, quality, secrets, tokencount
+from . import bpe, chat, jaccard_join, linedup, media, neighbours, packing, pii, quality, secrets, spelling, tokencount
 from .common import read_table
 
 #: Folder of the public tokenizers' vocabulary files; None: that of the installed package.
@@ -68,6 +68,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digest(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), PATTERN)
 
 
+def op11_levelled_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.digest(linedup.dedup_lines(read_table(spark, sf_dir, "documents")))
+
+
+def op12_parity_band_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(spelling.counted(spelling.garbled_words(read_table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -81,6 +89,8 @@ QUERIES = {
         op8_kmeans_tree_neighbours,
         op9_ordinal_quality,
         op10_byte_bpe,
+        op11_levelled_line_dedup,
+        op12_parity_band_spelling,
     )
 }
 
@@ -124,5 +134,30 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(coalesce(sum(whole) FILTER (role = 'assistant' OR back = 1), 0) AS BIGINT) AS formatted_chars
 FROM running GROUP BY conv_id
+""",
+    "op11_levelled_line_dedup": r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+ l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
+ k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+ r AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+ m AS (SELECT k.doc_id, line, pos, coalesce(k.doc_id < r.last, FALSE) AS gone FROM k LEFT JOIN r USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id
+""",
+    # the CRC-32 by its polynomial; two words are near if one is the other without a letter, or both are alike without the letter at the same place
+    "op12_parity_band_spelling": r"""
+WITH RECURSIVE u AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+ t AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM u WHERE length(run) >= 7 GROUP BY 1, 2),
+ b AS (SELECT *, list_transform(regexp_extract_all(hex(encode(doc_id || ':' || run)), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM t),
+ h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: list_reduce([xor(c, x), 1, 2, 3, 4, 5, 6, 7, 8], lambda v, i: xor(v >> 1, (v & 1) * 3988292384))), 4294967295) AS h FROM b),
+ g AS (SELECT CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM h),
+ w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM g WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+ x AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w), y AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM x),
+ p AS (SELECT a.word AS a, a.n AS an, b.word AS b, b.n AS bn FROM y a JOIN y b ON a.rest = b.rest AND a.i = b.i AND a.word < b.word
+  UNION SELECT y.word, y.n, w.word, w.n FROM y JOIN w ON w.word = y.rest),
+ e AS (SELECT a AS word, an AS n, b AS near, bn AS near_n FROM p UNION ALL SELECT b, bn, a, an FROM p),
+ f AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM e GROUP BY word),
+ m AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * w.n THEN near END AS form, CASE WHEN near_n >= 10 * w.n THEN near_n END AS form_n FROM w LEFT JOIN f USING (word)),
+ z AS (SELECT word, word AS root, 0 AS step FROM m UNION ALL SELECT z.word, m.form, step + 1 FROM z JOIN m ON m.word = z.root WHERE m.form IS NOT NULL)
+SELECT m.word, form, r.root, n, n_near, form_n FROM m JOIN (SELECT word, arg_max(root, step) AS root FROM z GROUP BY word) r USING (word)
 """,
 }
