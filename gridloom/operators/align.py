@@ -69,3 +69,16 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_time: Colum
     near = l.join(r, [*keys, "_cell"]).where(F.abs(F.col("_lt") - F.col("_rt")) <= most)
     cols = [c for c in left.columns]
     return near.groupBy(*cols, "_id").agg(F.min_by("_v", F.struct(F.abs(F.col("_lt") - F.col("_rt")), F.col("_rt"))).alias(value)).drop("_id")
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, frequent: int = 50_000) -> DataFrame:
+    """Inner join of ``rows`` with a table of one row for each key, whose ``weight`` is how many of the rows have the key.
+
+    Keys that more than one in ``frequent`` of the rows have, so at most that many, are broadcast, and their rows stay
+    where they are; the others, of which none is large, are dealt out.  So no key, however common, fills a task.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    bound = max(total // frequent, 1000)
+    often, seldom = table.where(F.col(weight) >= bound), table.where(F.col(weight) < bound)
+    rest = rows.join(F.broadcast(often.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(often), keys).unionByName(rest.join(seldom, keys))

@@ -96,6 +96,22 @@ def read_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame | Non
         return None
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, named by the session's spark.checkpoint.dir.
+
+    Where that is unset a local master (tests, one machine) gets a temporary one; a cluster without it is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-checkpoint-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
+
+
 # ---------------------------------------------------------------- keeping up to date
 
 
