@@ -34,6 +34,7 @@ class Calibration:
     heavy: DataFrame | None = None  # coef, published: one row
     wind: DataFrame | None = None  # kind, factor
     hours: DataFrame | None = None  # lead, hour, bias
+    by: tuple[str, ...] = ()  # further keys of all tables and of the rows: ``issue`` where there is a fit for each issue
 
 
 def lowland(rows: DataFrame, stations: DataFrame) -> DataFrame:
@@ -63,14 +64,14 @@ def _maybe(rows: DataFrame, small: DataFrame | None, keys: list[str], columns: d
     """The columns of a small calibration table beside the rows, null where there is none."""
     if small is None:
         return rows.select("*", *[F.lit(None).cast(t).alias(f"_{c}") for c, t in columns.items()])
-    told = F.broadcast(small.select(*keys, *[F.col(c).cast(t).alias(f"_{c}") for c, t in columns.items()]))  # a row for each kind, lead or hour
+    told = F.broadcast(small.select(*keys, *[F.col(c).cast(t).alias(f"_{c}") for c, t in columns.items()]))  # a row for each kind, lead or hour, and issue
     return rows.join(told, keys, "left") if keys else rows.join(told, F.lit(True), "left")
 
 
 def consensus_temperature(rows: DataFrame, cal: Calibration, members: list[str], suffix: str = "t") -> DataFrame:
     """Adds ``_curve``: the weighted mean of the members present with its intercept, at night with the wind's term; ``_intercept`` is kept."""
-    r = _maybe(rows, cal.temperature, ["kind", "lead"], {**{f"w_{m}": "double" for m in members}, "intercept": "double"})
-    r = _maybe(r, cal.night_wind, [], {"b": "double", "mu": "double"})
+    r = _maybe(rows, cal.temperature, [*cal.by, "kind", "lead"], {**{f"w_{m}": "double" for m in members}, "intercept": "double"})
+    r = _maybe(r, cal.night_wind, [*cal.by], {"b": "double", "mu": "double"})
     base = C.combined([F.col(f"{m}_{suffix}") for m in members], [F.col(f"_w_{m}") for m in members], F.col("_intercept"))
     wind = C.present_mean([F.col(f"{m}_w") for m in members])
     term = F.when(F.col("kind") == "night", C.night_wind_term(F.col("_b"), F.col("_mu"), wind)).otherwise(0.0)
@@ -83,8 +84,8 @@ def mapped_members(rows: DataFrame, cal: Calibration, members: list[str]) -> tup
     by_kind = None
     if cal.member_maps is not None:
         entry = F.struct(F.col("member"), F.struct("fq", "oq").cast(fit).alias("m"))
-        by_kind = cal.member_maps.groupBy("kind").agg(F.map_from_entries(F.collect_list(entry)).alias("maps"))  # a row for each kind
-    r = _maybe(rows, by_kind, ["kind"], {"maps": f"map<string,{fit}>"})
+        by_kind = cal.member_maps.groupBy(*cal.by, "kind").agg(F.map_from_entries(F.collect_list(entry)).alias("maps"))  # a row for each kind
+    r = _maybe(rows, by_kind, [*cal.by, "kind"], {"maps": f"map<string,{fit}>"})
     of = lambda m: F.try_element_at(F.col("_maps"), F.lit(m))
     return r, [fitting.map_value(F.col(f"{m}_p"), of(m)["fq"], of(m)["oq"]) for m in members]
 
@@ -96,10 +97,10 @@ def predict(rows: DataFrame, cal: Calibration, members: list[str]) -> DataFrame:
     table has one, else the share of wet members; limits that are not published are unknown.
     """
     r = consensus_temperature(rows, cal, members)
-    r = _maybe(r, cal.precip, ["kind"], {"fq": "array<double>", "oq": "array<double>"})
-    r = _maybe(r, cal.wind, ["kind"], {"factor": "double"})
-    r = _maybe(r, cal.pop, ["kind"], {"coef": "array<double>"}).withColumnRenamed("_coef", "_pop")
-    r = _maybe(r, cal.heavy, [], {"coef": "array<double>", "published": "array<double>"})
+    r = _maybe(r, cal.precip, [*cal.by, "kind"], {"fq": "array<double>", "oq": "array<double>"})
+    r = _maybe(r, cal.wind, [*cal.by, "kind"], {"factor": "double"})
+    r = _maybe(r, cal.pop, [*cal.by, "kind"], {"coef": "array<double>"}).withColumnRenamed("_coef", "_pop")
+    r = _maybe(r, cal.heavy, [*cal.by], {"coef": "array<double>", "published": "array<double>"})
     r, mapped = mapped_members(r, cal, members)
     r = r.withColumn("_m", F.array(*mapped))
     of = [F.col("_m")[k] for k in range(len(members))]
@@ -126,7 +127,7 @@ def series_temperature(rows: DataFrame, cal: Calibration, members: list[str], ho
     r = consensus_temperature(rows, cal, members, "t3")
     curve = F.col("_curve")
     if hour_bias:
-        r = _maybe(r, cal.hours, ["lead", "hour"], {"bias": "double"})
+        r = _maybe(r, cal.hours, [*cal.by, "lead", "hour"], {"bias": "double"})
         curve = curve + F.when(F.col("_bias").isNotNull(), F.col("_bias") - F.coalesce("_intercept", F.lit(0.0))).otherwise(0.0)
         curve = W.hold_to_extreme(curve, F.col("kind"), F.col(extreme)) if extreme else curve
     return r.select(*rows.columns, curve.alias("t3"))
@@ -141,27 +142,19 @@ def hour_biases(rows: DataFrame, cal: Calibration, members: list[str], half_life
     return C.weighted_bias(r, ["lead", "hour"], left, C.age_weight(F.col("end"), F.col("_newest"), half_life), least)
 
 
-def fit(rows: DataFrame, members: list[str], now: Column, window_days: int = 60, half_life: float = 20.0, rain_half_life: float = 20.0, nodes: int = 401, least: int = 30, least_night: int = 100, least_rain: int = 60, least_wind: int = 100, series: DataFrame | None = None) -> Calibration:
+def fit(rows: DataFrame, members: list[str], now: Column, window_days: int = 60, half_life: float = 20.0, rain_half_life: float = 14.0, nodes: int = 401, least: int = 30, least_night: int = 100, least_rain: int = 60, least_wind: int = 100, least_pop: int = 80, series: DataFrame | None = None, chances: bool = True) -> Calibration:
     """A calibration from the rows whose periods ended before ``now``, at most ``window_days`` ago, recent ones weighing more.
 
-    Probabilities are fitted by ``calibration.logistic_fit``, which the caller adds where it is wanted: it takes several passes.
+    It is the fit of one issue by ``rolling.fit_issues``.  ``chances``: whether rain's probabilities are fitted as well, which
+    runs a job for each Newton step.
     """
-    within = lambda df: df.where((F.col("end") <= now) & (F.col("end") > now - F.make_dt_interval(F.lit(window_days))))
-    r = within(rows)
-    newest = r.agg(F.max("end").alias("_newest"))  # one row
-    r = r.crossJoin(F.broadcast(newest)).withColumn("_age", C.age_weight(F.col("end"), F.col("_newest"), half_life)).withColumn("_wet_age", C.age_weight(F.col("end"), F.col("_newest"), rain_half_life))
-    temperature = C.temperature_weights(r, ["kind", "lead"], [f"{m}_t" for m in members], "o_t", F.col("_age"), C.ridge_of(F.col("lead")), least)
-    temperature = temperature.select("kind", "lead", "n", *[F.col(f"w_{m}_t").alias(f"w_{m}") for m in members], "intercept")
-    base = consensus_temperature(r, Calibration(temperature=temperature), members).where("kind = 'night'")
-    complete = lambda c: C.total([F.col(f"{m}_{c}") for m in members]) / len(members)
-    night = C.night_wind_fit(base, F.col("o_t") - F.col("_curve"), complete("w"), F.col("_age"), least_night)
-    known = r.withColumn("_f", complete("p"))
-    precip = fitting.quantile_map(known, ["kind"], "_f", "o_p", nodes, least_rain, "_wet_age")
-    whole = r.dropna(subset=["o_p", *[f"{m}_p" for m in members]]).select("kind", "o_p", "_wet_age", F.explode(F.array(*[F.struct(F.lit(m).alias("member"), F.col(f"{m}_p").alias("f")) for m in members])).alias("x")).select("kind", "o_p", "_wet_age", "x.*")
-    maps = fitting.quantile_map(whole, ["member", "kind"], "f", "o_p", nodes, least_rain, "_wet_age")
-    wind = C.wind_factors(r, ["kind"], complete("w"), F.col("o_w"), least_wind)
-    cal = Calibration(temperature=temperature, night_wind=night, precip=precip, member_maps=maps, wind=wind)
-    return cal if series is None else Calibration(**{**cal.__dict__, "hours": hour_biases(within(series), cal, members, half_life, least)})
+    from gridloom.operators import rolling
+
+    settings = rolling.Settings(window_days, half_life, rain_half_life, nodes, least, least_night, least_rain, least_wind, least_pop)
+    one = rows.sparkSession.range(1).select(F.array(now.cast("timestamp_ntz")).alias("_issues"))
+    cal = rolling.fit_issues(rows, members, one, settings, series, chances)
+    tables = {k: v.drop("issue") if isinstance(v, DataFrame) else v for k, v in cal.__dict__.items()}
+    return Calibration(**{**tables, "by": ()})
 
 
 # ---------------------------------------------------------------- what was issued, and scores

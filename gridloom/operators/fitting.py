@@ -66,14 +66,15 @@ def ewma_states(errors: DataFrame, keys: list[str], time: str, error: str, alpha
     return each.select(*keys, F.col("x.t").alias(time), (F.col("x.own") + F.col("x.past") * F.col("_before")).alias("bias"))
 
 
-def weighted_quantiles(rows: DataFrame, keys: list[str], value: str, weight: str, probs: list[float], parts: int = 64) -> DataFrame:
+def weighted_quantiles(rows: DataFrame, keys: list[str], value: str, weight: str, probs: list[float], parts: int = 64, least: str | None = None) -> DataFrame:
     """Exact linear quantiles at positions (cumulated weight - first) / (total - first), rows in order of value, then weight.
 
     No key is sorted in one task: equal values are summed first (only their least weight and their sum
     matter), the different values are cut into ranges by a sketch, and running sums are taken within
     ranges and offset by the sums of the ranges before.  Rows with a null value or weight take no part.
+    Rows that are sums of equal values already name the column of their ``least`` weight.
     """
-    d = rows.select(*keys, F.col(value).alias("_v"), F.col(weight).alias("_w")).dropna(subset=["_v", "_w"]).groupBy(*keys, "_v").agg(F.sum("_w").alias("_sum"), F.min("_w").alias("_min"))
+    d = rows.select(*keys, F.col(value).alias("_v"), F.col(weight).alias("_w"), F.col(least or weight).alias("_l")).dropna(subset=["_v", "_w"]).groupBy(*keys, "_v").agg(F.sum("_w").alias("_sum"), F.min("_l").alias("_min"))
     bounds = d.groupBy(*keys).agg(F.percentile_approx("_v", [k / parts for k in range(1, parts)], 2000).alias("_b"))
     d = d.join(bounds, keys).withColumn("_part", F.size(F.filter("_b", lambda b: b < F.col("_v")))).drop("_b")
     key, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_part")  # at most ``parts`` rows for each key
@@ -89,17 +90,23 @@ def weighted_quantiles(rows: DataFrame, keys: list[str], value: str, weight: str
     return asked.groupBy(*keys, "prob").agg(F.max(F.when(F.col("prob") <= F.col("_z"), F.col("_v")).otherwise(F.coalesce(between, "_v"))).alias("q"))
 
 
-def quantile_map(pairs: DataFrame, keys: list[str], f: str, o: str, nodes: int, least: int = 60, weight: str | None = None) -> DataFrame:
-    """Quantiles of forecasts and observations, weighted or not, on a common grid; keys with fewer pairs have none."""
+def quantile_map(pairs: DataFrame, keys: list[str], f: str, o: str, nodes: int, least: int = 60, weight: str | None = None, windows=None) -> DataFrame:
+    """Quantiles of forecasts and observations, weighted or not, on a common grid; keys with fewer pairs have none.
+
+    Both columns go through one chain, told apart by a key.  ``windows`` makes maps for many issues: a function that gives
+    rows with ``end`` to the issues in whose windows they are, adding ``issue``; a period's equal values are summed before.
+    """
     probs = [k / (nodes - 1) for k in range(nodes)]
     known = pairs.withColumn("_one", F.col(weight) if weight else F.lit(1.0)).dropna(subset=[f, o, "_one"])
-    n = known.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-
-    def of(column: str, name: str) -> DataFrame:
-        q = weighted_quantiles(known, keys, column, "_one", probs)
-        return q.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("prob", "q"))), lambda x: x["q"]).alias(name))
-
-    return n.join(of(f, "fq"), keys).join(of(o, "oq"), keys).withColumn("p", F.array(*map(F.lit, probs)))
+    day = ["end"] if windows else []
+    side = lambda name, c: F.struct(F.lit(name).alias("_side"), F.col(c).cast("double").alias("_x"))
+    long = known.select(*keys, *day, "_one", F.inline(F.array(side("f", f), side("o", o))))
+    summed = long.groupBy(*keys, *day, "_side", "_x").agg(F.sum("_one").alias("_one"), F.min("_one").alias("_least"), F.count("*").alias("_n"))
+    summed, keys = (windows(summed), ["issue", *keys]) if windows else (summed, keys)
+    n = summed.where("_side = 'f'").groupBy(*keys).agg(F.sum("_n").alias("n")).where(F.col("n") >= least)
+    q = weighted_quantiles(summed, [*keys, "_side"], "_x", "_one", probs, least="_least")
+    of = lambda name: F.transform(F.array_sort(F.collect_list(F.when(F.col("_side") == name, F.struct("prob", "q")))), lambda x: x["q"])
+    return n.join(q.groupBy(*keys).agg(of("f").alias("fq"), of("o").alias("oq")), keys).withColumn("p", F.array(*map(F.lit, probs)))
 
 
 def map_value(x: Column, fq: Column, oq: Column, most: float = 1.5) -> Column:

@@ -177,18 +177,6 @@ def rain_rows(spark, sf_dir) -> DataFrame:
     return s.withColumn("p1", F.col("f1") / 10).withColumn("p2", F.col("f2") / 10).withColumn("w", C.age_weight(F.col("end"), F.lit(NEWEST).cast("timestamp_ntz"), 14.0))
 
 
-@query()
-def rain_probability(spark, sf_dir):
-    """Logistic probability of at least 5 mm from two members; tests compare the fit with a dense one."""
-    r = rain_rows(spark, sf_dir)
-    wet, lm = C.rain_features([F.col("p1"), F.col("p2")])
-    r = r.withColumn("wet", wet).withColumn("lm", lm).withColumn("event", F.col("o") / 10 >= 5)
-    fits = C.logistic_fit(r, ["kind"], ["wet", "lm"], "event", "w", least=5)
-    coef = spark.createDataFrame([(f["kind"], f["coef"]) for f in fits], "kind string, coef array<double>")
-    z = F.col("coef")[0] + F.col("coef")[1] * F.col("wet") + F.col("coef")[2] * F.col("lm")
-    return r.join(F.broadcast(coef), "kind").select("user_id", F.col("day").cast("string").alias("day"), F.round(1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0)))), 6).alias("pop"))
-
-
 @query()
 def heavy_rain_slopes(spark, sf_dir):
     """One logit over the cuts of 0.1, 5 and 15 mm with common slopes."""
@@ -196,5 +184,3 @@ def heavy_rain_slopes(spark, sf_dir):
     r = C.heavy_rows(rain_rows(spark, sf_dir), [F.col("p1"), F.col("p2")], F.col("kind") == "night", F.col("o") / 10)
     fit = C.logistic_fit(r, [], names, "event", "w", least=15)
     return spark.createDataFrame([(n, round(c, 5)) for f in fit for n, c in zip(["intercept", *names], f["coef"])], "term string, coefficient double")
-
-

@@ -40,7 +40,7 @@ WINDS = """, wf AS (SELECT kind, count(f + o_w) AS n, CASE WHEN count(f + o_w) >
 
 
 def fitted(spark, sf_dir) -> K.Calibration:
-    return K.fit(member_table(spark, sf_dir), MEMBERS, F.lit("2099-01-01").cast("timestamp_ntz"), 40000, 20.0, 14.0, 11, 5, 5, 5, 5)
+    return K.fit(member_table(spark, sf_dir), MEMBERS, F.lit("2099-01-01").cast("timestamp_ntz"), 40000, 20.0, 14.0, 11, 5, 5, 5, 5, chances=False)
 
 
 @query(TABLE + FITTED + " SELECT kind, lead, n, round(w1, 6) AS w_a, round(w2, 6) AS w_b, round(w3, 6) AS w_c, round(a0, 5) AS intercept FROM fit")
@@ -49,7 +49,7 @@ def consensus_fit(spark, sf_dir):
 
 
 NIGHT = """, base AS (SELECT mt.*, CASE WHEN w1 IS NULL OR coalesce(w1 * (a_t IS NOT NULL)::INT, 0) + coalesce(w2 * (b_t IS NOT NULL)::INT, 0) + coalesce(w3 * (c_t IS NOT NULL)::INT, 0) <= 1e-9 THEN """ + MEAN("t") + """ ELSE (w1 * coalesce(a_t, 0) + w2 * coalesce(b_t, 0) + w3 * coalesce(c_t, 0)) / (w1 * (a_t IS NOT NULL)::INT + w2 * (b_t IS NOT NULL)::INT + w3 * (c_t IS NOT NULL)::INT) END + coalesce(a0, 0) AS t0 FROM mt LEFT JOIN fit USING (kind, lead)),
- nx AS (SELECT ln(least(greatest((a_w + b_w + c_w) / 3, 0.3), 8)) AS x, o_t - t0 AS r, pow(0.5, epoch(top - "end") / 86400.0 / 20) AS w FROM base, newest WHERE kind = 'night' AND a_w + b_w + c_w + o_t + t0 IS NOT NULL),
+ nx AS (SELECT ln(least(greatest(""" + MEAN("w") + """, 0.3), 8)) AS x, o_t - t0 AS r, pow(0.5, epoch(top - "end") / 86400.0 / 20) AS w FROM base, newest WHERE kind = 'night' AND """ + MEAN("w") + """ + o_t + t0 IS NOT NULL),
  nm AS (SELECT sum(w * x) / sum(w) AS mu, sum(w * r) / sum(w) AS rm FROM nx HAVING count(*) >= 5), nb AS (SELECT sum(w * (x - mu) * (r - rm)) / (1.01 * sum(w * (x - mu) * (x - mu))) AS b, max(mu) AS mu FROM nx, nm),
  tt AS (SELECT base.*, t0 + CASE WHEN kind = 'night' THEN coalesce(b * (ln(least(greatest(""" + MEAN("w") + """, 0.3), 8)) - mu), 0) ELSE 0 END AS t FROM base LEFT JOIN nb ON TRUE)"""
 
