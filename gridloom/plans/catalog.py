@@ -449,4 +449,4 @@ def report_decode(spark, sf_dir):
     return reports.decode_reports(spark.createDataFrame([(x,) for x in lines], "line string"))
 
 
-from gridloom.plans import backtests, calibrations, consensus, documents, observed, products, runs  # noqa: E402, F401  (they register their queries)
+from gridloom.plans import archives, backtests, calibrations, consensus, documents, observed, products, runs  # noqa: E402, F401  (they register their queries)

@@ -292,13 +292,16 @@ def previous_run_rows(spark, sf_dir):
     return messages.previous_runs(docs, ["t"], [1, 2]).select("station", "time", "lead", "t")
 
 
-@query("""WITH s AS (SELECT s_suppkey, trim(s_name) AS name, s_suppkey % 3 AS k, s_suppkey AS place FROM supplier), n AS (SELECT n_name FROM nation)
-SELECT name, CAST(s_suppkey % 50 AS DOUBLE) AS lat, CAST(s_suppkey % 90 + 0.5 AS DOUBLE) AS lon FROM s WHERE k <> 2""")
+PLACES = [*messages.TOWNSHIP_KINDS, "村"]  # all that count, and one that does not
+
+
+@query("""WITH s AS (SELECT s_suppkey, trim(s_name) AS name FROM supplier WHERE s_suppkey % 7 <> 6)
+SELECT name, CAST(s_suppkey % 50 AS DOUBLE) AS lat, CAST(s_suppkey % 90 + 0.5 AS DOUBLE) AS lon FROM s""")
 def place_rows(spark, sf_dir):
     """Places of a query service's answer: those of township kinds, each name once."""
     s = table(spark, sf_dir, "supplier")
     value = lambda c: F.struct(c.alias("value"))
-    kind = F.when(F.col("s_suppkey") % 3 == 2, "村").when(F.col("s_suppkey") % 3 == 1, "镇").otherwise("街道")
+    kind = F.element_at(F.array(*map(F.lit, PLACES)), (F.col("s_suppkey") % 7 + 1).cast("int"))
     point = F.concat(F.lit("Point("), F.format_string("%.1f", F.col("s_suppkey") % 90 + 0.5), F.lit(" "), (F.col("s_suppkey") % 50).cast("string"), F.lit(")"))
     binding = F.struct(value(F.concat(F.lit(" "), F.col("s_name"))).alias("label"), value(kind).alias("kind"), value(point).alias("coord"))
     docs = s.groupBy(F.lit(1)).agg(F.flatten(F.array_sort(F.collect_list(F.array(binding, binding)))).alias("bindings")).select(F.to_json(F.struct(F.struct("bindings").alias("results"))).alias("json"))  # one answer

@@ -1,4 +1,4 @@
-"""Catalogues and framing of binary messages, and rows of the services' documents."""
+"""Catalogues of binary messages, and rows of the services' documents; the messages themselves are in ``archives``."""
 
 from __future__ import annotations
 
@@ -7,42 +7,8 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import weather as W
 
-# The first four bytes of a message, and kinds of places that count as townships.
-MAGIC = b"GRIB"
-TOWNSHIP_KINDS = ("镇", "乡", "街道", "民族乡", "行政镇", "乡级行政区")
-
-
-def split_messages(files: DataFrame) -> DataFrame:
-    """``files``: path, content. One row for each message of concatenated ones: path, k, offset, length, message.
-
-    Bytes before a message are passed over; a message that is longer than what is left, or of an unknown edition, raises.
-    Null and empty contents have none. A task holds a batch of files; each is walked by its messages' own lengths.
-    """
-    import pyarrow as pa
-
-    def walk(batches):
-        for b in batches:
-            out = {n: [] for n in ("path", "k", "offset", "length", "message")}
-            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                data, at, k = data or b"", 0, 0
-                while (at := data.find(MAGIC, at)) >= 0:
-                    edition = data[at + 7] if at + 7 < len(data) else None
-                    if edition not in (1, 2):
-                        raise ValueError(f"{path}: unknown edition {edition} at byte {at}")
-                    length = int.from_bytes(data[at + 8 : at + 16] if edition == 2 else data[at + 4 : at + 7], "big")
-                    if length <= 0 or at + length > len(data):
-                        raise ValueError(f"{path}: truncated message at byte {at}")
-                    for name, value in zip(out, (path, k, at, length, data[at : at + length])):
-                        out[name].append(value)
-                    at, k = at + length, k + 1
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("path", pa.string()), ("k", pa.int32()), ("offset", pa.int64()), ("length", pa.int64()), ("message", pa.binary())]))
-
-    return files.select("path", "content").mapInArrow(walk, "path string, k int, offset long, length long, message binary")
-
-
-def byte_ranges(files: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of wanted messages (path, offset, length) of files (path, content)."""
-    return wanted.join(files, "path").select(*wanted.columns, F.expr("substring(content, CAST(offset + 1 AS INT), CAST(length AS INT))").alias("message"))
+# Kinds of places that count as townships.
+TOWNSHIP_KINDS = ("镇", "乡", "街道", "民族乡", "苏木", "民族苏木")
 
 
 def json_index(lines: DataFrame) -> DataFrame:
@@ -120,14 +86,6 @@ def around(points: DataFrame, pad: float) -> DataFrame:
     return points.agg((F.min("lat") - pad).alias("lat_min"), (F.max("lat") + pad).alias("lat_max"), (F.min("lon") - pad).alias("lon_min"), (F.max("lon") + pad).alias("lon_max"))
 
 
-def step_subset(rows: DataFrame, steps: list[int]) -> DataFrame:
-    """Rows at the steps, all of which must be there."""
-    have = {r["step"] for r in rows.where(F.col("step").isin(*steps)).select("step").distinct().collect()}  # at most the steps asked for
-    if missing := sorted(set(steps) - have):
-        raise ValueError(f"steps not in the run: {missing}")
-    return rows.where(F.col("step").isin(*steps))
-
-
 def step_gap(rows: DataFrame, by: list[str]) -> DataFrame:
     """Median and least positive gap of the distinct steps of each key."""
     from pyspark.sql import Window
