@@ -16,11 +16,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import settle
+
 ASSIGNERS = "key|token|secret|password|passwd|passphrase|pass|pwd|credentials?|auth|authorization|private|access"
 _SET = r"[\x22\x27\])]{0,2} {0,2}[=:]{1,2}>? {0,2}[\x22\x27]?"
 _ASSIGNED = rf"(?<=[=:>\x22\x27 ])(?:(?<=[=:>][\x22\x27 ]{{0,3}})(?<=(?i:{ASSIGNERS}){_SET})|(?<=(?i:bearer) ))"
 _PLAIN = r"\s\x22\x27\x60<>,;()\[\]{}"
-_VALUE = rf"(?:(?<=[\x22\x27])[^\s\x22\x27\x60]{{6,500}}(?=[\x22\x27])|[^{_PLAIN}=:][^{_PLAIN}]{{4,}}[^{_PLAIN}.:!?])"
+_VALUE = rf"(?:(?<=[\x22\x27])[^\s\x22\x27\x60]{{6,}}+(?=[\x22\x27])|[^{_PLAIN}=:][^{_PLAIN}]{{4,}}[^{_PLAIN}.:!?])"
 _BEGINS = "AKIA|ASIA|gh[pousr]_|github_pat_|sk-|xox[abp]-|AIza|glpat-|npm_"
 _RUN = rf"(?<![A-Za-z0-9+/_-])(?:(?:{_BEGINS})[A-Za-z0-9+/_-]{{8,}}|(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{{16,}})={{0,2}}"
 CANDIDATE = rf"{_ASSIGNED}{_VALUE}|{_RUN}"
@@ -173,10 +175,10 @@ _FORESTS: dict = {}
 
 
 def default_forest(spark: SparkSession) -> list[str]:
-    """Trained on the made-up findings, once in a session."""
+    """Trained on the made-up findings, once in a session; these are written first, so that no stage both makes them and learns from them."""
     key = spark.sparkContext.applicationId
     if key not in _FORESTS:
-        _FORESTS[key] = train_forest(labelled_findings(spark))
+        _FORESTS[key] = train_forest(settle(labelled_findings(spark)))
     return _FORESTS[key]
 
 

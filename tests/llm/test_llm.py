@@ -230,6 +230,19 @@ def test_secrets_without_digits_and_short_ones(spark):
     assert sum(r.gone for r in caught if not r.secret) < 0.05 * sum(not r.secret for r in caught)
 
 
+def test_secrets_of_any_length(spark):
+    """Quoted values are found whole, however long, with signs in them that end an unquoted one."""
+    forest, rng = secrets.default_forest(spark), random.Random(5)
+    texts = []
+    for n in (499, 500, 501, 5000, 100_000):
+        value = "".join(rng.choice("abcdefghijkLMNOPQRST0123456789") for _ in range(n - 1)) + "Z"
+        value = value[: n // 2] + "," + value[n // 2 + 1 :]
+        texts.append((n, f'the api_key = "{value}" ends', value))
+    found = secrets.scan(spark.createDataFrame([(n, t) for n, t, _ in texts], "doc_id long, text string"), forest, path_col=None)
+    spans = {r.doc_id: [(f.start, f.end) for f in r.findings] for r in found.collect()}
+    assert spans == {n: [(t.index(v), t.index(v) + n)] for n, t, v in texts}
+
+
 def test_secrets_of_templates_that_training_lacks(spark):
     """Other names, prefixes, separators and look-alikes than those of the made-up findings."""
     forest, rng = secrets.default_forest(spark), random.Random(77)
