@@ -73,12 +73,12 @@ def days_20_20(reports: DataFrame) -> DataFrame:
 def period_values(samples: DataFrame, periods: DataFrame, keys: list[str]) -> DataFrame:
     """A run's temperature extreme, rain and wind in each period.
 
-    ``samples``: keys, step, window_start, tmax, tmin, t2m, tp (since init), u10, v10; ``periods``: start_h, end_h, kind, at
-    most eleven a cycle and so broadcast. The extreme comes from windows that cover the period, else from at
-    least three samples; rain is what the accumulation grew by; wind is the strongest at the report hours.
+    ``samples``: keys, step, window_start, tmax, tmin, t2m, tp (since init), u10, v10; ``periods``: start_h, end_h, kind, whose
+    hours are spelled out, so that samples meet them by equality. The extreme comes from windows that cover the period,
+    else from at least three samples; rain is what the accumulation grew by; wind is the strongest at the report hours.
     """
     step, s0, s1 = F.col("step"), F.col("start_h"), F.col("end_h")
-    j = samples.join(F.broadcast(periods), (step >= s0) & (step <= s1))
+    j = samples.join(periods.withColumn("step", F.explode(F.sequence(s0, s1))), "step")
     inside = F.col("window_start") >= s0
     day = F.col("kind") == "day"
     extreme = F.when(day, F.col("tmax")).otherwise(F.col("tmin"))
@@ -99,7 +99,7 @@ def period_values(samples: DataFrame, periods: DataFrame, keys: list[str]) -> Da
 def ensemble_periods(members: DataFrame, periods: DataFrame, keys: list[str], least: int = 10, wet: float = 0.1) -> DataFrame:
     """Share of wet members and mean amount in each period from accumulations (keys, member, step, accum); unknown below ``least`` members."""
     step, s0, s1 = F.col("step"), F.col("start_h"), F.col("end_h")
-    j = members.join(F.broadcast(periods), (step == s0) | (step == s1))
+    j = members.join(periods.withColumn("step", F.explode(F.array_distinct(F.array(s0, s1)))), "step")
     each = j.groupBy(*keys, "start_h", "end_h", "kind", "member").agg((F.max(F.when(step == s1, F.col("accum"))) - F.coalesce(F.max(F.when(step == s0, F.col("accum"))), F.when(s0 == 0, 0.0))).alias("mm"))
     return each.groupBy(*keys, "start_h", "end_h", "kind").agg(F.when(F.count("mm") >= least, F.avg((F.col("mm") >= wet).cast("double"))).alias("f_pop"), F.when(F.count("mm") >= least, F.avg("mm")).alias("f_pens"))
 

@@ -75,9 +75,9 @@ def span_text(starts: Column, gap: int = 3, tz: int = 8) -> Column:
     return F.when(text == "", "无").otherwise(text)
 
 
-def county(cells_: DataFrame) -> DataFrame:
-    """Extremes over the points of each date and kind."""
-    return cells_.groupBy("date", "kind").agg(F.max("tmax").alias("temp_max"), F.min("tmin").alias("temp_min"), F.max("precip").alias("precip_max"), F.avg("precip").alias("precip_mean"), F.max("force_hi").alias("force_max"), F.max("gust_force").alias("gust_force_max"), *[F.max(c).alias(f"{c}_max") for c in ("pop", "pop_moderate", "pop_heavy")])
+def county(cells_: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Extremes over the points of each date and kind, and of each county where ``by`` names its key."""
+    return cells_.groupBy(*by, "date", "kind").agg(F.max("tmax").alias("temp_max"), F.min("tmin").alias("temp_min"), F.max("precip").alias("precip_max"), F.avg("precip").alias("precip_mean"), F.max("force_hi").alias("force_max"), F.max("gust_force").alias("gust_force_max"), *[F.max(c).alias(f"{c}_max") for c in ("pop", "pop_moderate", "pop_heavy")])
 
 
 def day_and_night(cells_: DataFrame, keys: list[str]) -> DataFrame:

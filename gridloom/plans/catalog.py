@@ -128,10 +128,12 @@ def majority_first(spark, sf_dir):
     return periods.majority(table(spark, sf_dir, "events"), ["user_id"], "event_type", F.col("event_id"))
 
 
-@query(SERIES + """, w AS (SELECT point, step - 3 AS a, step AS b, (step - 3) // 24 * 24 AS x, (step - 3) // 24 * 24 + 24 AS y FROM series)
-SELECT point, x AS from_h, count(*) = 8 AS covered FROM w GROUP BY point, x""")
+@query(SERIES + """, w AS (SELECT point, step - 3 AS a, CASE WHEN n > 1 THEN step + 3 ELSE step END AS b, (step - 3) // 24 * 24 AS x FROM series),
+ h AS (SELECT point, x, unnest(range(a, b)) AS hour FROM w)
+SELECT point, x AS from_h, count(DISTINCT hour) FILTER (hour < x + 24) = 24 AS covered FROM h GROUP BY point, x""")
 def tiles_cover(spark, sf_dir):
-    s = series(spark, sf_dir).select("point", (F.col("step") - 3).alias("start_h"), F.col("step").alias("end_h"))
+    """Whether windows of three hours, six where there is more than one event, cover their day: hour by hour in the SQL."""
+    s = series(spark, sf_dir).select("point", (F.col("step") - 3).alias("start_h"), F.when(F.col("n") > 1, F.col("step") + 3).otherwise(F.col("step")).alias("end_h"))
     d = (F.floor(F.col("start_h") / 24) * 24).cast("int")
     return periods.covers(s.withColumn("from_h", d).withColumn("to_h", d + 24), ["point", "from_h"])
 
@@ -208,9 +210,11 @@ def nearest_time(spark, sf_dir):
     return align.nearest(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), e.where("event_type = 'view'").select("user_id", "ts", F.col("value").alias("near_view")), ["user_id"], us, us, 5_400_000_000, "near_view").select("event_id", "near_view")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def orphan_keys(spark, sf_dir):
-    return stores.orphans(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    """Customers without an urgent order."""
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return stores.orphans(table(spark, sf_dir, "customer").select("c_custkey"), urgent, "c_custkey")
 
 
 # ---------------------------------------------------------------- windows
@@ -443,10 +447,18 @@ def stream_sliding(spark, sf_dir):
     return live.sliding(table(spark, sf_dir, "events"))
 
 
-@query()
+@query("""WITH r AS (SELECT CAST(54400 + user_id % 10 AS VARCHAR) AS wmo, date_trunc('hour', ts) AS time, CAST(round(max(value)) AS BIGINT) % 400 AS t, count(*) AS n, min(event_id) AS k FROM events GROUP BY ALL)
+SELECT wmo, strftime(time, '%Y-%m-%d %H:%M') AS time, round(CASE WHEN k % 3 = 0 THEN -t ELSE t END / 10.0::DOUBLE, 1) AS t, (k % 37 * 10)::DOUBLE AS wind_dir, (t % 30)::DOUBLE AS wind_speed, CASE WHEN k % 4 = 0 THEN 0.0 ELSE CASE WHEN k % 1000 = 990 THEN 0.05 WHEN k % 1000 > 990 THEN (k % 1000 - 990) / 10.0 ELSE k % 1000 END END::DOUBLE AS p6, CASE WHEN n > 1 THEN n END::INT AS ww FROM r""")
 def report_decode(spark, sf_dir):
-    lines = ["54401,2024,01,01,06,00,AAXX 01064 54401 32970 50304 11035 21105 39280 40250 52010 333 20123 56000 91108=", "54401,2024,01,01,12,00,AAXX 01124 54401 12970 50502 10012 21015 69901 333 10051 60021 70002=", "junk"]
-    return reports.decode_reports(spark.createDataFrame([(x,) for x in lines], "line string"))
+    """Coded reports, one for each region and hour with events, made of the table and read again; one line in ten is cut off and is no report."""
+    two, three = (lambda c: F.lpad(c.cast("string"), 2, "0")), (lambda c: F.lpad(c.cast("string"), 3, "0"))
+    r = table(spark, sf_dir, "events").groupBy((54400 + F.col("user_id") % 10).cast("string").alias("wmo"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("time"))
+    r = r.agg((F.round(F.max("value")).cast("long") % 400).alias("t"), F.count("*").alias("n"), F.min("event_id").alias("k"))
+    k, t, n = F.col("k"), F.col("t"), F.col("n")
+    groups = [F.lit("AAXX"), F.concat(F.date_format("time", "ddHH"), F.lit("1")), F.col("wmo"), F.when(k % 4 == 0, "32970").otherwise("12970"), F.concat(F.lit("5"), two(k % 37), two(t % 30)), F.concat(F.lit("1"), F.when(k % 3 == 0, "1").otherwise("0"), three(t)), F.when(k % 4 != 0, F.concat(F.lit("6"), three(k % 1000), F.lit("1"))), F.when(n > 1, F.concat(F.lit("7"), two(n), F.lit("00")))]
+    line = F.concat(F.col("wmo"), F.date_format("time", ",yyyy,MM,dd,HH,mm,"), F.concat_ws(" ", *groups), F.lit("="))
+    lines = r.select(F.explode(F.when(k % 10 == 0, F.array(line, F.substring(line, 1, 12))).otherwise(F.array(line))).alias("line"))
+    return reports.decode_reports(lines).select("wmo", F.date_format("time", "yyyy-MM-dd HH:mm").alias("time"), "t", "wind_dir", "wind_speed", "p6", "ww")
 
 
 from gridloom.plans import archives, backtests, calibrations, consensus, documents, observed, products, runs  # noqa: E402, F401  (they register their queries)

@@ -50,13 +50,13 @@ def model_periods(spark, sf_dir):
 
 
 def run_samples(spark, sf_dir) -> DataFrame:
-    """Ten regions as one run: 3-hour windows, an accumulation in whole numbers, samples of every sixth hour."""
+    """Ten regions in runs of 144 hours, one after the other: 3-hour windows, an accumulation in whole numbers, samples of every sixth hour."""
     from pyspark.sql import Window
 
     s = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 10).alias("point"), times.floor_hours(F.col("ts"), 3).alias("start")).agg(F.max("value").alias("tmax"), F.min("value").alias("tmin"), F.count("*").cast("double").alias("n"))
-    step = ((F.unix_timestamp(F.col("start").cast("timestamp")) - 1704067200) / 3600 + 3).cast("int")
-    s = s.withColumn("step", step).where("step <= 144").withColumn("window_start", F.col("step") - 3)
-    w = Window.partitionBy("point").orderBy("step")
+    k = F.floor((F.unix_timestamp(F.col("start").cast("timestamp")) - 1704067200) / 10800)
+    s = s.withColumn("run", F.floor(k / 48)).withColumn("step", (F.pmod(k, F.lit(48)) * 3 + 3).cast("int")).withColumn("window_start", F.col("step") - 3)
+    w = Window.partitionBy("point", "run").orderBy("step")  # a run's 48 windows
     return s.withColumn("tp", F.sum("n").over(w)).withColumn("t2m", F.when(F.col("step") % 6 == 0, F.col("tmax"))).withColumn("u10", F.col("tmin")).withColumn("v10", F.lit(0.0))
 
 
@@ -64,21 +64,21 @@ def run_periods(spark) -> DataFrame:
     return spark.range(12).select((F.col("id") * 12).cast("int").alias("start_h"), (F.col("id") * 12 + 12).cast("int").alias("end_h"), F.when(F.col("id") % 2 == 0, "day").otherwise("night").alias("kind"))
 
 
-@query("""WITH x AS (FROM (SELECT user_id % 10 AS point, CAST(floor((epoch(ts) - 1704067200) / 10800) * 3 + 3 AS INT) AS step, max(value) AS hi, min(value) AS lo, count(*)::DOUBLE AS n FROM events GROUP BY ALL) WHERE step <= 144), s AS (SELECT *, sum(n) OVER (PARTITION BY point ORDER BY step) AS tp FROM x),
+@query("""WITH v AS (SELECT user_id % 10 AS point, CAST(floor((epoch(ts) - 1704067200) / 10800) AS BIGINT) AS w, max(value) AS hi, min(value) AS lo, count(*)::DOUBLE AS n FROM events GROUP BY ALL), x AS (SELECT *, w // 48 AS run, w % 48 * 3 + 3 AS step FROM v), s AS (SELECT *, sum(n) OVER (PARTITION BY point, run ORDER BY step) AS tp FROM x),
  p AS (SELECT k * 12 AS a, CASE WHEN k % 2 = 0 THEN 'day' ELSE 'night' END AS kind FROM range(12) r(k)), j AS (SELECT * FROM s, p WHERE step BETWEEN a AND a + 12)
-SELECT point, CAST(a AS INT) AS start_h, CAST(a + 12 AS INT) AS end_h, kind, CASE WHEN count(*) FILTER (step > a) = 4 THEN CASE kind WHEN 'day' THEN max(hi) FILTER (step > a) ELSE min(lo) FILTER (step > a) END WHEN count(*) FILTER (step % 6 = 0) >= 3 THEN CASE kind WHEN 'day' THEN max(hi) FILTER (step % 6 = 0) ELSE min(hi) FILTER (step % 6 = 0) END END AS f_t,
- max(tp) FILTER (step = a + 12) - coalesce(max(tp) FILTER (step = a), CASE WHEN a = 0 THEN 0 END) AS f_p, max(abs(lo)) FILTER (step - a IN (6, 9, 12) OR (kind = 'day' AND step - a = 3)) AS f_w FROM j GROUP BY point, a, kind""")
+SELECT point, run, CAST(a AS INT) AS start_h, CAST(a + 12 AS INT) AS end_h, kind, CASE WHEN count(*) FILTER (step > a) = 4 THEN CASE kind WHEN 'day' THEN max(hi) FILTER (step > a) ELSE min(lo) FILTER (step > a) END WHEN count(*) FILTER (step % 6 = 0) >= 3 THEN CASE kind WHEN 'day' THEN max(hi) FILTER (step % 6 = 0) ELSE min(hi) FILTER (step % 6 = 0) END END AS f_t,
+ max(tp) FILTER (step = a + 12) - coalesce(max(tp) FILTER (step = a), CASE WHEN a = 0 THEN 0 END) AS f_p, max(abs(lo)) FILTER (step - a IN (6, 9, 12) OR (kind = 'day' AND step - a = 3)) AS f_w FROM j GROUP BY point, run, a, kind""")
 def run_period_values(spark, sf_dir):
-    return O.period_values(run_samples(spark, sf_dir), run_periods(spark), ["point"])
+    return O.period_values(run_samples(spark, sf_dir), run_periods(spark), ["point", "run"])
 
 
-@query("""WITH x AS (FROM (SELECT user_id % 5 AS point, user_id % 30 AS member, CAST(floor((epoch(ts) - 1704067200) / 43200) * 12 + 12 AS INT) AS step, round(sum(value) / 50, 3) AS mm FROM events GROUP BY ALL) WHERE step <= 144), s AS (SELECT *, round(sum(mm) OVER (PARTITION BY point, member ORDER BY step), 3) AS acc FROM x),
- p AS (SELECT k * 12 AS a, CASE WHEN k % 2 = 0 THEN 'day' ELSE 'night' END AS kind FROM range(12) r(k)), m AS (SELECT point, a, kind, member, max(acc) FILTER (step = a + 12) - coalesce(max(acc) FILTER (step = a), CASE WHEN a = 0 THEN 0 END) AS mm FROM s, p WHERE step = a OR step = a + 12 GROUP BY point, a, kind, member)
-SELECT point, CAST(a AS INT) AS start_h, CAST(a + 12 AS INT) AS end_h, kind, round(CASE WHEN count(mm) >= 3 THEN avg((mm >= 1.0005)::INT::DOUBLE) FILTER (mm IS NOT NULL) END, 6) AS f_pop, round(CASE WHEN count(mm) >= 3 THEN avg(mm) END, 6) AS f_pens FROM m GROUP BY point, a, kind""")
+@query("""WITH v AS (SELECT user_id % 5 AS point, user_id % 30 AS member, CAST(floor((epoch(ts) - 1704067200) / 43200) AS BIGINT) AS w, round(sum(value) / 50, 3) AS mm FROM events GROUP BY ALL), x AS (SELECT *, w // 12 AS run, w % 12 * 12 + 12 AS step FROM v), s AS (SELECT *, round(sum(mm) OVER (PARTITION BY point, run, member ORDER BY step), 3) AS acc FROM x),
+ p AS (SELECT k * 12 AS a, CASE WHEN k % 2 = 0 THEN 'day' ELSE 'night' END AS kind FROM range(12) r(k)), m AS (SELECT point, run, a, kind, member, max(acc) FILTER (step = a + 12) - coalesce(max(acc) FILTER (step = a), CASE WHEN a = 0 THEN 0 END) AS mm FROM s, p WHERE step = a OR step = a + 12 GROUP BY point, run, a, kind, member)
+SELECT point, run, CAST(a AS INT) AS start_h, CAST(a + 12 AS INT) AS end_h, kind, round(CASE WHEN count(mm) >= 3 THEN avg((mm >= 1.0005)::INT::DOUBLE) FILTER (mm IS NOT NULL) END, 6) AS f_pop, round(CASE WHEN count(mm) >= 3 THEN avg(mm) END, 6) AS f_pens FROM m GROUP BY point, run, a, kind""")
 def ensemble_period_rows(spark, sf_dir):
     from pyspark.sql import Window
 
-    step = (F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) - 1704067200) / 43200) * 12 + 12).cast("int")
-    s = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 5).alias("point"), (F.col("user_id") % 30).alias("member"), step.alias("step")).agg(F.round(F.sum("value") / 50, 3).alias("mm")).where("step <= 144")
-    s = s.withColumn("accum", F.round(F.sum("mm").over(Window.partitionBy("point", "member").orderBy("step")), 3))
-    return rounded(O.ensemble_periods(s, run_periods(spark), ["point"], least=3, wet=1.0005))
+    k = F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) - 1704067200) / 43200)
+    s = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 5).alias("point"), (F.col("user_id") % 30).alias("member"), F.floor(k / 12).alias("run"), (F.pmod(k, F.lit(12)) * 12 + 12).cast("int").alias("step")).agg(F.round(F.sum("value") / 50, 3).alias("mm"))
+    s = s.withColumn("accum", F.round(F.sum("mm").over(Window.partitionBy("point", "run", "member").orderBy("step")), 3))  # a run's 12 steps
+    return rounded(O.ensemble_periods(s, run_periods(spark), ["point", "run"], least=3, wet=1.0005))

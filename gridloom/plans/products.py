@@ -188,49 +188,67 @@ def bulletin_days(spark, sf_dir):
     return d.select("point", F.col("date").alias("day"), "weather", "high", "low")
 
 
+COUNTY = ("county",)
+
+
+def in_counties(df: DataFrame) -> DataFrame:
+    """Points of three counties."""
+    return df.withColumn("county", F.col("point") % 3)
+
+
 def alert_parts(spark, sf_dir):
-    s = cell_series(spark, sf_dir)
-    county = P.county(P.cells(s, ["point", "date", "kind"]))
+    s = in_counties(cell_series(spark, sf_dir))
+    county = P.county(in_counties(P.cells(s, ["point", "date", "kind"])), COUNTY)
     hours = F.unix_timestamp(F.col("start").cast("timestamp"))
-    return s, county, s.select("point", (hours / 3600).cast("long").alias("step"), F.to_date(F.col("start") + F.make_dt_interval(F.lit(0), F.lit(10))).alias("date"), (F.col("precip") / 2).alias("precip"))
+    return s, county, s.select("county", "point", (hours / 3600).cast("long").alias("step"), F.to_date(F.col("start") + F.make_dt_interval(F.lit(0), F.lit(10))).alias("date"), (F.col("precip") / 2).alias("precip"))
 
 
-ALERTS = CELLS + """, county AS (SELECT date, kind, max(tmax) AS hi, min(tmin) AS lo, max(force_hi) AS f, max(gust_force) AS g FROM cells GROUP BY ALL),
- hot AS (SELECT date, hi, sum(CASE WHEN hi >= 35 THEN 0 ELSE 1 END) OVER (ORDER BY date) AS grp FROM county WHERE kind = 'day' AND hi IS NOT NULL),
- heat AS (SELECT date, hi, sum(CASE WHEN hi >= 35 THEN 1 ELSE 0 END) OVER (PARTITION BY grp ORDER BY date) AS run FROM hot),
+ALERTS = CELLS + """, county AS (SELECT point % 3 AS county, date, kind, max(tmax) AS hi, min(tmin) AS lo, max(force_hi) AS f, max(gust_force) AS g FROM cells GROUP BY ALL),
+ hot AS (SELECT county, date, hi, sum(CASE WHEN hi >= 35 THEN 0 ELSE 1 END) OVER (PARTITION BY county ORDER BY date) AS grp FROM county WHERE kind = 'day' AND hi IS NOT NULL),
+ heat AS (SELECT county, date, hi, sum(CASE WHEN hi >= 35 THEN 1 ELSE 0 END) OVER (PARTITION BY county, grp ORDER BY date) AS run FROM hot),
  r AS (SELECT point, CAST(epoch(start) / 3600 AS BIGINT) AS step, CAST(start + to_hours(10) AS DATE) AS date, precip / 2 AS mm FROM s),
  sig AS (SELECT * FROM (VALUES (0, 1, 100.0, '红色', 4), (1, 1, 50.0, '橙色', 3), (2, 2, 50.0, '黄色', 2), (3, 4, 50.0, '蓝色', 1), (4, 8, 50.0, '关注', 0)) v(k, n, lim, level, rank)),
  o AS (SELECT *, row_number() OVER (PARTITION BY point ORDER BY step) AS i FROM r),
  wins AS (SELECT a.point, a.i, k, sum(b.mm) AS mm, arg_max(b.date, b.mm * 1000000 - b.i) AS date FROM o a JOIN sig ON a.i >= n JOIN o b ON b.point = a.point AND b.i <= a.i AND b.i > a.i - n GROUP BY ALL),
- rain AS (SELECT w.date, arg_max(level, rank * 1000000 + w.mm) AS level, CAST(round_even(arg_max(w.mm, rank * 1000000 + w.mm), 0) AS BIGINT) AS amount FROM wins w JOIN sig USING (k) WHERE w.mm >= lim GROUP BY w.date),
- every_alert AS (SELECT '高温' AS type, date, CASE WHEN hi >= 40 THEN '红色' WHEN hi >= 37 THEN '橙色' WHEN run >= 3 THEN '黄色' ELSE '关注' END AS level, CAST(round_even(hi, 0) AS BIGINT) AS amount, 0 AS seq FROM heat WHERE hi >= 35
-  UNION ALL SELECT '暴雨', date, level, amount, 1 FROM rain
-  UNION ALL SELECT '大风', date, CASE WHEN f >= 12 OR g >= 13 THEN '红色' WHEN f >= 10 OR g >= 11 THEN '橙色' WHEN f >= 8 OR g >= 9 THEN '黄色' ELSE '蓝色' END, f, CASE kind WHEN 'day' THEN 2 ELSE 3 END FROM county WHERE f >= 6 OR g >= 7
-  UNION ALL SELECT '霜冻', date, '关注', CAST(round_even(lo, 0) AS BIGINT), 4 FROM county WHERE kind = 'night' AND lo <= 0),
- alert AS (SELECT * FROM every_alert QUALIFY row_number() OVER (PARTITION BY type, date ORDER BY CASE level WHEN '红色' THEN 4 WHEN '橙色' THEN 3 WHEN '黄色' THEN 2 WHEN '蓝色' THEN 1 ELSE 0 END DESC, seq) = 1)"""
+ top AS (SELECT w.point % 3 AS county, w.date, arg_max(k, rank * 1000000 + w.mm) AS k, max(rank * 1000000 + w.mm) % 1000000 AS mm FROM wins w JOIN sig USING (k) WHERE w.mm >= lim GROUP BY ALL),
+ rain AS (SELECT county, date, level, CAST(round_even(mm, 0) AS BIGINT) AS amount, (n * 3) || '小时降水量≥' || CAST(lim AS INT) || '毫米' AS criterion, '局地' || (n * 3) || '小时降水量约' || CAST(round_even(mm, 0) AS BIGINT) || '毫米' AS detail FROM top JOIN sig USING (k)),
+ every_alert AS (SELECT county, '高温' AS type, date, CASE WHEN hi >= 40 THEN '红色' WHEN hi >= 37 THEN '橙色' WHEN run >= 3 THEN '黄色' ELSE '关注' END AS level, CAST(round_even(hi, 0) AS BIGINT) AS amount, 0 AS seq, CASE WHEN hi >= 40 THEN '日最高气温≥40℃' WHEN hi >= 37 THEN '日最高气温≥37℃' WHEN run >= 3 THEN '连续三天日最高气温≥35℃' ELSE '日最高气温≥35℃' END AS criterion, '局地最高气温' || CAST(round_even(hi, 0) AS BIGINT) || '℃' AS detail FROM heat WHERE hi >= 35
+  UNION ALL SELECT county, '暴雨', date, level, amount, 1, criterion, detail FROM rain
+  UNION ALL SELECT county, '大风', date, CASE WHEN f >= 12 OR g >= 13 THEN '红色' WHEN f >= 10 OR g >= 11 THEN '橙色' WHEN f >= 8 OR g >= 9 THEN '黄色' ELSE '蓝色' END, f, CASE kind WHEN 'day' THEN 2 ELSE 3 END, CASE WHEN f >= 12 OR g >= 13 THEN '平均风力≥12级或阵风≥13级' WHEN f >= 10 OR g >= 11 THEN '平均风力≥10级或阵风≥11级' WHEN f >= 8 OR g >= 9 THEN '平均风力≥8级或阵风≥9级' ELSE '平均风力≥6级或阵风≥7级' END, '平均风力' || coalesce(f, 0) || '级，阵风' || coalesce(g, 0) || '级' FROM county WHERE f >= 6 OR g >= 7
+  UNION ALL SELECT county, '霜冻', date, '关注', CAST(round_even(lo, 0) AS BIGINT), 4, '夜间最低气温≤0℃', '局地最低气温' || CAST(round_even(lo, 0) AS BIGINT) || '℃' FROM county WHERE kind = 'night' AND lo <= 0),
+ alert AS (SELECT * FROM every_alert QUALIFY row_number() OVER (PARTITION BY county, type, date ORDER BY CASE level WHEN '红色' THEN 4 WHEN '橙色' THEN 3 WHEN '黄色' THEN 2 WHEN '蓝色' THEN 1 ELSE 0 END DESC, seq) = 1)"""
 
 
-@query(ALERTS + " SELECT type, date AS day, level, amount FROM alert", dates=True)
+@query(ALERTS + " SELECT county, type, date AS day, level, amount, criterion, detail FROM alert", dates=True)
 def alert_conclusions(spark, sf_dir):
     _, county, s = alert_parts(spark, sf_dir)
-    return A.conclusions(county, s).withColumnRenamed("date", "day").select("type", "day", "level", "amount")
+    return A.conclusions(county, s, by=COUNTY).withColumnRenamed("date", "day")
 
 
-GRADES = CELLS + """, ranked AS (SELECT date, point, max(CASE weather WHEN '小雨' THEN 1 WHEN '中雨' THEN 2 WHEN '大雨' THEN 3 WHEN '暴雨' THEN 4 WHEN '大暴雨' THEN 5 WHEN '特大暴雨' THEN 6 END) AS r FROM words GROUP BY ALL),
- lists AS (SELECT date, list_sort(list(r) FILTER (r IS NOT NULL)) AS wet, count(*) AS n FROM ranked GROUP BY date),
- grades AS (SELECT date, list_value('小雨','中雨','大雨','暴雨','大暴雨','特大暴雨')[CASE WHEN len(wet) * 2 >= n THEN wet[len(wet) - (n + 1) // 2 + 1] END] AS common, list_value('小雨','中雨','大雨','暴雨','大暴雨','特大暴雨')[wet[len(wet)]] AS local FROM lists)"""
+GRADES = CELLS + """, ranked AS (SELECT point % 3 AS county, date, point, max(CASE weather WHEN '小雨' THEN 1 WHEN '中雨' THEN 2 WHEN '大雨' THEN 3 WHEN '暴雨' THEN 4 WHEN '大暴雨' THEN 5 WHEN '特大暴雨' THEN 6 END) AS r FROM words GROUP BY ALL),
+ lists AS (SELECT county, date, list_sort(list(r) FILTER (r IS NOT NULL)) AS wet, count(*) AS n FROM ranked GROUP BY county, date),
+ grades AS (SELECT county, date, list_value('小雨','中雨','大雨','暴雨','大暴雨','特大暴雨')[CASE WHEN len(wet) * 2 >= n THEN wet[len(wet) - (n + 1) // 2 + 1] END] AS common, list_value('小雨','中雨','大雨','暴雨','大暴雨','特大暴雨')[wet[len(wet)]] AS local FROM lists)"""
 
 
-@query(GRADES + " SELECT date AS day, common, local FROM grades", dates=True)
+@query(GRADES + " SELECT county, date AS day, common, local FROM grades", dates=True)
 def rain_grade_days(spark, sf_dir):
-    return A.rain_grades(P.cells(cell_series(spark, sf_dir), ["point", "date", "kind"])).withColumnRenamed("date", "day")
+    return A.rain_grades(in_counties(P.cells(cell_series(spark, sf_dir), ["point", "date", "kind"])), COUNTY).withColumnRenamed("date", "day")
+
+
+SPAN = "CASE WHEN a = b THEN month(a) || '月' || day(a) || '日' WHEN month(a) = month(b) THEN month(a) || '月' || day(a) || '日—' || day(b) || '日' ELSE month(a) || '月' || day(a) || '日—' || month(b) || '月' || day(b) || '日' END"
 
 
-@query()
+@query(ALERTS + GRADES.replace(CELLS, "") + f""", wording AS (SELECT county, date, coalesce(common, '') AS c, coalesce(local, '') AS l, CASE WHEN coalesce(common, '') = lag(coalesce(common, '')) OVER w AND coalesce(local, '') = lag(coalesce(local, '')) OVER w THEN 0 ELSE 1 END AS new FROM grades WINDOW w AS (PARTITION BY county ORDER BY date)),
+ spells AS (SELECT county, c, l, min(date) AS a, max(date) AS b FROM (SELECT *, sum(new) OVER (PARTITION BY county ORDER BY date) AS g FROM wording) GROUP BY county, g, c, l HAVING c || l <> ''),
+ said AS (SELECT county, a, CASE WHEN c = '' THEN {SPAN} || '局地有' || l ELSE {SPAN} || '有' || c || CASE WHEN c <> l THEN '，局地' || l ELSE '' END END AS text FROM spells),
+ three AS (SELECT county, string_agg(text, '；' ORDER BY a) AS text FROM (SELECT * FROM said QUALIFY row_number() OVER (PARTITION BY county ORDER BY a) <= 3) GROUP BY county),
+ extremes AS (SELECT county, CAST(round_even(max(hi) FILTER (kind = 'day'), 0) AS BIGINT) AS hi, CAST(round_even(min(lo) FILTER (kind = 'night'), 0) AS BIGINT) AS lo FROM county GROUP BY county),
+ guards AS (SELECT county, string_agg(type, '、' ORDER BY d, type) AS kinds FROM (SELECT county, type, min(date) AS d FROM alert GROUP BY ALL) GROUP BY county)
+SELECT county, '全县；' || CASE WHEN text IS NULL THEN '之后无明显降水' ELSE '之后' || text END || coalesce('；全县最高气温' || hi || '℃，夜间最低' || lo || '℃', '') || '。' || coalesce('注意防范' || kinds || '。', '') AS headline FROM extremes LEFT JOIN three USING (county) LEFT JOIN guards USING (county)""")
 def headline(spark, sf_dir):
-    """The summary sentence; tests hold it against one written by hand."""
-    cells, (_, county, s) = P.cells(cell_series(spark, sf_dir), ["point", "date", "kind"]), alert_parts(spark, sf_dir)
-    return A.headline("全县", A.rain_grades(cells), county, A.conclusions(county, s))
+    """The summary sentence of each county."""
+    cells, (_, county, s) = in_counties(P.cells(cell_series(spark, sf_dir), ["point", "date", "kind"])), alert_parts(spark, sf_dir)
+    return A.headline("全县", A.rain_grades(cells, COUNTY), county, A.conclusions(county, s, by=COUNTY), COUNTY)
 
 
 @query(SERIES + """, sh AS (SELECT user_id AS point, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) // 3600 - 473352 AS hour, max(value) AS g FROM events GROUP BY ALL),
@@ -244,11 +262,12 @@ def hourly_curve(spark, sf_dir):
     return rounded(P.hourly_curve(series(spark, sf_dir).select("point", "step", F.col("tmax3").alias("v")), shape, ["point"]))
 
 
-@query(SERIES + " SELECT point, CAST(row_number() OVER (PARTITION BY point ORDER BY step) - 1 AS INT) AS k, tmax3, u10 FROM series WHERE step <= 72")
+@query(SERIES + " SELECT point, CAST((step - 3) // 72 AS BIGINT) AS run, CAST(row_number() OVER (PARTITION BY point, (step - 3) // 72 ORDER BY step) - 1 AS INT) AS k, tmax3, u10 FROM series")
 def columns_to_rows(spark, sf_dir):
-    packed = series(spark, sf_dir).where("step <= 72").groupBy("point").agg(F.array_sort(F.collect_list(F.struct("step", "tmax3", "u10"))).alias("s"))  # at most 24 windows
-    docs = packed.select("point", F.col("s.tmax3").alias("tmax3"), F.col("s.u10").alias("u10"))
-    return P.columns_to_rows(docs, "point", ["tmax3", "u10"], "tmax3")
+    s = series(spark, sf_dir).withColumn("run", F.floor((F.col("step") - 3) / 72))
+    packed = s.groupBy("point", "run").agg(F.array_sort(F.collect_list(F.struct("step", "tmax3", "u10"))).alias("s"))  # at most 24 windows
+    docs = packed.select(F.struct("point", "run").alias("of"), F.col("s.tmax3").alias("tmax3"), F.col("s.u10").alias("u10"))
+    return P.columns_to_rows(docs, "of", ["tmax3", "u10"], "tmax3").select("of.*", "k", "tmax3", "u10")
 
 
 # ---------------------------------------------------------------- texts

@@ -14,7 +14,7 @@ REPORT = "t double, td double, wind_dir double, wind_speed double, gust double,
 def signed_tenths(group: Column) -> Column:
     """Temperature of a group whose second character is the sign and the next three tenths of a degree."""
     v = F.try_to_number(F.substring(group, 3, 3), F.lit("999")).cast("double") / 10
-    return F.when(F.substring(group, 2, 1) == "0", v).when(F.substring(group, 2, 1) == "1", -v)
+    return F.when(F.substring(group, 2, 1) == "0", v).when(F.substring(group, 2, 1) == "1", 0.0 - v)  # 0 has no sign
 
 
 def rain_code(code: Column) -> Column:
