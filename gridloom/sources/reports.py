@@ -56,20 +56,53 @@ def decode_reports(lines: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+class BadTable(ValueError):
+    """A table that a run cannot start with."""
+
+
 def points_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The point table: id, name, lat, lon, elevation_m, parent; texts trimmed, the five first columns required."""
+    """The point table: id, name, lat, lon, elevation_m, parent; texts trimmed, the five first columns required.
+
+    Raises for a table without rows.
+    """
     schema = "id string, name string, lat string, lon string, elevation_m string, parent string"
     df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
-    t = lambda c: F.trim(F.regexp_replace(c, "﻿", ""))
-    return df.select(t("id").alias("id"), t("name").alias("name"), *[t(c).cast("double").alias(c) for c in ("lat", "lon", "elevation_m")], F.nullif(t("parent"), F.lit("")).alias("parent"))
+    t = lambda c: F.trim(F.regexp_replace(c, "\ufeff", ""))
+    points = df.select(t("id").alias("id"), t("name").alias("name"), *[t(c).cast("double").alias(c) for c in ("lat", "lon", "elevation_m")], F.nullif(t("parent"), F.lit("")).alias("parent"))
+    if points.isEmpty():
+        raise BadTable(f"{path} has no points")
+    return points
 
 
-def points_geojson(spark: SparkSession, path: str, name_field: str = "name") -> DataFrame:
-    """Point features of a GeoJSON document; an id falls back to adcode, then to the place in the list; empty geometries are skipped."""
-    doc = spark.read.schema("features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:array<double>>>>").option("multiLine", True).json(path)
-    f = doc.select(F.posexplode("features").alias("k", "f")).where("f.geometry IS NOT NULL AND size(f.geometry.coordinates) >= 2")
-    p = F.col("f.properties")
-    return f.select(F.coalesce(p["id"], p["adcode"], F.col("k").cast("string")).alias("id"), p[name_field].alias("name"), F.col("f.geometry.coordinates")[1].alias("lat"), F.col("f.geometry.coordinates")[0].alias("lon"))
+def checked_points(points: DataFrame) -> DataFrame:
+    """The points, all of which must have an elevation; raises with the first that lack one."""
+    if lacking := [r.id for r in points.where("elevation_m IS NULL OR isnan(elevation_m)").select("id").orderBy("id").limit(5).collect()]:
+        raise BadTable(f"points without an elevation: {', '.join(map(str, lacking))}")
+    return points
+
+
+def points_geojson(spark: SparkSession, path: str, name_field: str = "name", id_field: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Features of a GeoJSON document as points (id, name, lat, lon), and the edges of their polygons (id, part, x1, y1, x2, y2).
+
+    A polygon's point lies inside of it; point features stand for themselves.  An id falls back to adcode, then to the place
+    in the list; a name to NAME, then to that place.  Features without a geometry are skipped; raises for no features.
+    """
+    from gridloom.operators import geometry as G
+
+    doc = spark.read.schema("features array<struct<properties:map<string,string>,geometry:string>>").option("multiLine", True).json(path)
+    f = doc.select(F.posexplode("features").alias("k", "f"))
+    if f.isEmpty():
+        raise BadTable(f"{path} has no features")
+    p, k = F.col("f.properties"), F.col("k").cast("string")
+    own = F.try_element_at(p, F.lit(id_field)) if id_field else F.try_element_at(p, F.lit("adcode"))
+    of = lambda name: F.nullif(F.try_element_at(p, F.lit(name)), F.lit(""))
+    named = f.select(F.coalesce(own, F.lpad(k, 4, "0")).alias("id"), F.coalesce(of(name_field), of("NAME"), F.concat(F.lit("feature_"), k)).alias("name"), F.col("f.geometry").alias("_g"))
+    edges = G.edges_of(named.withColumn("_r", G.rings_of(F.col("_g"))), ["id"], "_r")
+    inside = named.select("id", "name").join(G.interior_points(edges, ["id"]), "id")
+    at = F.from_json("_g", "coordinates array<double>")["coordinates"]
+    single = named.where((F.get_json_object("_g", "$.type") == "Point") & (F.size(at) >= 2)).select("id", "name", at[1].alias("lat"), at[0].alias("lon"))
+    points = inside.unionByName(single).withColumn("lat", F.round("lat", 6)).withColumn("lon", F.round("lon", 6))
+    return points, edges
 
 
 def message_index(lines: DataFrame) -> DataFrame:
