@@ -257,12 +257,45 @@ def increments(spark, sf_dir):
     return windows.increments(series(spark, sf_dir), "tmax3").select("point", "step", "increment")
 
 
-@query("""WITH x AS (SELECT user_id, event_id, event_type, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) THEN 0 ELSE 1 END AS c FROM events),
- y AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM x) SELECT user_id, event_type, min(event_id) AS first, max(event_id) AS last, count(*) AS rows FROM y GROUP BY user_id, g, event_type""")
+WORDING = """WITH x AS (SELECT user_id, event_id, event_type, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) THEN 0 ELSE 1 END AS c FROM events),
+ y AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM x) SELECT user_id, event_type, min(event_id) AS first, max(event_id) AS last, count(*) AS rows FROM y GROUP BY user_id, g, event_type"""
+
+
+@query(WORDING)
 def same_wording(spark, sf_dir):
     return windows.same_wording(table(spark, sf_dir, "events"), ["user_id"], "event_id", "event_type")
 
 
+# The same in pieces, as long histories want it: two days or five hundred reports at a time.
+
+
+@query(ORACLES["running_sum_alerts"])
+def running_sums_in_pieces(spark, sf_dir):
+    r = windows.running_sums(series(spark, sf_dir), {"p6": 2, "p24": 8}, span=48)
+    return r.select("point", "step", F.round("p6", 3).alias("p6"), F.round("p24", 3).alias("p24"))
+
+
+@query(ORACLES["wet_spells"])
+def spells_in_pieces(spark, sf_dir):
+    s = series(spark, sf_dir).where("precip >= 0.1")
+    return windows.spells(s.select("point", (F.col("step") - 3).alias("start_h"), F.col("step").alias("end_h")), ["point"], span=48)
+
+
+@query(ORACLES["consecutive_runs"])
+def runs_in_pieces(spark, sf_dir):
+    return windows.run_lengths(series(spark, sf_dir), ["point"], "step", F.col("tmax3") >= 10, span=48).select("point", "step", "run")
+
+
+@query(ORACLES["increments"])
+def increments_in_pieces(spark, sf_dir):
+    return windows.increments(series(spark, sf_dir), "tmax3", span=48).select("point", "step", "increment")
+
+
+@query(ORACLES["same_wording"])
+def wording_in_pieces(spark, sf_dir):
+    return windows.same_wording(table(spark, sf_dir, "events"), ["user_id"], "event_id", "event_type", span=500)
+
+
 @query(SERIES + """, p AS (SELECT point, step, (SELECT arg_max(z.step, z.precip * 1000000 - z.step) FROM series z WHERE z.point = s.point AND z.step <= s.step AND z.step > s.step - 6) AS x FROM series s)
 SELECT point, step, CASE WHEN lag(step) OVER (PARTITION BY point ORDER BY step) = step - 3 THEN x ELSE -1 END AS peak_step FROM p""")
 def peak_dating(spark, sf_dir):
