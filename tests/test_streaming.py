@@ -1,5 +1,6 @@
 """Streams over several batches against the same rows at once."""
 
+import glob
 from datetime import datetime, timedelta
 
 import pytest
@@ -76,15 +77,69 @@ def test_upsert_stream_keeps_the_last_report(spark, tmp_path):
 
     def run():
         live.upsert_stream(spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(into), store, ["station", "hour"], "seq", mark).awaitTermination()
-        return sorted(map(tuple, spark.read.parquet(live.version(spark, store)).collect()))
+        return sorted(map(tuple, live.upserted(spark, store, shape).drop("bucket").collect()))
 
     for b in batches[:2]:
         spark.createDataFrame(b, shape).coalesce(1).write.mode("append").parquet(into)
     assert run() == [(1, 0, 2, 9.0), (2, 0, 1, 2.0), (3, 0, 1, 3.0)]
-    first = live.version(spark, store)
-    assert run() == [(1, 0, 2, 9.0), (2, 0, 1, 2.0), (3, 0, 1, 3.0)] and live.version(spark, store) == first
+    files = lambda: {p for p in glob.glob(f"{store}/bucket=*/version=*/*.parquet")}
+    first = files()
+    assert run() == [(1, 0, 2, 9.0), (2, 0, 1, 2.0), (3, 0, 1, 3.0)] and files() == first
     spark.createDataFrame(batches[2], shape).coalesce(1).write.mode("append").parquet(into)
     assert run() == [(1, 0, 2, 9.0), (2, 0, 2, None), (2, 1, 1, 4.0), (3, 0, 1, 3.0)]
+    assert first <= files() and len({p.split("version=")[0] for p in files() - first}) <= 2  # two keys, two buckets at most
+
+
+def test_upsert_stream_that_breaks_off_in_a_batch(spark, tmp_path, monkeypatch):
+    """A batch that has written its buckets but is not done is not read, and is run again from what was before it."""
+    shape = "station long, seq int, value double"
+    into, store, mark = (str(tmp_path / x) for x in ("in", "store", "mark"))
+    stream = lambda: live.upsert_stream(spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(into), store, ["station"], "seq", mark, buckets=4).awaitTermination()
+    read = lambda: sorted(map(tuple, live.upserted(spark, store, shape).drop("bucket").collect()))
+    assert read() == []
+    spark.createDataFrame([(k, 1, 1.0) for k in range(6)], shape).coalesce(1).write.mode("append").parquet(into)
+    stream()
+    spark.createDataFrame([(2, 2, 5.0), (9, 1, 7.0)], shape).coalesce(1).write.mode("append").parquet(into)
+    real = type(spark).range
+    monkeypatch.setattr(type(spark), "range", lambda *a, **k: (_ for _ in ()).throw(OSError("gone")))
+    with pytest.raises(Exception, match="gone"):
+        stream()
+    monkeypatch.setattr(type(spark), "range", real)
+    assert read() == [(k, 1, 1.0) for k in range(6)]
+    stream()
+    assert read() == sorted([(k, 1, 1.0) for k in range(6) if k != 2] + [(2, 2, 5.0), (9, 1, 7.0)])
+
+
+def test_corrected_bias_with_late_days_corrections_and_expiry(spark, tmp_path):
+    into, alpha, keep = str(tmp_path / "in"), 0.25, 4
+    day = lambda n: datetime(2024, 1, 1) + timedelta(days=n, hours=6)
+    batches = [
+        [("a", day(0), 1.0), ("a", day(2), 3.0), ("b", day(0), 8.0)], [("a", day(1), 2.0), ("a", day(2), -3.0), ("a", None, 9.0), ("a", day(3), None)],
+        [("a", day(n), float(n)) for n in range(3, 9)], [("a", day(0), 99.0), ("a", day(8), 0.5)], [("a", day(50), 1.0)], [("a", day(51), 1.0)],
+    ]
+    for b in batches:
+        spark.createDataFrame(b, "key string, ts timestamp, e double").coalesce(1).write.mode("append").parquet(into)
+    name, value = live.STATE_STORE
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        stream = spark.readStream.schema("key string, ts timestamp, e double").option("maxFilesPerTrigger", 1).parquet(into)
+        got = live.drain(spark, live.corrected_bias(stream, alpha, keep), "corrected", "update", str(tmp_path / "c")).collect()
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+    def fold(values):
+        bias = values[0]
+        for e in values[1:]:
+            bias = (1 - alpha) * bias + alpha * e
+        return bias
+
+    third = [1.0, 2.0, -3.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0]
+    told = [(r.days, round(r.bias, 9)) for r in got if r.key == "a" and not r.closed]
+    expected = [[1.0, 3.0], [1.0, 2.0, -3.0], third, [*third[:-1], 0.5]]  # day 0 is folded by then, day 8 is not
+    assert told[:4] == [(len(v), round(fold(v), 9)) for v in expected]
+    closed = {r.key: (r.days, r.bias) for r in got if r.closed}
+    assert closed["b"] == (1, 8.0)
 
 
 def test_first_arrival_of_a_key(spark, tmp_path):
