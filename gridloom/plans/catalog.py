@@ -494,4 +494,4 @@ def report_decode(spark, sf_dir):
     return reports.decode_reports(lines).select("wmo", F.date_format("time", "yyyy-MM-dd HH:mm").alias("time"), "t", "wind_dir", "wind_speed", "p6", "ww")
 
 
-from gridloom.plans import archives, backtests, calibrations, consensus, documents, observed, places, products, runs  # noqa: E402, F401  (they register their queries)
+from gridloom.plans import archives, backtests, calibrations, consensus, documents, observed, places, products, runs, stored  # noqa: E402, F401  (they register their queries)

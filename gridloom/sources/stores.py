@@ -67,13 +67,22 @@ def stacked(members: dict[str, DataFrame]) -> DataFrame:
 
 
 def write_store(frames: list[DataFrame], path: str, replace: bool = True) -> None:
-    """Frames as one table by source and run, sorted by point for look-ups; replaces the table or adds to it."""
+    """Frames as one table by source and run, sorted by point for look-ups; replaces the runs that the frames have, and no others, or adds to them."""
     if not frames:
         raise ValueError("no frames to write")
     from functools import reduce
 
-    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    both.sortWithinPartitions("point", "valid_time").write.mode("overwrite" if replace else "append").partitionBy("source", "run_init").parquet(path)
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames).hint("rebalance", "source", "run_init")
+    writer = both.sortWithinPartitions("source", "run_init", "point", "valid_time").write.mode("overwrite" if replace else "append")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy("source", "run_init").parquet(path)
+
+
+def write_bucketed(rows: DataFrame, name: str, path: str, buckets: int, keys: list[str], order: list[str]) -> None:
+    """A table of the session under an explicit path, dealt out and sorted by key: joins of such tables by these keys move no rows.
+
+    There is one file for each bucket, since rows are dealt out as buckets are before they are written.
+    """
+    rows.repartition(buckets, *keys).write.mode("overwrite").option("path", path).bucketBy(buckets, *keys).sortBy(*order).saveAsTable(name)
 
 
 def read_store(spark: SparkSession, path: str, schema: str, corrupt_is_none: bool = True) -> DataFrame:
@@ -82,8 +91,8 @@ def read_store(spark: SparkSession, path: str, schema: str, corrupt_is_none: boo
 
 
 def save_points(points: DataFrame, path: str) -> None:
-    """The point table as one sorted file with a heading; it is small."""
-    points.orderBy("id").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """The point table in order of id, each file with a heading."""
+    points.orderBy("id").write.mode("overwrite").option("header", True).csv(path)
 
 
 def read_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
