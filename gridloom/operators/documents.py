@@ -69,29 +69,45 @@ def merged_shape(nodes: DataFrame, extra: DataFrame) -> DataFrame:
     return nodes.select(*both).unionByName(new.select(*both))
 
 
-def product(cells: DataFrame, points: DataFrame, issue: Column, tz: int = 8) -> DataFrame:
-    """One JSON document: periods in order with label, county block and cells, the days that refer to them, and the points.
-
-    ``cells``: as ``products.cells`` by point, date and kind; ``points``: point, name, elevation. A product has at most eleven
-    periods of one county's points, which is what is gathered.
+def product(cells: DataFrame, points: DataFrame, issue: Column, tz: int = 8, by: tuple[str, ...] = (), extremes: DataFrame | None = None, series: DataFrame | None = None, alerts: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
+    """A JSON document for each county: periods in order with label, county block and cells, the days that refer to them, the points, and what else is given.
+
+    ``cells``: as ``products.cells`` by county, point, date and kind; ``points``: county, point, name, elevation.  ``extremes``
+    (point, date, kind, tmax, tmin) take the place of the cells' own where they are known; the maximum is then never below
+    the minimum.  ``series``: a row for each point (as ``series3h``); ``alerts``: as ``alerts.conclusions``; ``texts``: as
+    ``bulletin``.  ``by`` names the columns that tell counties apart.  A document has at most eleven periods of one county's
+    points, which is what a group gathers.
     """
     today = times.day_of(issue, tz)
-    cols = [c for c in cells.columns if c not in ("date", "kind")]
-    block = products.county(cells)
-    word = cells.where("weather IS NOT NULL AND weather <> '—'").groupBy("date", "kind", "weather").agg(F.count("*").alias("n"), F.min("point").alias("p"))
-    word = word.groupBy("date", "kind").agg(F.max_by("weather", F.struct("n", -F.col("p"))).alias("weather"))
-    listed = cells.groupBy("date", "kind").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("cells"))
-    p = listed.join(block, ["date", "kind"]).join(word, ["date", "kind"], "left").withColumn("label", products.period_label(F.col("date"), F.col("kind"), today)).withColumn("weekday", F.element_at(F.array(*map(F.lit, times.WEEKDAYS)), F.weekday("date") + 1))
-    county = F.struct(F.coalesce("weather", F.lit("—")).alias("weather"), *[c for c in block.columns if c not in ("date", "kind")])
-    order = Window.orderBy("date", F.col("kind") != "day")  # eleven rows
-    p = p.withColumn("index", F.row_number().over(order) - 1).select("index", "date", "kind", "label", "weekday", county.alias("county"), "cells")
-    periods = p.agg(F.array_sort(F.collect_list(F.struct(*p.columns))).alias("periods"))
-    at = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("index")))
-    d = p.groupBy("date", "weekday").agg(at("day").alias("day"), at("night").alias("night"))
-    days = d.agg(F.array_sort(F.collect_list(F.struct("date", "weekday", "day", "night"))).alias("days"))
-    roster = points.agg(F.array_sort(F.collect_list(F.struct("point", "name", "elevation"))).alias("townships"))
-    doc = periods.crossJoin(days).crossJoin(roster)  # three single rows
-    return doc.select(F.to_json(F.struct(F.struct(F.lit(2).alias("schema"), F.size("periods").alias("n_periods"), F.size("townships").alias("n_townships"), issue.alias("issue_time")).alias("meta"), "periods", "days", "townships")).alias("json"))
+    one = lambda df: df.withColumn("_all", F.lit(0))
+    keys = [*by, "_all"]
+    if extremes is not None:
+        e = extremes.select(*by, "point", "date", "kind", F.col("tmax").alias("_x"), F.col("tmin").alias("_n"))
+        over = cells.join(e, [*by, "point", "date", "kind"], "left").withColumn("tmin", F.coalesce("_n", "tmin")).withColumn("tmax", F.greatest(F.coalesce("_x", "tmax"), "tmin"))
+        cells = over.withColumn("temp", F.when(F.col("kind") == "day", F.col("tmax")).otherwise(F.col("tmin"))).select(*cells.columns)
+    cells = one(cells)
+    at = [*keys, "date", "kind"]
+    cols = [c for c in cells.columns if c not in at]
+    block = products.county(cells, tuple(keys))
+    word = cells.where("weather IS NOT NULL AND weather <> '—'").groupBy(*at, "weather").agg(F.count("*").alias("n"), F.min("point").alias("p"))
+    word = word.groupBy(*at).agg(F.max_by("weather", F.struct("n", -F.col("p"))).alias("weather"))
+    listed = cells.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("cells"))
+    p = listed.join(block, at).join(word, at, "left").withColumn("label", products.period_label(F.col("date"), F.col("kind"), today)).withColumn("weekday", F.element_at(F.array(*map(F.lit, times.WEEKDAYS)), F.weekday("date") + 1))
+    county = F.struct(F.coalesce("weather", F.lit("—")).alias("weather"), *[c for c in block.columns if c not in at])
+    order = Window.partitionBy(*keys).orderBy("date", F.col("kind") != "day")  # a county's eleven rows
+    p = p.withColumn("index", F.row_number().over(order) - 1).select(*keys, "index", "date", "kind", "label", "weekday", county.alias("_block"), "cells")
+    periods = p.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("index", "date", "kind", "label", "weekday", F.col("_block").alias("county"), "cells"))).alias("periods"))
+    place = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("index")))
+    d = p.groupBy(*keys, "date", "weekday").agg(place("day").alias("day"), place("night").alias("night"))
+    doc = periods.join(d.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("date", "weekday", "day", "night"))).alias("days")), keys)
+    lists = {"townships": points.select(*by, "point", "name", "elevation"), "series3h": series, "conclusions": alerts, "text": texts}
+    for name, rows in lists.items():
+        if rows is not None:
+            inner = F.struct(*[c for c in rows.columns if c not in by])
+            doc = doc.join(one(rows).groupBy(*keys).agg(F.array_sort(F.collect_list(inner)).alias(name)), keys, "left")
+    given = [name for name, rows in lists.items() if rows is not None]
+    meta = F.struct(F.lit(2).alias("schema"), *by, F.size("periods").alias("n_periods"), F.coalesce(F.size("townships"), F.lit(0)).alias("n_townships"), issue.alias("issue_time"))
+    return doc.select(*by, F.to_json(F.struct(meta.alias("meta"), "periods", "days", *[F.coalesce(F.col(n), F.array()).alias(n) for n in given])).alias("json"))
 
 
 def bulletin_rows(cells: DataFrame, points: DataFrame) -> DataFrame:
@@ -127,11 +143,40 @@ def bulletin(rows: DataFrame) -> DataFrame:
 
 def township_table(daily: DataFrame, value: str, width: int = 8) -> DataFrame:
     """One text row for each point with a column for each day: the report's table of one measure."""
-    cell = F.lpad(F.coalesce(F.format_string("%.1f", F.col(value) + 1e-9), F.lit("nan")), width, " ")
+    cell = F.lpad(_number(F.col(value), 1, "nan"), width, " ")
     listed = daily.groupBy("point").agg(F.array_sort(F.collect_list(F.struct("day", cell.alias("c")))).alias("s"))
     return listed.select("point", F.array_join(F.transform("s", lambda x: x["c"]), "").alias("line"))
 
 
+def wind_day_table(daily: DataFrame) -> DataFrame:
+    """One text row for each point (name, elevation) with the mean direction and speed of each day; unknown ones are a dash and nan."""
+    from gridloom.functions import weather as W
+
+    direction = F.when(F.col("wind_dir").isNotNull(), W.wind_name(F.col("wind_dir"))).otherwise("—")
+    cell = F.concat(_right(direction, 6), _right(_number(F.col("wind_speed"), 1, "nan"), 6))
+    listed = daily.groupBy("point", "name", "elevation").agg(F.array_sort(F.collect_list(F.struct("day", cell.alias("c")))).alias("s"))  # a point's days
+    height = F.lpad(F.format_string("%.0f", F.bround("elevation")), 6, " ")
+    return listed.select("point", F.concat(F.rpad("name", 12, " "), height, F.lit("  "), F.array_join(F.transform("s", lambda x: x["c"]), "")).alias("line"))
+
+
+def _number(value: Column, digits: int, unknown: str) -> Column:
+    """A number with so many places; of a null, format_string would print a part of that word."""
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", value + 1e-9)).otherwise(unknown)
+
+
+def _right(text: Column, width: int) -> Column:
+    """A text moved to the right of so many characters; a longer one stays whole."""
+    return F.concat(F.repeat(F.lit(" "), F.greatest(F.lit(width) - F.char_length(text), F.lit(0))), text)
+
+
+def score_cells(scores: DataFrame, leads: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+    """One text for each configuration: errors of maxima and minima, the share within two degrees and of right wet and dry periods, at some leads."""
+    number = lambda c, width, digits: _right(_number(F.col(c), digits, "—"), width)
+    text = F.concat(F.lit("Tx "), number("tmax_mae", 4, 2), F.lit("/"), number("tmax_within2", 3, 0), F.lit("% Tn "), number("tmin_mae", 4, 2), F.lit(" 晴雨"), number("rain_correct", 3, 0), F.lit("%"))
+    cells = scores.where(F.col("lead").isin(*leads)).select("config", "lead", text.alias("c"))
+    return cells.groupBy("config").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lead", "c"))), lambda x: x["c"]), "  ").alias("text"))
+
+
 def county_table(daily: DataFrame) -> DataFrame:
     """One text row for each day: extremes, rain and wind over the points, hours covered."""
     n = lambda c: F.format_string("%.1f", c + 1e-9)

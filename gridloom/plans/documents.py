@@ -136,6 +136,24 @@ def product_document(spark, sf_dir):
     return p.select(F.col("date").alias("day"), "kind", "county.weather", F.size("cells").cast("long").alias("cells"), F.round(F.array_max(F.transform("cells", lambda c: c["temp"])) + 1e-9, 4).alias("warmest"), "county.force_max", F.col("index").alias("place"))
 
 
+@query(FULL_CELLS + """, o AS (SELECT *, point % 2 AS county, CASE WHEN point % 4 = 0 THEN greatest(tmax + 1, tmin) ELSE greatest(tmax, tmin) END AS hi FROM cells), w AS (SELECT *, CASE kind WHEN 'day' THEN hi ELSE tmin END AS warm FROM o), m AS (SELECT county, date, kind, weather, count(*) AS n, min(point) AS p FROM w GROUP BY ALL), mw AS (SELECT county, date, kind, arg_max(weather, n * 1000 - p) AS weather FROM m GROUP BY ALL),
+ t AS (SELECT county, count(DISTINCT point) AS points FROM w GROUP BY county)
+SELECT w.county, w.date AS day, w.kind, mw.weather, count(*) AS cells, round(max(warm) + 1e-9, 4) AS warmest, CAST(dense_rank() OVER (PARTITION BY w.county ORDER BY w.date, w.kind) - 1 AS INT) AS place, max(t.points) AS series, 'county ' || w.county AS text FROM w JOIN mw USING (county, date, kind) JOIN t ON t.county = w.county GROUP BY w.county, w.date, w.kind, mw.weather""", dates=True)
+def county_products(spark, sf_dir):
+    """A product for each of two counties, with extremes of other origin, a series for each point and a text, read back."""
+    county = (F.col("point") % 2).alias("county")
+    cells = region_cells(spark, sf_dir).where("tmin IS NOT NULL").select("*", county)
+    warmer = cells.where("point % 4 = 0").select("county", "point", "date", "kind", (F.col("tmax") + 1).alias("tmax"), F.lit(None).cast("double").alias("tmin"))
+    points = regions(spark, sf_dir).select("*", county)
+    series = cells.groupBy("county", "point").agg(F.array_sort(F.collect_list("precip")).alias("precip"))  # a county's periods
+    texts = cells.select("county").distinct().select("county", F.concat(F.lit("county "), F.col("county").cast("string")).alias("text"))
+    doc = D.product(cells, points, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), by=("county",), extremes=warmer, series=series, texts=texts)
+    shape = "periods array<struct<index:int,date:string,kind:string,county:struct<weather:string>,cells:array<struct<temp:double>>>>, series3h array<struct<point:bigint>>, text array<struct<text:string>>"
+    d = doc.select("county", F.from_json("json", shape).alias("d"))
+    p = d.select(F.col("county").alias("of"), F.size("d.series3h").cast("long").alias("series"), F.col("d.text")[0]["text"].alias("text"), F.explode("d.periods").alias("p"))
+    return p.select(F.col("of").alias("county"), F.col("p.date").alias("day"), "p.kind", "p.county.weather", F.size("p.cells").cast("long").alias("cells"), F.round(F.array_max(F.transform("p.cells", lambda c: c["temp"])) + 1e-9, 4).alias("warmest"), F.col("p.index").alias("place"), "series", "text")
+
+
 WIDTH = "(length({0}) + length(regexp_replace({0}, '[^ᄀ-ᅟ⺀-꓏가-힣豈-﫿︰-﹏＀-｠￠-￦]', '', 'g')))"
 PAD = lambda x, n: f"({x} || repeat(' ', greatest({n} - {WIDTH.format('(' + x + ')')}, 0)::INT))"
 RPAD = lambda x, n: f"(repeat(' ', greatest({n} - {WIDTH.format('(' + x + ')')}, 0)::INT) || {x})"
