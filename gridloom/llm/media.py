@@ -284,7 +284,10 @@ def features(found: dict, payload: bytes) -> str:
 
 
 def media_digest(media: DataFrame) -> DataFrame:
-    """Reads stored media back through their packets: digests of the payload and of the file, and features."""
+    """Reads stored media back through their packets: digests of the payload and of the file, and features.
+
+    Null media have a row of nulls beside doc_id and n_bytes; media that cannot be parsed raise.
+    """
 
     def digest(batches):
         names = [x.split()[0] for x in DIGEST.split(", ")]
@@ -292,6 +295,9 @@ def media_digest(media: DataFrame) -> DataFrame:
             for i in range(0, len(b["doc_id"]), 1000):
                 rows = []
                 for doc, n, m in zip(b["doc_id"][i : i + 1000], b["n_bytes"][i : i + 1000], b["media"][i : i + 1000]):
+                    if m is None:
+                        rows.append((doc, n, *[None] * 6))
+                        continue
                     found = parse(m)
                     payload = b"".join([m[p[5] : p[5] + p[6]] for p in found["packets"]])
                     rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), features(found, payload)))

@@ -170,6 +170,9 @@ def test_media_round_trip(spark, docs, empty):
     bad = spark.createDataFrame([(1, None), (2, bytearray(b"\x00\x01")), (3, bytearray(media.mux(b"z" * 384)))], "doc_id long, media binary")
     rows = media.packet_table(bad).collect()
     assert {r.doc_id for r in rows} == {2, 3} and all((r.error is not None) == (r.doc_id == 2) for r in rows)
+    some = media.store_texts(docs.where("doc_id = 5")).unionByName(spark.createDataFrame([(-1, 7, None)], "doc_id long, n_bytes long, media binary"))
+    told = {r.doc_id: r for r in media.media_digest(some).collect()}
+    assert set(told) == {5, -1} and told[-1].n_bytes == 7 and told[-1].media_bytes is None and told[5].media_bytes > 0
 
 
 @pytest.mark.parametrize("kind", [0, 1, 2, 3])
