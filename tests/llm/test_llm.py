@@ -608,11 +608,35 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     names = docs.columns
     good = corpus_pipeline.good_quality(spark, docs, sf)
-    assert good.columns == names
+    model = quality.train_classifier(docs, quality.graded(spark.read.parquet(f"{sf}/labels.parquet")))
+    of = quality.Features(len(model.weights))
+    grade = lambda text: sum(model.tails(of(text)[1] @ model.weights[of(text)[0]]))
+    assert good.columns == names and sorted(r.doc_id for r in good.collect()) == sorted(d for d, t in texts_of(docs) if grade(t) >= model.reject_below)
     one = corpus_pipeline.one_of_each_group(spark, good, sf)
     want = plain_groups(texts_of(good), 5, 80, 100)
     assert one.columns == names and sorted(r.doc_id for r in one.collect()) == sorted(d for d, (_, c) in want.items() if c == d)
+    planted = one.limit(1).withColumn("doc_id", F.lit(-5).cast("long")).withColumn("text", F.lit('here the api_key = "k3J9s8D7f6G5h4Zq" ends'))
+    one = one.unionByName(planted.select(*names))
     clean = corpus_pipeline.without_secrets(spark, one, sf)
-    assert clean.columns == names and clean.count() == one.count()
-    packed = corpus_pipeline.packed(spark, clean, sf)
-    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in clean.collect()}
+    spans = {r.doc_id: [(f.start, f.end) for f in r.findings if f.secret] for r in secrets.scan(one, secrets.default_forest(spark)).collect()}
+
+    def masked(row):
+        text, at, parts = row.text, 0, []
+        for a, b in spans[row.doc_id]:
+            parts, at = [*parts, text[at:a], "[SECRET]"], b
+        text = "".join([*parts, text[at:]])
+        return tuple({**row.asDict(), "text": text, "n_chars": len(text)}[c] for c in names)
+
+    assert clean.columns == names and sorted(map(tuple, clean.collect())) == sorted(map(masked, one.collect())) and len(spans[-5]) == 1
+    packed = corpus_pipeline.packed(spark, clean, sf).collect()
+    from tokenizers import Tokenizer
+
+    tokenizer, want, length = Tokenizer.from_file(P.path("word_bpe_49k.json")), set(), defaultdict(list)
+    for d, t in texts_of(clean):
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
+        want |= {(d, k // 2048, k, len(ids[k : k + 2048]), zlib.crc32(np.array(ids[k : k + 2048], "<u4").tobytes())) for k in range(0, len(ids), 2048)}
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed} == want and len(packed) == len(want)
+    for r in sorted(packed, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == sum(length[r.sequence_id])  # without gaps
+        length[r.sequence_id].append(r.length)
+    assert all(sum(x) <= 2048 for x in length.values())
