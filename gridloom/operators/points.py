@@ -121,3 +121,24 @@ def member_dataset(day: DataFrame, night: DataFrame, steps: DataFrame, offset: i
         "point", (F.col("step") - offset).alias("step"), t.alias("t2m"), F.greatest(hi, t).alias("tmax3"), F.least(lo, t).alias("tmin3"), grown("tp").alias("precip"),
         *[grown("snow").alias("snow") for _ in [0] if "snow" in others], "u10", "v10", *[F.col("gust") for _ in [0] if "gust" in others], *[W.clip(F.col("tcc"), 0.0, 1.0).alias("cloud") for _ in [0] if "tcc" in others],
     )
+
+
+def period_rows(grid: DataFrame, terrain: DataFrame, points: DataFrame, windows: DataFrame, periods: DataFrame, lapse: str | float = "std") -> DataFrame:
+    """A run's values at points in each period (as ``observations.period_values``); periods of which nothing is known have no row.
+
+    ``grid``: i, j, step, tmax, tmin, t2m, tp, u10, v10; ``windows``: step, window_start; ``periods``: start_h, end_h, kind.
+    """
+    from gridloom.operators import observations
+
+    values = point_values(grid, terrain, points, ["tmax", "tmin", "t2m", "tp", "u10", "v10"], lapse)
+    p = observations.period_values(values.join(windows, "step"), periods, ["point"])
+    return p.where("f_t IS NOT NULL OR f_p IS NOT NULL OR f_w IS NOT NULL")
+
+
+def model_rows(grid: DataFrame, terrain: DataFrame, points: DataFrame, windows: DataFrame, periods: DataFrame) -> DataFrame:
+    """point, start_h, end_h, kind, t, t_std, p and w: temperatures by the standard lapse by day, by the model's own at night."""
+    keys = ["point", "start_h", "end_h", "kind"]
+    std = period_rows(grid, terrain, points, windows, periods).select(*keys, F.col("f_t").alias("t_std"), F.col("f_p").alias("p"), F.col("f_w").alias("w"))
+    local = period_rows(grid, terrain, points, windows, periods, "local").select(*keys, F.col("f_t").alias("_local"))
+    both = std.join(local, keys, "left")
+    return both.select(*keys, F.when(F.col("kind") == "day", F.col("t_std")).otherwise(F.col("_local")).alias("t"), "t_std", "p", "w")

@@ -98,3 +98,18 @@ def test_points_without_a_cell_and_series_rows(spark):
     observed = spark.createDataFrame([("s", datetime(2024, 1, 1, 6), 7.0)], "station string, valid timestamp_ntz, o_t3 double")
     periods = spark.createDataFrame([(*k, 2.5)], keys + ", a_w double")
     assert [(r.hour, r.o_t3, r.a_w) for r in K.series_training_table(series, observed, periods, ["a"]).orderBy("hour").collect()] == [(11, None, 2.5), (14, 7.0, 2.5)]
+
+
+def test_model_rows_take_the_local_lapse_at_night(spark):
+    """Terrain rises by 100 m a column and the model cools by 0.9 K with it; the point stands 100 m above the model."""
+    cells = [(i, j, s) for i in range(5) for j in range(5) for s in range(3, 25, 3)]
+    grid = spark.createDataFrame([(i, j, s, *[20.0 - 0.9 * j + s / 10] * 3, float(s), 3.0, 4.0) for i, j, s in cells], "i int, j int, step int, tmax double, tmin double, t2m double, tp double, u10 double, v10 double")
+    terrain = spark.createDataFrame([(i, j, 100.0 * j) for i in range(5) for j in range(5)], "i int, j int, orog double")
+    points = spark.createDataFrame([("p", 2.0, 2.0, 300.0)], "point string, y double, x double, elevation double")
+    windows = spark.createDataFrame([(s, s - 3) for s in range(3, 25, 3)], "step int, window_start int")
+    periods = spark.createDataFrame([(0, 12, "day"), (12, 24, "night"), (24, 36, "day")], "start_h int, end_h int, kind string")
+    got = {(r.start_h, r.kind): r for r in P.model_rows(grid, terrain, points, windows, periods).collect()}
+    day, night = got[0, "day"], got[12, "night"]
+    assert day.t == day.t_std and abs(day.t - (20 - 1.8 + 1.2 - 0.65)) < 1e-9 and day.p == 12.0 and day.w == 5.0
+    assert abs(night.t_std - (20 - 1.8 + 1.5 - 0.65)) < 1e-9 and abs(night.t - (20 - 1.8 + 1.5 - 0.9)) < 1e-9 and night.p == 12.0
+    assert (24, "day") not in got
