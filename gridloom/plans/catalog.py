@@ -483,15 +483,22 @@ def stream_sliding(spark, sf_dir):
 @query("""WITH r AS (SELECT CAST(54400 + user_id % 10 AS VARCHAR) AS wmo, date_trunc('hour', ts) AS time, CAST(round(max(value)) AS BIGINT) % 400 AS t, count(*) AS n, min(event_id) AS k FROM events GROUP BY ALL)
 SELECT wmo, strftime(time, '%Y-%m-%d %H:%M') AS time, round(CASE WHEN k % 3 = 0 THEN -t ELSE t END / 10.0::DOUBLE, 1) AS t, (k % 37 * 10)::DOUBLE AS wind_dir, (t % 30)::DOUBLE AS wind_speed, CASE WHEN k % 4 = 0 THEN 0.0 ELSE CASE WHEN k % 1000 = 990 THEN 0.05 WHEN k % 1000 > 990 THEN (k % 1000 - 990) / 10.0 ELSE k % 1000 END END::DOUBLE AS p6, CASE WHEN n > 1 THEN n END::INT AS ww FROM r""")
 def report_decode(spark, sf_dir):
-    """Coded reports, one for each region and hour with events, made of the table and read again; one line in ten is cut off and is no report."""
+    """Coded reports of each region and hour with events, made of the table and read again; one line in ten is cut off and is no report.
+
+    A report's group for the weather has two digits, so a count is told by as many reports as it has pairs of digits, the lowest first.
+    """
     two, three = (lambda c: F.lpad(c.cast("string"), 2, "0")), (lambda c: F.lpad(c.cast("string"), 3, "0"))
     r = table(spark, sf_dir, "events").groupBy((54400 + F.col("user_id") % 10).cast("string").alias("wmo"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("time"))
     r = r.agg((F.round(F.max("value")).cast("long") % 400).alias("t"), F.count("*").alias("n"), F.min("event_id").alias("k"))
+    r = r.withColumn("part", F.explode(F.sequence(F.lit(0), F.expr("(length(CAST(n AS STRING)) - 1) div 2").cast("int"))))
     k, t, n = F.col("k"), F.col("t"), F.col("n")
-    groups = [F.lit("AAXX"), F.concat(F.date_format("time", "ddHH"), F.lit("1")), F.col("wmo"), F.when(k % 4 == 0, "32970").otherwise("12970"), F.concat(F.lit("5"), two(k % 37), two(t % 30)), F.concat(F.lit("1"), F.when(k % 3 == 0, "1").otherwise("0"), three(t)), F.when(k % 4 != 0, F.concat(F.lit("6"), three(k % 1000), F.lit("1"))), F.when(n > 1, F.concat(F.lit("7"), two(n), F.lit("00")))]
+    pair = F.lpad(n.cast("string"), 20, "0").substr(19 - 2 * F.col("part"), F.lit(2))
+    groups = [F.lit("AAXX"), F.concat(F.date_format("time", "ddHH"), F.lit("1")), F.col("wmo"), F.when(k % 4 == 0, "32970").otherwise("12970"), F.concat(F.lit("5"), two(k % 37), two(t % 30)), F.concat(F.lit("1"), F.when(k % 3 == 0, "1").otherwise("0"), three(t)), F.when(k % 4 != 0, F.concat(F.lit("6"), three(k % 1000), F.lit("1"))), F.when(n > 1, F.concat(F.lit("7"), pair, F.lit("00")))]
     line = F.concat(F.col("wmo"), F.date_format("time", ",yyyy,MM,dd,HH,mm,"), F.concat_ws(" ", *groups), F.lit("="))
-    lines = r.select(F.explode(F.when(k % 10 == 0, F.array(line, F.substring(line, 1, 12))).otherwise(F.array(line))).alias("line"))
-    return reports.decode_reports(lines).select("wmo", F.date_format("time", "yyyy-MM-dd HH:mm").alias("time"), "t", "wind_dir", "wind_speed", "p6", "ww")
+    lines = r.select("part", F.explode(F.when(k % 10 == 0, F.array(line, F.substring(line, 1, 12))).otherwise(F.array(line))).alias("line"))
+    told = reports.decode_reports(lines, ("part",)).withColumn("ww", F.col("ww") * F.expr("CAST(rpad('1', 1 + 2 * part, '0') AS BIGINT)"))
+    first = lambda c: F.max(F.when(F.col("part") == 0, F.col(c))).alias(c)
+    return told.groupBy("wmo", F.date_format("time", "yyyy-MM-dd HH:mm").alias("time")).agg(*[first(c) for c in ("t", "wind_dir", "wind_speed", "p6")], F.sum("ww").cast("int").alias("ww"))
 
 
 from gridloom.plans import archives, backtests, calibrations, consensus, documents, observed, places, products, runs, stored  # noqa: E402, F401  (they register their queries)
