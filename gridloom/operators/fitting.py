@@ -66,6 +66,17 @@ def ewma_states(errors: DataFrame, keys: list[str], time: str, error: str, alpha
     return each.select(*keys, F.col("x.t").alias(time), (F.col("x.own") + F.col("x.past") * F.col("_before")).alias("bias"))
 
 
+def _cumulated(d: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    """Values (keys, _v, _sum, _min; each once) with the sum up to each, ``_c``, and the ``_next`` value; of their key the sum, ``_t``, and the first ``_min``, ``_f``."""
+    bounds = d.groupBy(*keys).agg(F.percentile_approx("_v", [k / parts for k in range(1, parts)], 2000).alias("_b"))
+    d = d.join(bounds, keys).withColumn("_part", F.size(F.filter("_b", lambda b: b < F.col("_v")))).drop("_b")
+    key, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_part")  # at most ``parts`` rows for each key
+    ranges = d.groupBy(*keys, "_part").agg(F.sum("_sum").alias("_s"), F.min_by(F.struct("_v", "_min"), "_v").alias("_first"))
+    ranges = ranges.select(*keys, "_part", (F.sum("_s").over(order) - F.col("_s")).alias("_off"), F.sum("_s").over(key).alias("_t"), F.first("_first._min").over(order).alias("_f"), F.lead("_first").over(order).alias("_after"))
+    w = Window.partitionBy(*keys, "_part").orderBy("_v")
+    return d.join(ranges, [*keys, "_part"]).withColumn("_c", F.col("_off") + F.sum("_sum").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_next", F.coalesce(F.lead(F.struct("_v", "_min")).over(w), "_after"))
+
+
 def weighted_quantiles(rows: DataFrame, keys: list[str], value: str, weight: str, probs: list[float], parts: int = 64, least: str | None = None) -> DataFrame:
     """Exact linear quantiles at positions (cumulated weight - first) / (total - first), rows in order of value, then weight.
 
@@ -75,13 +86,7 @@ def weighted_quantiles(rows: DataFrame, keys: list[str], value: str, weight: str
     Rows that are sums of equal values already name the column of their ``least`` weight.
     """
     d = rows.select(*keys, F.col(value).alias("_v"), F.col(weight).alias("_w"), F.col(least or weight).alias("_l")).dropna(subset=["_v", "_w"]).groupBy(*keys, "_v").agg(F.sum("_w").alias("_sum"), F.min("_l").alias("_min"))
-    bounds = d.groupBy(*keys).agg(F.percentile_approx("_v", [k / parts for k in range(1, parts)], 2000).alias("_b"))
-    d = d.join(bounds, keys).withColumn("_part", F.size(F.filter("_b", lambda b: b < F.col("_v")))).drop("_b")
-    key, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_part")  # at most ``parts`` rows for each key
-    ranges = d.groupBy(*keys, "_part").agg(F.sum("_sum").alias("_s"), F.min_by(F.struct("_v", "_min"), "_v").alias("_first"))
-    ranges = ranges.select(*keys, "_part", (F.sum("_s").over(order) - F.col("_s")).alias("_off"), F.sum("_s").over(key).alias("_t"), F.first("_first._min").over(order).alias("_f"), F.lead("_first").over(order).alias("_after"))
-    w = Window.partitionBy(*keys, "_part").orderBy("_v")
-    d = d.join(ranges, [*keys, "_part"]).withColumn("_c", F.col("_off") + F.sum("_sum").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_next", F.coalesce(F.lead(F.struct("_v", "_min")).over(w), "_after"))
+    d = _cumulated(d, keys, parts)
     place = lambda c: F.try_divide(c - F.col("_f"), F.col("_t") - F.col("_f"))
     d = d.select(*keys, "_v", F.coalesce(place(F.col("_c") - F.col("_sum") + F.col("_min")), F.lit(0.0)).alias("_a"), F.coalesce(place(F.col("_c")), F.lit(1.0)).alias("_z"), place(F.col("_c") + F.col("_next._min")).alias("_na"), F.col("_next._v").alias("_nv"))
     first = F.col("_a") <= 1e-12
@@ -90,6 +95,36 @@ def weighted_quantiles(rows: DataFrame, keys: list[str], value: str, weight: str
     return asked.groupBy(*keys, "prob").agg(F.max(F.when(F.col("prob") <= F.col("_z"), F.col("_v")).otherwise(F.coalesce(between, "_v"))).alias("q"))
 
 
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c, rounded once: what the product's rounding loses is taken from the halves of its factors' digits, and what the sum's loses is added too."""
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        high = x * 134217729.0 - (x * 134217729.0 - x)  # 2**27 + 1
+        return high, x - high
+
+    (a1, a2), (b1, b2) = halves(a), halves(b)
+    product, total = a * b, a * b + c
+    lost = a2 * b2 - (((product - a1 * b1) - a2 * b1) - a1 * b2)
+    came = total - product
+    return total + ((product - (total - came)) + (c - came) + lost)
+
+
+def ranked_quantiles(rows: DataFrame, keys: list[str], value: str, count: str, probs: list[float], parts: int = 64) -> DataFrame:
+    """Exact linear quantiles of rows that stand for ``count`` equal ones, found as the weighted ones are, but by whole ranks.
+
+    A quantile lies at the rank prob * (n - 1), as low * (1 - share) + high * share with the first product not rounded.
+    That is bit by bit what ``quantile_cont`` gives, so values that lie on a limit fall on the same side.
+    """
+    d = rows.select(*keys, F.col(value).alias("_v"), F.col(count).alias("_w")).dropna(subset=["_v", "_w"]).groupBy(*keys, "_v").agg(F.sum("_w").alias("_sum"), F.min("_w").alias("_min"))
+    rank = lambda q: q * (F.col("_t") - 1)
+    here = lambda q: (F.floor(rank(q)) >= F.col("_c") - F.col("_sum")) & (F.floor(rank(q)) < F.col("_c"))
+    asked = _cumulated(d, keys, parts).withColumn("prob", F.explode(F.filter(F.array(*[F.lit(float(q)) for q in probs]), here)))
+    share = rank(F.col("prob")) - F.floor(rank(F.col("prob")))
+    asked = asked.select(*keys, "prob", "_v", share.alias("_share"), F.when(F.ceil(rank(F.col("prob"))) < F.col("_c"), F.col("_v")).otherwise(F.col("_next._v")).alias("_high"))
+    between = fused(F.col("_v"), 1 - F.col("_share"), F.col("_high") * F.col("_share"))
+    return asked.select(*keys, "prob", F.when(F.col("_share") == 0, F.col("_v")).otherwise(between).alias("q"))
+
+
 def quantile_map(pairs: DataFrame, keys: list[str], f: str, o: str, nodes: int, least: int = 60, weight: str | None = None, windows=None) -> DataFrame:
     """Quantiles of forecasts and observations, weighted or not, on a common grid; keys with fewer pairs have none.
 
@@ -104,7 +139,8 @@ def quantile_map(pairs: DataFrame, keys: list[str], f: str, o: str, nodes: int,
     summed = long.groupBy(*keys, *day, "_side", "_x").agg(F.sum("_one").alias("_one"), F.min("_one").alias("_least"), F.count("*").alias("_n"))
     summed, keys = (windows(summed), ["issue", *keys]) if windows else (summed, keys)
     n = summed.where("_side = 'f'").groupBy(*keys).agg(F.sum("_n").alias("n")).where(F.col("n") >= least)
-    q = weighted_quantiles(summed, [*keys, "_side"], "_x", "_one", probs, least="_least")
+    side_of = [*keys, "_side"]
+    q = weighted_quantiles(summed, side_of, "_x", "_one", probs, least="_least") if weight else ranked_quantiles(summed, side_of, "_x", "_one", probs)
     of = lambda name: F.transform(F.array_sort(F.collect_list(F.when(F.col("_side") == name, F.struct("prob", "q")))), lambda x: x["q"])
     return n.join(q.groupBy(*keys).agg(of("f").alias("fq"), of("o").alias("oq")), keys).withColumn("p", F.array(*map(F.lit, probs)))
 

@@ -1,6 +1,7 @@
 """Queries against their SQL on events denser than those of the given tables."""
 
 import duckdb
+import numpy as np
 import pytest
 from test_catalog import SF, rows
 
@@ -32,3 +33,15 @@ def test_report_decode_counts_beyond_two_digits(against_sql):
 
 def test_period_plan_of_events_at_the_same_moment(against_sql):
     assert against_sql("period_plan", "SELECT g.* REPLACE (event_id * 3 + k AS event_id) FROM given g, range(3) r(k) WHERE event_id < 300 OR k = 0") == 1000
+
+
+def test_unweighted_quantiles_are_those_of_sql_bit_by_bit(spark):
+    from gridloom.operators import fitting
+
+    g = np.random.default_rng(5)
+    pairs = [(k, float(x), float(x) / 40) for k in range(20) for x in np.round(g.exponential(40, 3 + 29 * k) if k else [7.1, 7.1, 7.1], k % 4)]
+    maps = fitting.quantile_map(spark.createDataFrame(pairs, "k long, f double, o double"), ["k"], "f", "o", 5, least=1)
+    c = duckdb.connect()
+    c.execute("CREATE TABLE p AS SELECT unnest(?::BIGINT[]) AS k, unnest(?::DOUBLE[]) AS f, unnest(?::DOUBLE[]) AS o", [list(x) for x in zip(*pairs)])
+    want = c.execute("SELECT k, quantile_cont(f, [0, 0.25, 0.5, 0.75, 1.0]), quantile_cont(o, [0, 0.25, 0.5, 0.75, 1.0]) FROM p GROUP BY k").fetchall()
+    assert sorted((r.k, r.fq, r.oq) for r in maps.collect()) == sorted((k, list(a), list(b)) for k, a, b in want)
