@@ -10,7 +10,7 @@ from gridloom.llm.queries import tokenizer_file
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the ordinal classifier rejects; it is trained on a bounded sample of the labels."""
+    """Drops the documents that the ordinal classifier rejects; it is trained on all labelled documents."""
     return quality.keep_good(docs, quality.train_classifier(docs, quality.graded(read_table(spark, sf_dir, "labels"))))
 
 

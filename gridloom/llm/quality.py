@@ -2,8 +2,8 @@
 
 Grades 0..K-1 share one weight vector over hashed features; ordered thresholds cut the score:
 P(grade <= k) = logistic(threshold_k - w.x).  From them come the expected grade and the tail probability of
-each grade, by which documents are chosen.  Training takes a bounded sample of rated documents; scoring
-reads every whole text.
+each grade, by which documents are chosen.  Training takes all rated documents, in shards of bounded size whose
+models are averaged; scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, kept, map_rows, whole_texts
+from .common import bounded_batches, kept, map_rows, settle, whole_texts
 
 BUCKETS = 1 << 18
 
@@ -75,7 +75,7 @@ class OrdinalModel:
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], grades: int, buckets: int = BUCKETS, steps: int = 120, rate: float = 0.05, l2: float = 20.0, balance: bool = True) -> OrdinalModel:
     """Maximum likelihood by Adam over all rows at once, rarer grades weighted up to the square root of balance.
 
-    A step goes through the rows some hundred at a time, so that beside the rows themselves little is held.
+    A step goes through the rows two thousand at a time, so that beside the rows themselves little is held.
     """
     if not rows:
         return OrdinalModel(np.zeros(buckets), np.linspace(-1, 1, grades - 1) - 4)
@@ -99,14 +99,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], grades: int, buckets: in
     params = np.concatenate((np.zeros(n), [cut[0]], np.log(np.diff(cut))))
     m, v = np.zeros_like(params), np.zeros_like(params)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    at_once = range(0, len(rows), 256)
+    at_once = range(0, len(rows), 2048)
     for step in range(1, steps + 1):
         w = params[:n]
         cut = np.cumsum(np.concatenate((params[n : n + 1], np.exp(params[n + 1 :]))))
         edge = np.concatenate(([-np.inf], cut, [np.inf]))
         g_w, g_cut = l2 * w / len(rows), np.zeros(grades + 1)
         for i in at_once:
-            j = min(i + 256, len(rows))
+            j = min(i + 2048, len(rows))
             x, at = values[offset[i] : offset[j]].astype(float), place[offset[i] : offset[j]]
             score = np.add.reduceat(x * w[at], offset[i:j] - offset[i])
             high, low = sigmoid(edge[y[i:j] + 1] - score), sigmoid(edge[y[i:j]] - score)
@@ -130,24 +130,79 @@ def features(buckets: int = BUCKETS) -> Features:
     return kept(("features", buckets), lambda: Features(buckets))
 
 
-def rated_sample(docs: DataFrame, ratings: DataFrame, limit: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """Features and grades of at most ``limit`` rated documents, those first by a hash of their ids.
+RATED = "doc_id long, ids binary, vals binary, grade int"
+
+
+def likely(docs: DataFrame, ids: DataFrame, bits: int = 24) -> DataFrame:
+    """The rows of ``docs`` whose id is in ``ids``, and some others: ids are looked up by hash in a bitmap of at most 2 MB."""
+    spot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << bits))
+    maps = ids.select(F.floor(spot / 32768).alias("_cell"), (spot % 32768).alias("_bit")).groupBy("_cell").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    found = docs.withColumn("_cell", F.floor(spot / 32768)).withColumn("_bit", (spot % 32768).cast("int")).join(F.broadcast(maps), "_cell")
+    byte = F.conv(F.hex(F.substring("_map", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.where(F.getbit(byte, F.col("_bit") % 8) == 1).select(*docs.columns)
+
+
+def rated_rows(docs: DataFrame, ratings: DataFrame, size: int) -> DataFrame:
+    """Features and grades of all rated documents, dealt by their ids into shards of about ``size``: a partition, in order of ids, is a shard.
 
     ``ratings``: (doc_id, grade); rows with a null in either and documents without a rating are left out.  Repeated
-    rows of a document become one, with the least of their texts, before anything is collected.
+    rows of a document become one, with the least of their texts.
     """
     rated = ratings.where(F.col("doc_id").isNotNull() & F.col("grade").isNotNull()).groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
-    chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    texts = whole_texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
+    shards = max(1, -(-rated.count() // size))
+    texts = likely(whole_texts(docs), rated).join(rated, "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
 
     def extract(batches):
         for b in batches:
             found = [features()(t) for t in b["text"]]
             yield {"doc_id": b["doc_id"], "ids": [f.tobytes() for f, _ in found], "vals": [v.astype("f4").tobytes() for _, v in found], "grade": b["grade"]}
 
-    rows = map_rows(texts.select("doc_id", "text", "grade"), extract, "doc_id long, ids binary, vals binary, grade int").collect()
-    rows.sort(key=lambda r: r.doc_id)  # at most ``limit``
-    return [(np.frombuffer(r.ids, np.int32), np.frombuffer(r.vals, "f4"), r.grade) for r in rows]
+    return settle(map_rows(texts.select("doc_id", "text", "grade"), extract, RATED).repartition(shards, "doc_id").sortWithinPartitions("doc_id"))
+
+
+def shard_rows(batches) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """The rows of a shard as features, values and grades."""
+    return [(np.frombuffer(f, np.int32), np.frombuffer(v, "f4"), g) for b in batches for f, v, g in zip(b["ids"], b["vals"], b["grade"])]
+
+
+def held_out(rows: list) -> tuple[list, list]:
+    """Every fifth row, which the trial does not see, and the others."""
+    return [r for i, r in enumerate(rows) if i % 5 == 4], [r for i, r in enumerate(rows) if i % 5 != 4]
+
+
+#: Sums over shards are of whole numbers of this size, so that they do not depend on their order.
+UNIT = 2.0**-32
+
+
+def fit_shards(rated: DataFrame, grades: int, buckets: int = BUCKETS) -> tuple[OrdinalModel, OrdinalModel]:
+    """The models of all rows but those held out, and of all rows: each shard's by maximum likelihood, and then their means.
+
+    A feature's weight is the mean over the shards that have it, each counting by its rows with it, so that one that is
+    rare loses nothing; a threshold's is the mean by rows.  What comes back is bounded by the number of buckets.
+    """
+
+    def each(batches):
+        rows = shard_rows(batches)
+        for all_rows, part in enumerate((held_out(rows)[1], rows)) if rows else ():
+            m = fit(part, grades, buckets)
+            n = np.bincount(np.concatenate([f for f, _, _ in part]), minlength=buckets)
+            ids = np.flatnonzero(n)
+            seen = np.concatenate((n[ids], np.full(grades - 1, len(part))))
+            value = np.concatenate((m.weights[ids], m.thresholds))
+            yield {"all_rows": np.full(len(seen), all_rows), "id": np.concatenate((ids, buckets + np.arange(grades - 1))), "total": np.rint(value * seen / UNIT).astype("i8"), "seen": seen}
+
+    parts = map_rows(rated, each, "all_rows int, id int, total long, seen long")
+    sums = parts.groupBy("all_rows", "id").agg(F.sum("total").alias("total"), F.sum("seen").alias("seen")).toArrow()
+    which, ids, total, seen = (sums.column(c).to_numpy() for c in ("all_rows", "id", "total", "seen"))
+    models = []
+    for k in (0, 1):
+        if not (which == k).any():
+            models.append(fit([], grades, buckets))
+            continue
+        mean = np.zeros(buckets + grades - 1)
+        mean[ids[which == k]] = total[which == k] * UNIT / seen[which == k]
+        models.append(OrdinalModel(mean[:buckets], mean[buckets:]))
+    return models[0], models[1]
 
 
 SCORES = "doc_id long, score double, expected_grade double, tail array<double>"
@@ -178,22 +233,30 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def train_classifier(docs: DataFrame, ratings: DataFrame, limit: int = 8000, grades: int = 3, good: int = 2) -> OrdinalModel:
-    """Fits on at most ``limit`` rated documents and sets the rejection threshold on a held-out fifth of them.
+    """Fits on all rated documents, in shards of about ``limit``, and sets the rejection threshold on a held-out fifth of each.
 
     All but 0.2 % of the held-out good documents are kept: the threshold lies halfway between the 0.002 quantile of their
     expected grades and the highest of the other documents below that, or at the quantile where none is below it.
     """
-    rows = rated_sample(docs, ratings, limit)
-    held = [r for i, r in enumerate(rows) if i % 5 == 4]
-    trial = fit([r for i, r in enumerate(rows) if i % 5 != 4], grades)
-    expected = np.array([sum(trial.tails(v @ trial.weights[f])) for f, v, _ in held])
-    y = np.array([g for _, _, g in held])
-    model = fit(rows, grades)
-    if (y >= good).any() and (y < good).any():
-        keep, drop = np.sort(expected[y >= good]), np.sort(expected[y < good])
-        low = float(np.quantile(keep, 0.002))
-        below = drop[drop < low]
-        model.reject_below = float((low + below[-1]) / 2) if len(below) else low
+    rated = rated_rows(docs, ratings, limit)
+    trial, model = fit_shards(rated, grades)
+    shared = docs.sparkSession.sparkContext.broadcast(trial)
+
+    def expected(batches):
+        m = shared.value
+        held = held_out(shard_rows(batches))[0]
+        yield {"expected": [float(sum(m.tails(v @ m.weights[f]))) for f, v, _ in held], "grade": [g for _, _, g in held]}
+
+    tried = settle(map_rows(rated, expected, "expected double, grade int"))
+    keep, drop = tried.where(F.col("grade") >= good), tried.where(F.col("grade") < good)
+    counts = tried.groupBy().agg(F.count_if(F.col("grade") >= good), F.count_if(F.col("grade") < good)).first()
+    if all(counts):
+        rank = 0.002 * (counts[0] - 1)
+        at = lambda k: keep.orderBy("expected").limit(k + 1).agg(F.max("expected")).first()[0]
+        a, b = at(int(rank)), at(int(np.ceil(rank)))
+        low = a + (b - a) * (rank - int(rank))
+        below = drop.where(F.col("expected") < low).agg(F.max("expected")).first()[0]
+        model.reject_below = low if below is None else (low + below) / 2
     return model
 
 
