@@ -1,6 +1,7 @@
 """Fits against dense ones, and the words and boundaries of products."""
 
 import math
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -130,3 +131,21 @@ def test_weighted_quantiles_equal_dense_ones(spark):
     want = np.interp(probs, (cum - w[order][0]) / (cum[-1] - w[order][0]), v[order])
     assert np.allclose([got["k", round(float(p), 6)] for p in probs], want)
     assert {got["one", round(float(p), 6)] for p in probs} == {5.0} and {got["same", round(float(p), 6)] for p in probs} == {1.0} and len(got) == 123
+
+
+def test_display_width_costs_little_more_than_a_scan(spark):
+    row = F.lpad(F.col("id").cast("string"), 4, "0")  # else the texts are constants, whose widths the planner works out once
+    lines = spark.range(0, 1000, 1, 4).select(F.repeat(F.concat(row, F.lit(" Wind NW 5 m/s, überall Nebel")), 1200).alias("latin"), F.repeat(F.concat(row, F.lit("今天 ab😀")), 3).alias("mixed"), F.when(F.col("id") < 0, row).alias("none"))
+    found = lines.select(*[products.display_width(F.col(c)).alias(c) for c in lines.columns]).distinct().collect()
+    assert [tuple(r) for r in found] == [(39_600, 36, None)]
+
+    def least(column):
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            lines.select(column).write.format("noop").mode("overwrite").save()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    scan = least(F.char_length(F.regexp_replace("latin", "[\u4e00-\u9fff]+", "")))
+    assert least(products.display_width(F.col("latin"))) < 5 * scan + 0.3
